@@ -88,3 +88,11 @@ def row_digest(columns: Iterable[str]) -> Column:
         parts.append(F.when(text.isNull(), F.lit("-;")).otherwise(
             F.concat(F.length(text).cast("string"), F.lit(":"), text)))
     return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows that have both values; NULL when a side does not vary.
+
+    ``corr`` divides by zero there, which is an error under ANSI rules.
+    """
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))

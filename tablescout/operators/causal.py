@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions import f_sf, numeric_columns
+from tablescout.functions import correlation, f_sf, numeric_columns
 from tablescout.operators.aggregate import daily_panel, filled_daily_series
 from tablescout.operators.correlate import causal_pair
 from tablescout.operators.windows import lagged
@@ -89,7 +89,7 @@ def best_lag(lags: DataFrame, alpha: float = ALPHA, dataset: Sequence[str] = ("d
 def lagged_correlation(daily: DataFrame, cause: str, effect: str, lag: int) -> DataFrame:
     """Correlation of the effect with the cause ``lag`` days of the series earlier."""
     shifted = lagged(daily, cause, [], ["day"], lag, "_shifted") if lag > 0 else daily.withColumn("_shifted", F.col(cause))
-    return shifted.agg(F.corr(F.col("_shifted").cast("double"), F.col(effect).cast("double")).alias("correlation")).select(
+    return shifted.agg(correlation(F.col("_shifted").cast("double"), F.col(effect).cast("double")).alias("correlation")).select(
         F.lit(cause).alias("cause"), F.lit(effect).alias("effect"), F.lit(lag).alias("lag"), "correlation")
 
 

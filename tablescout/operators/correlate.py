@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions import epoch_seconds, numeric_columns, t_two_sided
+from tablescout.functions import correlation, epoch_seconds, numeric_columns, t_two_sided
 
 STRONG, MODERATE = 0.7, 0.3
 PAIRS_PER_PASS = 300
@@ -32,7 +32,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         aggs, rows = [], []
         for i, (a, b) in enumerate(part):
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            aggs += [F.corr(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
+            aggs += [correlation(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
             rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"r{i}").alias("correlation"),
                                  F.col(f"n{i}").alias("n")))
         frames.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
@@ -79,7 +79,7 @@ def linear_trend(df: DataFrame, time: str, metrics: Sequence[str], by: Sequence[
     aggs, rows = [], []
     for i, m in enumerate(metrics):
         x, y = F.when(F.col(m).isNotNull(), t), F.col(m).cast("double")
-        aggs += [F.regr_slope(y, x).alias(f"s{i}"), F.regr_intercept(y, x).alias(f"i{i}"), F.corr(x, y).alias(f"r{i}"),
+        aggs += [F.regr_slope(y, x).alias(f"s{i}"), F.regr_intercept(y, x).alias(f"i{i}"), correlation(x, y).alias(f"r{i}"),
                  F.regr_count(y, x).alias(f"n{i}")]
         rows.append(F.struct(F.lit(m).alias("metric"), F.col(f"s{i}").alias("slope"),
                              (F.col(f"i{i}") - F.col(f"s{i}") * origin).alias("intercept"),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions import numeric_columns, string_columns
+from tablescout.functions import correlation, numeric_columns, string_columns
 from tablescout.operators.causal import EFFECT_WORDS
 
 MAX_LEVELS = 20
@@ -65,7 +65,7 @@ def forest_drivers(df: DataFrame, features: Sequence[str], target: str, trees: i
     model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
     importance = model.featureImportances.toArray()
     total = float(importance.sum()) or 1.0
-    signs = x.agg(*[F.corr(f, target).alias(f) for f in features]).first()
+    signs = x.agg(*[correlation(F.col(f), F.col(target)).alias(f) for f in features]).first()
     out = [(f, float(v / total), float(v / total * 100), bool((signs[f] or 0.0) > 0), float(v / total * 0.9), float(v / total * 1.1))
            for f, v in zip(features, importance)]
     return df.sparkSession.createDataFrame(

@@ -132,14 +132,12 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_r
     """Mean, sample deviation, range, quartiles, distinct and missing values per numeric column."""
     columns = list(columns or numeric_columns(df))
     quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75], exact_rows)
-    moments = per_column(df, columns, lambda c: {
+    return per_column(df, columns, lambda c: {
         "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double"),
-        "missing": F.count_if(F.col(c).isNull()),
+        "missing": F.count_if(F.col(c).isNull()), "distinct": F.count_distinct(F.col(c)),
         **{name: F.lit(quartiles[c][i] if quartiles[c] else None).cast("double")
            for i, name in enumerate(("q25", "q50", "q75"))},
     })
-    distinct = distinct_counts(df, columns).select("column", "distinct")
-    return moments.join(distinct, "column")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

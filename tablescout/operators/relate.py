@@ -41,9 +41,10 @@ def candidate_pairs(catalog: DataFrame, new: Sequence[str] | None = None) -> Dat
 
     Kept are pairs of similar names and pairs of keys, unless a column is more than 90 % empty, the
     kinds of values differ, or a measure is involved with a key or another measure.  With ``new``
-    only pairs that touch one of those tables remain.  This runs over catalog rows, never data.
+    only pairs that touch one of those tables remain.  This runs over catalog rows, never data; the
+    catalog is materialised so that profiling happens once.
     """
-    left, right = _sides(catalog)
+    left, right = _sides(durable(catalog))
     both = F.col("from_is_numeric") == F.col("to_is_numeric")
     pairs = left.join(right, both & (F.col("from_dataset") < F.col("to_dataset")))
     pairs = pairs.where((F.col("from_null_pct") <= 90) & (F.col("to_null_pct") <= 90))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablescout.functions import numeric_columns, string_columns, temporal_columns
 from tablescout.operators.profile import (
-    TEXT_LENGTH, comparable_columns, declared_kind, distinct_counts, per_column, sample_confidence, temporal_granularity, top_values,
+    TEXT_LENGTH, comparable_columns, declared_kind, per_column, sample_confidence, temporal_granularity, top_values,
 )
 
 # Name endings that mark a column to join on.
@@ -26,6 +27,7 @@ COMMON_DIMENSIONS = (
 # Words in a column name that mark a headline figure.
 KEY_METRIC_WORDS = ("revenue", "sales", "profit", "cost", "price", "value")
 
+# Names of identifiers; Python and Spark read the pattern alike.
 KEY_NAME = r"(?i:(^|_)(id|key|code)$|key$)|[a-z](Id|ID)$"
 
 
@@ -48,15 +50,17 @@ def describe_columns(df: DataFrame, dataset: str, approximate: bool = False) ->
     strings = set(string_columns(df))
     columns = comparable_columns(df)
 
+    count = F.approx_count_distinct if approximate else F.count_distinct
+
     def metrics(c: str) -> dict[str, Column]:
         length = F.avg(F.length(c)) if c in strings else F.lit(None).cast("double")
         return {"position": F.lit(df.columns.index(c)), "type": F.lit(df.schema[c].dataType.simpleString()),
-                "kind": F.lit(declared_kind(df, c)), "nulls": F.count_if(F.col(c).isNull()), "avg_length": length}
+                "kind": F.lit(declared_kind(df, c)), "nulls": F.count_if(F.col(c).isNull()), "avg_length": length,
+                "distinct": count(F.col(c))}
 
-    base = per_column(df, columns, metrics)
-    base = base.withColumn("kind", F.when((F.col("kind") == "categorical") & (F.col("avg_length") > TEXT_LENGTH), "text")
-                           .otherwise(F.col("kind")))
-    out = base.join(distinct_counts(df, columns, approximate), "column")
+    out = per_column(df, columns, metrics, {"rows": F.count(F.lit(1))})
+    out = out.withColumn("kind", F.when((F.col("kind") == "categorical") & (F.col("avg_length") > TEXT_LENGTH), "text")
+                         .otherwise(F.col("kind")))
     out = out.withColumn("semantic_type", semantic_type(F.col("kind"), F.col("column")))
     unique = (F.col("distinct") == F.col("rows")) & (F.col("nulls") == 0) & (F.col("rows") > 0)
     is_key = F.col("semantic_type") == "key"
@@ -65,13 +69,27 @@ def describe_columns(df: DataFrame, dataset: str, approximate: bool = False) ->
         (is_key & unique).alias("is_primary_key"), (is_key & ~unique).alias("is_foreign_key"),
         unique.alias("is_unique"), "rows", "nulls",
         F.coalesce(F.try_divide(F.col("nulls") * 100.0, F.col("rows")), F.lit(0.0)).alias("null_pct"), "distinct",
-        (F.col("distinct_ratio") * 100.0).alias("distinct_pct"))
+        F.coalesce(F.try_divide(F.col("distinct") * 100.0, F.col("rows")), F.lit(0.0)).alias("distinct_pct"))
 
 
 def column_catalog(tables: Mapping[str, DataFrame], approximate: bool = False) -> DataFrame:
     return _all([describe_columns(df, name, approximate) for name, df in tables.items()])
 
 
+def key_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Catalog rows of the columns named like keys only.
+
+    Counting distinct values is the expensive part of a catalog; this leaves all other columns
+    unread.
+    """
+    frames = []
+    for name, df in tables.items():
+        keys = [c for c in df.columns if re.search(KEY_NAME, c) and declared_kind(df, c) in ("numeric", "categorical")]
+        if keys:
+            frames.append(describe_columns(df.select(*keys), name))
+    return _all(frames).where("semantic_type = 'key'")
+
+
 def schema_summary(df: DataFrame, dataset: str = "", max_distinct: int = 20, examples: int = 3) -> DataFrame:
     """One line per column; string columns with few values show their most frequent ones."""
     columns = describe_columns(df, dataset)
@@ -188,3 +206,9 @@ def time_series_profile(df: DataFrame, date: str) -> DataFrame:
     return temporal_granularity(df, date).select(
         "column", "rows", "dates", F.datediff("last", "first").alias("span_days"), "granularity",
         F.lit(", ".join(metrics[:5])).alias("key_metrics"), sample_confidence(F.col("rows")).alias("confidence"))
+
+
+def dataset_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``dataset`` and ``row_count`` of each table."""
+    return _all([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("dataset"), "row_count")
+                 for n, df in tables.items()])

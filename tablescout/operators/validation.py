@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescout.functions import numeric_columns, temporal_columns
+from tablescout.functions import correlation, numeric_columns, temporal_columns
 from tablescout.operators.anomaly import NORMAL_P, jarque_bera
 from tablescout.operators.windows import autocorrelation, lagged
 
@@ -96,7 +96,7 @@ def validate_causal(daily: DataFrame, cause: str, effect: str, order: str, max_l
         F.bool_or((F.col("role") == "cause") & F.col("is_stationary")).alias("cause_stationary"),
         F.bool_or((F.col("role") == "effect") & F.col("is_stationary")).alias("effect_stationary"))
     base = daily.agg(
-        F.least(F.count(cause), F.count(effect)).alias("n"), F.corr(F.col(cause).cast("double"), F.col(effect).cast("double")).alias("r"),
+        F.least(F.count(cause), F.count(effect)).alias("n"), correlation(F.col(cause).cast("double"), F.col(effect).cast("double")).alias("r"),
         F.avg(F.col(cause).isNull().cast("int")).alias("m1"), F.avg(F.col(effect).isNull().cast("int")).alias("m2"))
     key = F.lit(f"{cause} -> {effect}").alias("pair")
     base = base.select(key, "*").join(checks.select(key, "*"), "pair")

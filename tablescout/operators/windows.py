@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions import epoch_seconds
+from tablescout.functions import correlation, epoch_seconds
 
 MAX_GROUP_ROWS = 5_000_000
 _RANGE, _CARRY, _POS, _BLOCK, _HALO = "_range", "_carry", "_pos", "_block", "_halo"
@@ -158,7 +158,7 @@ def date_gaps(df: DataFrame, date: str, by: Sequence[str], order: Sequence[str]
 def autocorrelation(series: DataFrame, value: str, by: Sequence[str], order: Sequence[str], lag: int = 12) -> DataFrame:
     """Correlation of a series with itself ``lag`` steps earlier; seasonal beyond 0.3."""
     shifted = lagged(series, value, by, order, lag, "_before")
-    return shifted.groupBy(*by).agg(F.corr(F.col(value).cast("double"), F.col("_before").cast("double")).alias("autocorrelation"),
+    return shifted.groupBy(*by).agg(correlation(F.col(value).cast("double"), F.col("_before").cast("double")).alias("autocorrelation"),
                                     F.count(value).alias("n")).withColumn(
         "is_seasonal", F.coalesce(F.abs("autocorrelation") > 0.3, F.lit(False)))
 
