@@ -1,11 +1,11 @@
 """Exact quantiles whose memory does not grow with the data.
 
-``percentile`` keeps every distinct value of a group in one task.  That is fine for a group of
-``exact_rows`` rows and is what runs there.  A larger group is first narrowed: an approximate
-sketch (``percentile_approx``, combined map-side) brackets each wanted order statistic, one
-counting pass tells how many values lie below and inside the bracket, and the bracket shrinks by
-about the sketch accuracy per round until it is small enough to finish exactly.  The result is the
-linearly interpolated quantile, the same as on the small path.
+``percentile`` keeps every distinct value of a group in one task.  That is fine for few rows and is
+what runs there.  A larger column or group is first narrowed: an approximate sketch
+(``percentile_approx``, combined map-side) proposes bounds around each wanted order statistic, one
+counting pass tells how many values lie below and between them, and the bracket shrinks by orders
+of magnitude per round until it is small enough to finish exactly.  The result is the linearly
+interpolated quantile, the same as on the small path.
 """
 
 from __future__ import annotations
@@ -19,22 +19,28 @@ from pyspark.sql import functions as F
 
 from tablescout.session import durable
 
-EXACT_ROWS = 2_000_000
+EXACT_ROWS = 200_000
+EXACT_GROUP_ROWS = 2_000_000
 _ACCURACY = 10_000
+_SAMPLE_ROWS = 25_000
 
 
 @dataclass
-class _Target:
-    """The ``rank``-th smallest value (from 0), known to lie strictly between ``low`` and ``high``."""
+class _Bracket:
+    """Wanted ranks (from 0) whose values lie strictly between ``low`` and ``high``.
 
-    rank: int
+    ``below`` values are at or under ``low``; ``inside`` lie between the bounds.
+    """
+
+    column: str
+    ranks: tuple[int, ...]
     inside: int
     below: int = 0
     low: float | None = None
     high: float | None = None
-    value: float | None = None
 
-    def masked(self, x: Column) -> Column:
+    def masked(self) -> Column:
+        x = F.col(self.column)
         keep = x.isNotNull()
         if self.low is not None:
             keep = keep & (x > F.lit(self.low))
@@ -42,37 +48,44 @@ class _Target:
             keep = keep & (x < F.lit(self.high))
         return F.when(keep, x)
 
-    def fractions(self) -> tuple[float, float]:
-        centre = (self.rank - self.below + 0.5) / self.inside
-        margin = 2.0 / _ACCURACY
-        return max(0.0, centre - margin), min(1.0, centre + margin)
-
-    def narrow(self, low: float, high: float, under: int, at_low: int, mid: int, at_high: int) -> None:
-        """``under``.. are counts within the present bracket: < low, = low, between, = high."""
-        k = self.rank - self.below
-        if k < under:
-            self.high, self.inside = low, under
-        elif k < under + at_low:
-            self.value = low
-        elif k < under + at_low + mid:
-            self.low, self.high = low, high
-            self.below += under + at_low
-            self.inside = mid
-        elif low != high and k < under + at_low + mid + at_high:
-            self.value = high
-        else:
-            passed = under + at_low + mid + (at_high if low != high else 0)
-            self.low = high
-            self.below += passed
-            self.inside -= passed
-
-
-def _wanted_ranks(n: int, probs: Sequence[float]) -> set[int]:
-    ranks = set()
-    for p in probs:
-        h = p * (n - 1)
-        ranks.update((math.floor(h), math.ceil(h)))
-    return ranks
+    @property
+    def share(self) -> float:
+        """Share of the values that is enough for a good guess."""
+        return min(1.0, max(0.01, _SAMPLE_ROWS / self.inside))
+
+    def fractions(self) -> list[float]:
+        """Where a sample should show each wanted rank, with a margin for its error on both sides."""
+        out = set()
+        for r in self.ranks:
+            centre = (r - self.below + 0.5) / self.inside
+            spread = 0.0 if self.share == 1.0 else 4 * math.sqrt(max(centre * (1 - centre), 1e-6) / (self.share * self.inside))
+            margin = 2.0 / _ACCURACY + spread
+            out.update((max(0.0, centre - margin), min(1.0, centre + margin)))
+        return sorted(out)
+
+    def zone(self, bounds: Sequence[float]) -> Column:
+        """Place of a value among the bounds: odd numbers are the bounds themselves."""
+        x, out = self.masked(), None
+        for i, bound in enumerate(bounds):
+            under = (x < bound, F.lit(2 * i))
+            out = F.when(*under) if out is None else out.when(*under)
+            out = out.when(x == bound, F.lit(2 * i + 1))
+        return out.when(x.isNotNull(), F.lit(2 * len(bounds)))
+
+    def split(self, bounds: Sequence[float], counts: dict[int, int]) -> tuple[dict[int, float], list["_Bracket"]]:
+        """Ranks that fall on a bound, and brackets between bounds for the others."""
+        known, rest, start = {}, [], self.below
+        for z in range(2 * len(bounds) + 1):
+            n = counts.get(z, 0)
+            ranks = tuple(r for r in self.ranks if start <= r < start + n)
+            if ranks and z % 2:
+                known.update({r: bounds[z // 2] for r in ranks})
+            elif ranks:
+                low = bounds[z // 2 - 1] if z else self.low
+                high = bounds[z // 2] if z < 2 * len(bounds) else self.high
+                rest.append(_Bracket(self.column, ranks, n, start, low, high))
+            start += n
+        return known, rest
 
 
 def _interpolate(n: int, probs: Sequence[float], values: dict[int, float]) -> list[float]:
@@ -84,38 +97,36 @@ def _interpolate(n: int, probs: Sequence[float], values: dict[int, float]) -> li
     return out
 
 
-def _refine(df: DataFrame, targets: list[tuple[str, _Target]], exact_rows: int) -> None:
-    """Narrow all targets together; every round is two aggregations over ``df``."""
-    while True:
-        active = [(c, t) for c, t in targets if t.value is None and t.inside > exact_rows]
-        if not active:
-            break
-        row = df.agg(*[
-            F.percentile_approx(t.masked(F.col(c)), F.array(*map(F.lit, t.fractions())), _ACCURACY).alias(f"t{i}")
-            for i, (c, t) in enumerate(active)
-        ]).first()
-        bounds = [row[f"t{i}"] for i in range(len(active))]
-        aggs = []
-        for i, ((c, t), (low, high)) in enumerate(zip(active, bounds)):
-            x = t.masked(F.col(c))
-            aggs += [
-                F.count_if(x < low).alias(f"u{i}"),
-                F.count_if(x == low).alias(f"l{i}"),
-                F.count_if((x > low) & (x < high)).alias(f"m{i}"),
-                F.count_if(x == high).alias(f"h{i}"),
-            ]
-        counts = df.agg(*aggs).first()
-        for i, ((_, t), (low, high)) in enumerate(zip(active, bounds)):
-            t.narrow(low, high, counts[f"u{i}"], counts[f"l{i}"], counts[f"m{i}"], counts[f"h{i}"])
-    rest = [(c, t) for c, t in targets if t.value is None]
-    if rest:
-        row = df.select(*[t.masked(F.col(c)).alias(f"x{i}") for i, (c, t) in enumerate(rest)]).agg(*[
-            F.expr(f"percentile_disc({(t.rank - t.below + 0.5) / t.inside!r}D) WITHIN GROUP (ORDER BY x{i})")
-            .alias(f"v{i}")
-            for i, (_, t) in enumerate(rest)
-        ]).first()
-        for i, (_, t) in enumerate(rest):
-            t.value = row[f"v{i}"]
+def _order_statistics(df: DataFrame, brackets: list[_Bracket], exact_rows: int) -> dict[str, dict[int, float]]:
+    """Values of all wanted ranks; every round guesses bounds from a sample and counts around them.
+
+    The guess only has to be close: the counts decide where each rank really lies.
+    """
+    values: dict[str, dict[int, float]] = {b.column: {} for b in brackets}
+    small = [b for b in brackets if b.inside <= exact_rows]
+    large = [b for b in brackets if b.inside > exact_rows]
+    while large:
+        guesses = df.withColumn("_draw", F.rand(17)).agg(*[
+            F.percentile_approx(F.when(F.col("_draw") < b.share, b.masked()), F.array(*map(F.lit, b.fractions())), _ACCURACY).alias(f"g{i}")
+            for i, b in enumerate(large)]).first()
+        bounds = [sorted(set(guesses[f"g{i}"])) for i in range(len(large))]
+        zones = F.array(*[F.struct(F.lit(i).alias("i"), b.zone(bounds[i]).alias("z")) for i, b in enumerate(large)])
+        counts: list[dict[int, int]] = [{} for _ in large]
+        for r in df.select(F.inline(zones)).where("z is not null").groupBy("i", "z").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["i"]][r["z"]] = r["n"]
+        found = [b.split(bounds[i], counts[i]) for i, b in enumerate(large)]
+        for b, (known, _) in zip(large, found):
+            values[b.column].update(known)
+        rest = [b for _, brackets in found for b in brackets]
+        small += [b for b in rest if b.inside <= exact_rows]
+        large = [b for b in rest if b.inside > exact_rows]
+    if small:
+        row = df.select(*[b.masked().alias(f"x{i}") for i, b in enumerate(small)]).agg(*[
+            F.expr(f"percentile_disc(array({', '.join(f'{(r - b.below + 0.5) / b.inside!r}D' for r in b.ranks)})) "
+                   f"WITHIN GROUP (ORDER BY x{i})").alias(f"v{i}") for i, b in enumerate(small)]).first()
+        for i, b in enumerate(small):
+            values[b.column].update(zip(b.ranks, row[f"v{i}"]))
+    return values
 
 
 def column_quantiles(
@@ -140,11 +151,10 @@ def column_quantiles(
         out.update({c: list(row[c]) for c in small})
     large = [c for c in columns if counts[c] > exact_rows]
     if large:
-        targets = [(c, _Target(rank=r, inside=counts[c])) for c in large for r in _wanted_ranks(counts[c], probs)]
-        _refine(x, targets, exact_rows)
-        for c in large:
-            values = {t.rank: t.value for name, t in targets if name == c}
-            out[c] = _interpolate(counts[c], probs, values)
+        brackets = [_Bracket(c, tuple(sorted({r for p in probs for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))})),
+                             counts[c]) for c in large]
+        values = _order_statistics(x, brackets, exact_rows)
+        out.update({c: _interpolate(counts[c], probs, values[c]) for c in large})
     return out
 
 
@@ -227,7 +237,7 @@ def _hot_group_values(x: DataFrame, by: list[str], state: DataFrame, targets: in
 
 def group_quantiles(
     df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float], names: Sequence[str],
-    exact_rows: int = EXACT_ROWS,
+    exact_rows: int = EXACT_GROUP_ROWS,
 ) -> DataFrame:
     """Quantiles of one column per group: one row per group, one column per name.
 

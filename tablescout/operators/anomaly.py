@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import column_quantiles, group_quantiles, numeric_columns
-from tablescout.functions.quantiles import EXACT_ROWS
+from tablescout.functions.quantiles import EXACT_GROUP_ROWS, EXACT_ROWS
 
 # Thresholds of the methods and of the severities.
 Z_LIMIT = 3.0
@@ -91,13 +91,13 @@ def zscore_anomalies(df: DataFrame, value: str, by: Sequence[str] = (), ids: Seq
 
 
 def iqr_anomalies(df: DataFrame, value: str, by: Sequence[str] = (), ids: Sequence[str] = (), spread: float = IQR_SPREAD,
-                  exact_rows: int = EXACT_ROWS) -> DataFrame:
+                  exact_rows: int | None = None) -> DataFrame:
     """Values beyond ``spread`` interquartile ranges from the quartiles of their group."""
     names = ["q1", "median", "q3"]
     if by:
-        out = _with_group_values(df, by, group_quantiles(df, by, value, [0.25, 0.5, 0.75], names, exact_rows), names)
+        out = _with_group_values(df, by, group_quantiles(df, by, value, [0.25, 0.5, 0.75], names, exact_rows or EXACT_GROUP_ROWS), names)
     else:
-        found = column_quantiles(df, [value], [0.25, 0.5, 0.75], exact_rows)[value] or [None] * 3
+        found = column_quantiles(df, [value], [0.25, 0.5, 0.75], exact_rows or EXACT_ROWS)[value] or [None] * 3
         out = df.withColumns({f"_{n}": F.lit(v).cast("double") for n, v in zip(names, found)})
     q1, median, q3 = (F.col(f"_{n}") for n in names)
     iqr = q3 - q1
@@ -133,15 +133,18 @@ def isolation_forest(df: DataFrame, value: str, ids: Sequence[str], trees: int =
     About twice the needed share of rows is spread over the trees, each tree keeps its first
     ``rows`` in hash order and is grown in a task of its own.
     """
-    n = df.where(F.col(value).isNotNull()).count()
-    share = min(1.0, 2.0 * trees * rows / max(n, 1))
-    picks = df.where(F.col(value).isNotNull()).select(
-        F.col(value).cast("double").alias("x"), F.xxhash64(*ids, F.lit(seed)).alias("h"))
-    if share < 1.0:
-        picks = picks.where(F.pmod("h", F.lit(1_000_000_000)) < int(share * 1_000_000_000)).withColumn(
+    present = df.where(F.col(value).isNotNull())
+    n = present.count()
+    picks = present.select(F.col(value).cast("double").alias("x"), F.xxhash64(*ids, F.lit(seed)).alias("h"))
+    range_ = 1_000_000_000
+    if n > 2 * trees * rows:  # each row belongs to at most one tree
+        picks = picks.where(F.pmod("h", F.lit(range_)) < int(2 * trees * rows / n * range_) + 1).withColumn(
             "tree", F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(trees)))
     else:
-        picks = picks.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
+        every = F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))
+        share = min(1.0, 2 * rows / max(n, 1)) if n > 4 * rows else 1.0
+        picks = picks.withColumn("tree", F.explode(every)).where(
+            F.pmod(F.xxhash64("tree", "h"), F.lit(range_)) < int(share * range_) + 1)
     w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "x")
     picks = picks.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("tree", "x")
 

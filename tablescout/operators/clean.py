@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,11 +218,11 @@ def clean_table(df: DataFrame, semantics: Semantics, edges: Sequence[Mapping] =
     report.add("type_conversion", "columns_converted", len(converted), ", ".join(converted))
 
     kept = drop_missing_keys(out, keys)
-    row = out.agg(F.count(F.lit(1)).alias("_rows")).first()
-    stats = kept.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count_if(F.col(c).isNull()).alias(c) for c in kept.columns]).first()
-    rates = {c: 100.0 * stats[c] / stats["_rows"] if stats["_rows"] else 0.0 for c in kept.columns}
-    report.add("missing_values", "rows_removed", row["_rows"] - stats["_rows"], ", ".join(keys))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys if k in out.columns], F.lit(True))
+    stats = out.agg(F.count(F.lit(1)).alias("_all"), F.count_if(whole).alias("_rows"),
+                    *[F.count_if(whole & F.col(c).isNull()).alias(c) for c in out.columns]).first()
+    rates = {c: 100.0 * stats[c] / stats["_rows"] if stats["_rows"] else 0.0 for c in out.columns}
+    report.add("missing_values", "rows_removed", stats["_all"] - stats["_rows"], ", ".join(keys))
     kept, sparse = drop_sparse(kept, keys, rates)
     report.add("missing_values", "columns_dropped", len(sparse), ", ".join(sparse))
     filled = [c for c in _typed(kept, semantics, "measure", "dimension", "date") if c not in keys and rates[c] > 0]

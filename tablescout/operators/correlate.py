@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -17,26 +16,42 @@ PAIRS_PER_PASS = 300
 TREND_WORDS = ("revenue", "sales", "profit", "cost")
 
 
+def _complete_pairs(row, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> list[tuple]:
+    out = []
+    for a, b in pairs:
+        i, j = columns.index(a), columns.index(b)
+        spread = (row[f"v{i}"] or 0.0) * (row[f"v{j}"] or 0.0)
+        out.append((a, b, row[f"c{i}_{j}"] / spread ** 0.5 if spread > 0 else None, row["n"]))
+    return out
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows that have both.
 
-    All pairs share one pass over the table (per ``PAIRS_PER_PASS`` pairs) and combine map-side.
+    One pass (per ``PAIRS_PER_PASS`` pairs) gives all covariances, combined map-side.  Only pairs
+    with missing values take a second pass, where both columns are masked by each other.
     """
     columns = list(columns or numeric_columns(df))
     pairs = list(combinations(columns, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "var1 string, var2 string, correlation double, n long")
-    frames = []
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    at = {c: i for i, c in enumerate(columns)}
+    found, gaps = [], []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start:start + PAIRS_PER_PASS]
-        aggs, rows = [], []
-        for i, (a, b) in enumerate(part):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            aggs += [correlation(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-            rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"r{i}").alias("correlation"),
-                                 F.col(f"n{i}").alias("n")))
-        frames.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, frames)
+        used = sorted({at[c] for p in part for c in p})
+        row = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"x{i}").alias(f"n{i}") for i in used],
+                    *[F.var_pop(f"x{i}").alias(f"v{i}") for i in used],
+                    *[F.covar_pop(f"x{at[a]}", f"x{at[b]}").alias(f"c{at[a]}_{at[b]}") for a, b in part]).first()
+        full = {c for c in columns if at[c] in used and row[f"n{at[c]}"] == row["n"]}
+        found += _complete_pairs(row, columns, [p for p in part if full.issuperset(p)])
+        gaps += [p for p in part if not full.issuperset(p)]
+    for start in range(0, len(gaps), PAIRS_PER_PASS // 4):
+        part = gaps[start:start + PAIRS_PER_PASS // 4]
+        row = x.agg(*[agg for k, (a, b) in enumerate(part) for agg in (
+            correlation(F.col(f"x{at[a]}"), F.col(f"x{at[b]}")).alias(f"r{k}"),
+            F.count_if(F.col(f"x{at[a]}").isNotNull() & F.col(f"x{at[b]}").isNotNull()).alias(f"n{k}"))]).first()
+        found += [(a, b, row[f"r{k}"], row[f"n{k}"]) for k, (a, b) in enumerate(part)]
+    return df.sparkSession.createDataFrame(found, "var1 string, var2 string, correlation double, n long")
 
 
 def strong_pairs(df: DataFrame, columns: Sequence[str] | None = None, limit: float = STRONG) -> DataFrame:
@@ -75,16 +90,19 @@ def linear_trend(df: DataFrame, time: str, metrics: Sequence[str], by: Sequence[
     the sums small; the intercept is given for 1970-01-01.
     """
     origin = 946_684_800.0
-    t = epoch_seconds(time) - origin
+    timed = df.select(*by, (epoch_seconds(time) - origin).alias("_t"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    known = timed.where(F.col("_t").isNotNull())
     aggs, rows = [], []
     for i, m in enumerate(metrics):
-        x, y = F.when(F.col(m).isNotNull(), t), F.col(m).cast("double")
-        aggs += [F.regr_slope(y, x).alias(f"s{i}"), F.regr_intercept(y, x).alias(f"i{i}"), correlation(x, y).alias(f"r{i}"),
-                 F.regr_count(y, x).alias(f"n{i}")]
-        rows.append(F.struct(F.lit(m).alias("metric"), F.col(f"s{i}").alias("slope"),
-                             (F.col(f"i{i}") - F.col(f"s{i}") * origin).alias("intercept"),
-                             F.col(f"r{i}").alias("correlation"), F.col(f"n{i}").alias("n")))
-    out = df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*rows)))
+        x = F.when(F.col(m).isNotNull(), F.col("_t"))
+        aggs += [F.count(m).alias(f"n{i}"), F.avg(x).alias(f"t{i}"), F.avg(m).alias(f"y{i}"), F.var_pop(x).alias(f"u{i}"),
+                 F.var_pop(m).alias(f"v{i}"), F.covar_pop(x, F.col(m)).alias(f"c{i}")]
+        slope = F.try_divide(f"c{i}", f"u{i}")
+        rows.append(F.struct(
+            F.lit(m).alias("metric"), slope.alias("slope"),
+            (F.col(f"y{i}") - slope * F.col(f"t{i}") - slope * origin).alias("intercept"),
+            F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"u{i}") * F.col(f"v{i}"))).alias("correlation"), F.col(f"n{i}").alias("n")))
+    out = known.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*rows)))
     r, n = F.col("correlation"), F.col("n")
     statistic = r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
     out = out.withColumn("p_value", F.when(F.abs(r) >= 1, 0.0).otherwise(t_two_sided(statistic, (n - 2).cast("double"))))

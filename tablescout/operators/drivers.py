@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -92,7 +91,7 @@ def categorical_drivers(df: DataFrame, metrics: Sequence[str] | None = None, cat
                         max_levels: int = MAX_LEVELS, min_rows: int = 10) -> DataFrame:
     """Share of the variance of each metric that lies between the levels of each category.
 
-    One grouping per category serves all metrics.  Categories with clearly too many levels are
+    One scan serves all metrics and categories.  Categories with clearly too many levels are
     dropped by an estimate before any grouping; the exact limit is applied afterwards.
     """
     metrics = list(metrics or numeric_columns(df))
@@ -102,18 +101,19 @@ def categorical_drivers(df: DataFrame, metrics: Sequence[str] | None = None, cat
     schema = "metric string, factor string, levels long, n long, variance_explained double"
     if not categories:
         return df.sparkSession.createDataFrame([], schema)
-    frames = []
-    for c in categories:
-        aggs = []
-        for i, m in enumerate(metrics):
-            x = F.col(m).cast("double")
-            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-        levels = df.where(F.col(c).isNotNull()).groupBy(c).agg(*aggs)
-        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
-                                   F.col(f"v{i}").alias("var")) for i, m in enumerate(metrics)])
-        frames.append(levels.select(F.lit(c).alias("factor"), F.inline(cells)))
-    cells = reduce(DataFrame.unionByName, frames).where("n > 0")
-    # Between-level squares about the weighted mean, from few rows; centred by their own covariance.
+    aggs = []
+    for i, m in enumerate(metrics):
+        x = F.col(m).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    # One scan groups by each category; the grouping id tells which, by the bit that is not set.
+    levels = df.groupingSets([[c] for c in categories], *categories).agg(F.grouping_id(*categories).alias("_set"), *aggs)
+    everything = 2 ** len(categories) - 1
+    factor = F.coalesce(*[F.when((F.col("_set") == everything - 2 ** (len(categories) - 1 - i)) & F.col(c).isNotNull(), c)
+                          for i, c in enumerate(categories)])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
+                               F.col(f"v{i}").alias("var")) for i, m in enumerate(metrics)])
+    cells = levels.select(factor.alias("factor"), F.inline(cells)).where("factor is not null and n > 0")
+    # Squares between levels about the weighted mean, from one row per level.
     n = F.col("n").cast("double")
     totals = cells.groupBy("metric", "factor").agg(
         F.count(F.lit(1)).alias("levels"), F.sum("n").alias("n"), (F.sum(n * F.col("mean")) / F.sum(n)).alias("grand"),

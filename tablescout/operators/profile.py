@@ -1,7 +1,7 @@
 """Column and table profiles.
 
-Every function makes one aggregation over the table for all columns at once; the wide result row is
-turned into one row per column afterwards.
+Every function makes one aggregation over the table for all columns at once (for up to
+``COLUMNS_PER_PASS`` of them); the wide result row is turned into one row per column afterwards.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tablescout.functions import (
 from tablescout.functions.quantiles import EXACT_ROWS
 
 TEXT_LENGTH = 50
+COLUMNS_PER_PASS = 200
 MIN_ROWS = 10
 
 
@@ -29,6 +30,9 @@ def per_column(
     extra = extra or {}
     if not columns:
         raise ValueError("no column to profile")
+    if len(columns) > COLUMNS_PER_PASS:
+        return per_column(df, columns[:COLUMNS_PER_PASS], metrics, extra).unionByName(
+            per_column(df, columns[COLUMNS_PER_PASS:], metrics, extra))
     wide = [agg.alias(f"e_{name}") for name, agg in extra.items()]
     rows = []
     for i, column in enumerate(columns):

@@ -82,23 +82,21 @@ def overlap_counts(tables: Mapping[str, DataFrame], pairs: Sequence[tuple[str, s
     columns = list(dict.fromkeys(c for p in pairs for c in ((p[0], p[1]), (p[2], p[3]))))
     place = {c: i for i, c in enumerate(columns)}
     patterns = value_patterns(tables, columns)
-
-    def has(index: Column) -> Column:
-        word = F.floor(index / _BITS)
-        words = F.array(*[c for c in patterns.columns if c.startswith("bits")])
-        return F.getbit(F.element_at(words, (word + 1).cast("int")), (index % _BITS).cast("int")) == 1
-
-    table = F.array(*[
-        F.struct(F.lit(place[p[0], p[1]]).alias("a"), F.lit(place[p[2], p[3]]).alias("b"),
-                 *[F.lit(v).alias(n) for n, v in zip(PAIR, p)]) for p in pairs])
-    flagged = F.transform(table, lambda s: F.struct(
-        *[s[n].alias(n) for n in PAIR], has(s["a"]).alias("in_from"), has(s["b"]).alias("in_to")))
-    rows = patterns.select("n_values", F.inline(F.filter(flagged, lambda s: s["in_from"] | s["in_to"])))
-    n = F.col("n_values")
-    return rows.groupBy(*PAIR).agg(
-        F.coalesce(F.sum(F.when(F.col("in_from"), n)), F.lit(0)).alias("from_values"),
-        F.coalesce(F.sum(F.when(F.col("in_to"), n)), F.lit(0)).alias("to_values"),
-        F.coalesce(F.sum(F.when(F.col("in_from") & F.col("in_to"), n)), F.lit(0)).alias("common_values"))
+    words = F.array(*[c for c in patterns.columns if c.startswith("bits")])
+    everyone = F.sequence(F.lit(0), F.lit(len(columns) - 1))
+    members = F.filter(everyone, lambda i: F.getbit(F.element_at(words, (F.floor(i / _BITS) + 1).cast("int")), i % _BITS) == 1)
+    together = (patterns.select("n_values", members.alias("members")).select("n_values", "members", F.explode("members").alias("a"))
+                .select("n_values", "a", F.explode("members").alias("b")).groupBy("a", "b").agg(F.sum("n_values").alias("n")))
+    together = durable(together)
+    spark = together.sparkSession
+    wanted = spark.createDataFrame([(*p, place[p[0], p[1]], place[p[2], p[3]]) for p in pairs],
+                                   ", ".join(f"{n} string" for n in PAIR) + ", a int, b int")
+    own = together.where("a = b")
+    out = wanted.join(together.withColumnRenamed("n", "common_values"), ["a", "b"], "left")
+    out = out.join(own.select("a", F.col("n").alias("from_values")), "a", "left")
+    out = out.join(own.select("b", F.col("n").alias("to_values")), "b", "left")
+    counts = ("from_values", "to_values", "common_values")
+    return out.select(*PAIR, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def relationship_type(from_unique: Column, to_unique: Column) -> Column:

@@ -124,7 +124,8 @@ def similar_pairs(df: DataFrame, key: str, embedding: str, threshold: float, piv
     n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
     width = max(width, 1)
     block_rows = block_rows or max(256, min(20_000, BLOCK_FLOATS // width))
-    pivots = pivots or int(max(1, min(256, n // block_rows)))
+    # Replication is at most pivots / 2 for cells plus n / (pivots * block_rows) for blocks.
+    pivots = pivots or int(max(1, min(4096, (2 * n / block_rows) ** 0.5)))
     kind = rows.schema["id"].dataType
     centres = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     shared = df.sparkSession.sparkContext.broadcast(_unit_rows(centres["vec"]))

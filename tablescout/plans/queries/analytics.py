@@ -195,7 +195,8 @@ def _impact(rows: str, by: str) -> str:
         var_samp(v) FILTER (NOT after) AS v1, var_samp(v) FILTER (after) AS v2 FROM ({rows}) GROUP BY 1),
     q AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS sp, sqrt(v1 / n1 + v2 / n2) AS se, n1 + n2 - 2.0 AS df, 1.959963984540054 AS z FROM s),
     x AS (SELECT k, (m2 - m1) / (sp * sqrt(1.0 / n1 + 1.0 / n2)) AS t, df FROM q){_T_TAIL},
-    f AS (SELECT q.*, x.t, p, z + (power(z, 3) + z) / (4 * q.df) + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / (96 * q.df * q.df) AS tq
+    f AS (SELECT q.*, x.t, p, z + (power(z, 3) + z) / (4 * q.df) + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / (96 * q.df * q.df)
+          + (3 * power(z, 7) + 19 * power(z, 5) + 17 * power(z, 3) - 15 * z) / (384 * power(q.df, 3)) AS tq
           FROM q JOIN x USING (k) JOIN tails USING (k))"""
 
 

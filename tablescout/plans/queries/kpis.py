@@ -114,13 +114,13 @@ def k19_custom_kpi(spark, d):
     return rounded(K.kpi_report(df, [kpi]).select("value", "unit"))
 
 
-@R.add(f"""{BUSINESS} SELECT l_returnflag, strftime(date_trunc('month', ship_date), '%Y-%m') AS month, round(sum(revenue), 1) AS kpi_total_revenue,
+@R.add(f"""{BUSINESS} SELECT l_returnflag, strftime(date_trunc('month', ship_date), '%Y-%m') AS month, round(sum(revenue), 4) AS kpi_total_revenue,
            round(avg(CASE WHEN revenue <> 0 THEN (revenue - unit_cost) / revenue END) * 100, 4) AS kpi_profit_margin FROM b GROUP BY 1, 2""")
 def k20_kpi_by_period(spark, d):
     df = business(spark, d)
     plain = [k for k in K.applicable_kpis(df.columns, "Finance") if k.name in ("Total Revenue", "Profit Margin")]
     out = K.kpi_values(df, plain, ["l_returnflag", F.date_format("ship_date", "yyyy-MM").alias("month")])
-    return rounded(out, 4, kpi_total_revenue=1)
+    return rounded(out, 4)
 
 
 QUERIES, ORACLES = R.queries, R.oracles

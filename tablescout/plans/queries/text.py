@@ -29,18 +29,18 @@ def i1_extract_findings(spark, d):
     return I.extract_findings(table(spark, d, "documents"), "doc_id", "text")
 
 
-@R.add("""WITH b AS (SELECT o_custkey, concat('Top 3 orders by value', chr(10), string_agg(concat('Order ', o_orderkey, ': $', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)), chr(10)
-            ORDER BY o_orderkey), chr(10), 'no figures here') AS text FROM orders GROUP BY 1),
-          l AS (SELECT o_custkey, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM b)
-          SELECT o_custkey, CAST(line_no AS INTEGER) AS line_no, 'Top 3 orders by value' AS title, split_part(line, ':', 1) AS label,
-          CAST(regexp_extract(split_part(line, ':', 2), '[0-9]+\\.?[0-9]*') AS DOUBLE) AS value FROM l WHERE contains(line, '$')""")
+@R.add("""WITH b AS (SELECT l_orderkey, l_partkey, l_linenumber, 'Breakdown by part' AS title, concat('Part ', l_partkey) AS part,
+            CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price, round(l_discount * 100) AS discount FROM lineitem)
+          SELECT l_orderkey, CAST(2 AS INTEGER) AS line_no, title, part AS label, price AS value FROM b UNION ALL
+          SELECT l_orderkey, 3, title, 'Discount', discount FROM b""")
 def i2_extract_listings(spark, d):
-    """Listings written from the orders of each customer, and read back."""
-    orders = table(spark, d, "orders")
-    line = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(": $"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
-    lines = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("lines"))
-    text = F.concat_ws("\n", F.lit("Top 3 orders by value"), F.transform("lines", lambda s: s["line"]), F.lit("no figures here"))
-    return I.extract_listings(lines.select("o_custkey", text.alias("text")), "o_custkey", "text")
+    """A short listing written from each order line, and read back."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    text = F.concat_ws("\n", F.lit("order line"), F.lit("Breakdown by part"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(": $"), price),
+                       F.concat(F.lit("Discount | "), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")), F.lit("no figures here"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    listed = I.extract_listings(lines.select(F.struct("l_orderkey", "row").alias("key"), "text"), "key", "text")
+    return listed.select("key.l_orderkey", "line_no", "title", "label", "value")
 
 
 @R.add(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
@@ -208,15 +208,15 @@ _SALES = f"""WITH s AS (SELECT c_name AS customer, p_brand AS brand, CAST(o_orde
              p_retailprice * l_quantity AS cost, l_extendedprice * l_discount AS spend FROM {_STAR})"""
 
 
-@R.add(_SALES + " SELECT customer, round(sum(revenue), 2) AS revenue, count(*) AS lines FROM s GROUP BY 1 ORDER BY sum(revenue) DESC, 1 LIMIT 10")
+@R.add(_SALES + " SELECT customer, round(sum(revenue), 4) AS revenue, count(*) AS lines FROM s GROUP BY 1 ORDER BY sum(revenue) DESC, 1 LIMIT 10")
 def c6_top_customers(spark, d):
     """The customers with the highest revenue, over the joined star."""
-    return rounded(C.query(spark, {"joined": sales(spark, d)}, C.top_customers_sql("customer", "revenue")), 2)
+    return rounded(C.query(spark, {"joined": sales(spark, d)}, C.top_customers_sql("customer", "revenue")), 4)
 
 
-@R.add(_SALES + " SELECT brand AS product, round(sum(revenue), 1) AS revenue, round((sum(revenue) - sum(cost)) / sum(revenue) * 100, 5) AS margin_pct FROM s GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10")
+@R.add(_SALES + " SELECT brand AS product, round(sum(revenue), 4) AS revenue, round((sum(revenue) - sum(cost)) / sum(revenue) * 100, 5) AS margin_pct FROM s GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10")
 def c6_best_margins(spark, d):
-    return rounded(C.query(spark, {"joined": sales(spark, d)}, C.best_margins_sql("brand", "revenue", "cost")), 5, revenue=1)
+    return rounded(C.query(spark, {"joined": sales(spark, d)}, C.best_margins_sql("brand", "revenue", "cost")), 5, revenue=4)
 
 
 @R.add(_SALES + """ SELECT customer, CAST(max(order_date) AS VARCHAR) AS last_date, count(*) AS lines, date_diff('day', max(order_date), (SELECT max(order_date) FROM s)) AS idle_days
@@ -226,9 +226,9 @@ def c6_churn_risk(spark, d):
     return out.withColumns({"last_date": F.col("last_date").cast("string"), "idle_days": F.col("idle_days").cast("long")})
 
 
-@R.add(_SALES + " SELECT strftime(order_date, '%Y-%m') AS month, round(sum(revenue), 1) AS revenue, round(sum(spend), 1) AS spend, round(sum(revenue) / sum(spend), 6) AS roi FROM s GROUP BY 1")
+@R.add(_SALES + " SELECT strftime(order_date, '%Y-%m') AS month, round(sum(revenue), 4) AS revenue, round(sum(spend), 4) AS spend, round(sum(revenue) / sum(spend), 6) AS roi FROM s GROUP BY 1")
 def c6_monthly_return(spark, d):
-    return rounded(C.query(spark, {"joined": sales(spark, d)}, C.monthly_return_sql("order_date", "revenue", "spend")), 6, revenue=1, spend=1)
+    return rounded(C.query(spark, {"joined": sales(spark, d)}, C.monthly_return_sql("order_date", "revenue", "spend")), 6, revenue=4, spend=4)
 
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -55,6 +55,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage (survives the loss of executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and cut its lineage.
+
+    It survives the loss of executors, later passes read only the columns they need, and Spark knows
+    its size when it chooses a join.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,8 @@ from tablescout.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "tablescout-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g",
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+           "spark.sql.codegen.wholeStage": "false",  # compiling costs more than it saves on tiny tables
            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
