@@ -22,10 +22,21 @@ COLUMNS_PER_PASS = 200
 MIN_ROWS = 10
 
 
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def per_column(
-    df: DataFrame, columns: Sequence[str], metrics: Callable[[str], dict[str, Column]], extra: dict[str, Column] | None = None,
+    df: DataFrame, columns: Sequence[str], metrics: Callable[[str], dict[str, Column | str]], extra: dict[str, Column | str] | None = None,
 ) -> DataFrame:
-    """One row per column with its ``metrics``; ``extra`` aggregates repeat on every row."""
+    """One row per column with its ``metrics``; ``extra`` aggregates repeat on every row.
+
+    A metric is an aggregate as a Column or as a SQL expression.
+    """
     columns = list(columns)
     extra = extra or {}
     if not columns:
@@ -33,15 +44,18 @@ def per_column(
     if len(columns) > COLUMNS_PER_PASS:
         return per_column(df, columns[:COLUMNS_PER_PASS], metrics, extra).unionByName(
             per_column(df, columns[COLUMNS_PER_PASS:], metrics, extra))
-    wide = [agg.alias(f"e_{name}") for name, agg in extra.items()]
+
+    def named(agg: Column | str, name: str) -> Column:
+        return F.expr(f"{agg} AS {name}") if isinstance(agg, str) else agg.alias(name)
+
+    wide = [named(agg, f"e_{name}") for name, agg in extra.items()]
     rows = []
     for i, column in enumerate(columns):
-        named = metrics(column)
-        wide += [agg.alias(f"m{i}_{name}") for name, agg in named.items()]
-        rows.append(F.struct(
-            F.lit(column).alias("column"), *[F.col(f"e_{n}").alias(n) for n in extra],
-            *[F.col(f"m{i}_{n}").alias(n) for n in named]))
-    return df.agg(*wide).select(F.inline(F.array(*rows)))
+        found = metrics(column)
+        wide += [named(agg, f"m{i}_{name}") for name, agg in found.items()]
+        fields = [f"{literal(column)} AS column", *[f"e_{n} AS `{n}`" for n in extra], *[f"m{i}_{n} AS `{n}`" for n in found]]
+        rows.append(f"struct({', '.join(fields)})")
+    return df.agg(*wide).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def declared_kind(df: DataFrame, column: str) -> str:
@@ -77,14 +91,13 @@ def column_kinds(df: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Distinct non-null values per column and their share of all rows."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    out = per_column(df, columns or comparable_columns(df), lambda c: {"distinct": count(F.col(c))},
-                     {"rows": F.count(F.lit(1))})
+    count = "approx_count_distinct({})" if approximate else "count(DISTINCT {})"
+    out = per_column(df, columns or comparable_columns(df), lambda c: {"distinct": count.format(quoted(c))}, {"rows": "count(1)"})
     return out.withColumn("distinct_ratio", F.coalesce(F.try_divide("distinct", "rows"), F.lit(0.0)))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    out = per_column(df, df.columns, lambda c: {"nulls": F.count_if(F.col(c).isNull())}, {"rows": F.count(F.lit(1))})
+    out = per_column(df, df.columns, lambda c: {"nulls": f"count_if({quoted(c)} IS NULL)"}, {"rows": "count(1)"})
     return (out.withColumn("null_pct", F.coalesce(F.try_divide(F.col("nulls") * 100.0, F.col("rows")), F.lit(0.0)))
             .withColumn("all_null", (F.col("nulls") == F.col("rows")) & (F.col("rows") > 0)))
 
@@ -136,12 +149,14 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_r
     """Mean, sample deviation, range, quartiles, distinct and missing values per numeric column."""
     columns = list(columns or numeric_columns(df))
     quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75], exact_rows)
-    return per_column(df, columns, lambda c: {
-        "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double"),
-        "missing": F.count_if(F.col(c).isNull()), "distinct": F.count_distinct(F.col(c)),
-        **{name: F.lit(quartiles[c][i] if quartiles[c] else None).cast("double")
-           for i, name in enumerate(("q25", "q50", "q75"))},
-    })
+
+    def metrics(c: str) -> dict[str, str]:
+        q, found = quoted(c), quartiles[c] or [None] * 3
+        return {"mean": f"avg({q})", "std": f"stddev_samp({q})", "min": f"CAST(min({q}) AS DOUBLE)", "max": f"CAST(max({q}) AS DOUBLE)",
+                "missing": f"count_if({q} IS NULL)", "distinct": f"count(DISTINCT {q})",
+                **{name: "CAST(NULL AS DOUBLE)" if v is None else f"{v!r}D" for name, v in zip(("q25", "q50", "q75"), found)}}
+
+    return per_column(df, columns, metrics)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablescout.functions import numeric_columns, string_columns, temporal_columns
 from tablescout.operators.profile import (
-    TEXT_LENGTH, comparable_columns, declared_kind, per_column, sample_confidence, temporal_granularity, top_values,
+    TEXT_LENGTH, comparable_columns, declared_kind, literal, per_column, quoted, sample_confidence, temporal_granularity, top_values,
 )
 
 # Name endings that mark a column to join on.
@@ -47,29 +47,25 @@ def describe_columns(df: DataFrame, dataset: str, approximate: bool = False) ->
     ``approximate`` estimates distinct counts; use it when only rough cardinalities are needed,
     key candidates then are rough as well.
     """
-    strings = set(string_columns(df))
-    columns = comparable_columns(df)
-
-    count = F.approx_count_distinct if approximate else F.count_distinct
-
-    def metrics(c: str) -> dict[str, Column]:
-        length = F.avg(F.length(c)) if c in strings else F.lit(None).cast("double")
-        return {"position": F.lit(df.columns.index(c)), "type": F.lit(df.schema[c].dataType.simpleString()),
-                "kind": F.lit(declared_kind(df, c)), "nulls": F.count_if(F.col(c).isNull()), "avg_length": length,
-                "distinct": count(F.col(c))}
-
-    out = per_column(df, columns, metrics, {"rows": F.count(F.lit(1))})
-    out = out.withColumn("kind", F.when((F.col("kind") == "categorical") & (F.col("avg_length") > TEXT_LENGTH), "text")
-                         .otherwise(F.col("kind")))
-    out = out.withColumn("semantic_type", semantic_type(F.col("kind"), F.col("column")))
-    unique = (F.col("distinct") == F.col("rows")) & (F.col("nulls") == 0) & (F.col("rows") > 0)
-    is_key = F.col("semantic_type") == "key"
-    return out.select(
-        F.lit(dataset).alias("dataset"), "column", "position", "type", "kind", "semantic_type",
-        (is_key & unique).alias("is_primary_key"), (is_key & ~unique).alias("is_foreign_key"),
-        unique.alias("is_unique"), "rows", "nulls",
-        F.coalesce(F.try_divide(F.col("nulls") * 100.0, F.col("rows")), F.lit(0.0)).alias("null_pct"), "distinct",
-        F.coalesce(F.try_divide(F.col("distinct") * 100.0, F.col("rows")), F.lit(0.0)).alias("distinct_pct"))
+    strings, place = set(string_columns(df)), {c: i for i, c in enumerate(df.columns)}
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    count = "approx_count_distinct({})" if approximate else "count(DISTINCT {})"
+
+    def metrics(c: str) -> dict[str, str]:
+        q = quoted(c)
+        return {"position": str(place[c]), "type": literal(types[c]), "kind": literal(declared_kind(df, c)),
+                "nulls": f"count_if({q} IS NULL)", "avg_length": f"avg(length({q}))" if c in strings else "CAST(NULL AS DOUBLE)",
+                "distinct": count.format(q)}
+
+    out = per_column(df, comparable_columns(df), metrics, {"rows": "count(1)"})
+    typed = out.withColumn("kind", F.expr(f"CASE WHEN kind = 'categorical' AND avg_length > {TEXT_LENGTH} THEN 'text' ELSE kind END"))
+    typed = typed.withColumn("semantic_type", semantic_type(F.col("kind"), F.col("column")))
+    unique = "`distinct` = `rows` AND nulls = 0 AND `rows` > 0"
+    return typed.selectExpr(
+        f"{literal(dataset)} AS dataset", "column", "position", "type", "kind", "semantic_type",
+        f"semantic_type = 'key' AND {unique} AS is_primary_key", f"semantic_type = 'key' AND NOT ({unique}) AS is_foreign_key",
+        f"{unique} AS is_unique", "`rows`", "nulls", "coalesce(try_divide(nulls * 100.0D, `rows`), 0.0D) AS null_pct", "`distinct`",
+        "coalesce(try_divide(`distinct` * 100.0D, `rows`), 0.0D) AS distinct_pct")
 
 
 def column_catalog(tables: Mapping[str, DataFrame], approximate: bool = False) -> DataFrame:
