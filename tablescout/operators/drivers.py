@@ -113,14 +113,13 @@ def categorical_drivers(df: DataFrame, metrics: Sequence[str] | None = None, cat
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
                                F.col(f"v{i}").alias("var")) for i, m in enumerate(metrics)])
     cells = levels.select(factor.alias("factor"), F.inline(cells)).where("factor is not null and n > 0")
-    # Squares between levels about the weighted mean, from one row per level.
     n = F.col("n").cast("double")
     totals = cells.groupBy("metric", "factor").agg(
         F.count(F.lit(1)).alias("levels"), F.sum("n").alias("n"), (F.sum(n * F.col("mean")) / F.sum(n)).alias("grand"),
-        F.sum(n * F.col("var")).alias("within"))
-    spread = cells.join(totals.select("metric", "factor", "grand"), ["metric", "factor"]).groupBy("metric", "factor").agg(
-        F.sum(n * F.pow(F.col("mean") - F.col("grand"), 2)).alias("between"))
-    out = totals.join(spread, ["metric", "factor"]).where((F.col("levels") < max_levels) & (F.col("n") > min_rows))
+        F.sum(n * F.col("var")).alias("within"), F.collect_list(F.struct(n.alias("n"), "mean")).alias("parts"))
+    # The estimate above keeps the list of levels short.
+    between = F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["n"] * F.pow(p["mean"] - F.col("grand"), F.lit(2.0)))
+    out = totals.withColumn("between", between).where((F.col("levels") < max_levels) & (F.col("n") > min_rows))
     return out.select("metric", "factor", "levels", "n",
                       F.try_divide("between", F.col("between") + F.col("within")).alias("variance_explained"))
 

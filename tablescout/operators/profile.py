@@ -16,6 +16,7 @@ from tablescout.functions import (
     boolean_columns, column_quantiles, day_of, numeric_columns, row_digest, string_columns, temporal_columns,
 )
 from tablescout.functions.quantiles import EXACT_ROWS
+from tablescout.session import durable
 
 TEXT_LENGTH = 50
 COLUMNS_PER_PASS = 200
@@ -177,19 +178,22 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """Distinct and missing values, most common value and its count, top ``k`` as ``value=count`` text."""
+    """Distinct and missing values, most common value and its count, top ``k`` as ``value=count`` text.
+
+    The table is read once; the counted values are materialised for the totals and the ranking.
+    """
     columns = list(columns or string_columns(df))
-    counts = value_counts(df, columns)
-    totals = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("freq").alias("present"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = durable(df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
+    totals = counts.groupBy("column").agg(
+        F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("freq"))), F.lit(0)).alias("missing"))
     w = Window.partitionBy("column").orderBy(F.desc("freq"), F.asc("value"))
-    tops = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    tops = counts.where("value is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     best = tops.groupBy("column").agg(
         F.min_by("value", "rank").alias("most_common"), F.max("freq").alias("most_common_freq"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "freq"))),
                                  lambda s: F.concat(s["value"], F.lit("="), s["freq"].cast("string"))), ", ").alias("top"))
-    missing = per_column(df, columns, lambda c: {"missing": F.count_if(F.col(c).isNull())})
-    return (missing.join(totals.drop("present"), "column", "left").join(best, "column", "left")
-            .fillna(0, ["distinct", "most_common_freq"]))
+    return totals.join(best, "column", "left").fillna(0, ["most_common_freq"])
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
@@ -258,14 +262,15 @@ def temporal_granularity(df: DataFrame, column: str, min_rows: int = 12) -> Data
     days = df.select(day_of(column).alias("day")).where("day is not null").groupBy("day").agg(
         F.count(F.lit(1)).alias("rows"))
     gaps = days.withColumn("gap", F.datediff("day", F.lag("day").over(Window.orderBy("day"))))
-    mode = gaps.where("gap is not null").groupBy("gap").agg(F.count(F.lit(1)).alias("times")).agg(
-        F.min_by("gap", F.struct(-F.col("times"), F.col("gap"))).alias("gap_days"))
-    totals = days.agg(F.count(F.lit(1)).alias("dates"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-                      F.min("day").alias("first"), F.max("day").alias("last"))
+    per_gap = gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("times"), F.sum("rows").alias("rows"),
+                                      F.min("day").alias("first"), F.max("day").alias("last"))
+    usual = F.when(F.col("gap").isNotNull(), F.struct(-F.col("times"), F.col("gap")))
+    totals = per_gap.agg(
+        F.coalesce(F.sum("times"), F.lit(0)).alias("dates"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("gap", usual).alias("gap_days"))
     gap = F.col("gap_days")
     rhythm = (F.when(gap == 1, "daily").when(gap == 7, "weekly").when(gap.between(28, 31), "monthly")
               .when(gap.between(90, 92), "quarterly").when(gap.between(365, 366), "yearly"))
-    key = F.lit(column).alias("column")
-    return (totals.select(key, "*").join(mode.select(key, "*"), "column", "left")
+    return (totals.select(F.lit(column).alias("column"), "*")
             .withColumn("granularity", rhythm)
             .withColumn("is_time_series", F.col("granularity").isNotNull() & (F.col("rows") >= min_rows)))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,12 +188,12 @@ def cross_table_context(tables: Mapping[str, DataFrame], edges: Sequence[Mapping
     linked = [e[k] for e in edges for k in ("from_dataset", "to_dataset")]
     links = reduce(lambda acc, t: acc.when(F.col("dataset") == t, F.lit(linked.count(t))), sorted(set(linked)),
                    F.when(F.lit(False), F.lit(0))).otherwise(F.lit(0))
-    together = per_table.agg(F.bool_and("has_time").alias("all_have_time"),
-                             F.array_sort(F.array_distinct(F.flatten(F.collect_list("dimensions")))).alias("shared"))
-    key = F.lit(1).alias("_one")
-    return (per_table.select("*", links.alias("links"), key).join(together.select("*", key), "_one").select(
-        "dataset", "rows", "measures", "has_time", F.array_join("dimensions", ", ").alias("dimensions"), "links",
-        "all_have_time", F.array_join("shared", ", ").alias("all_dimensions")))
+    # One row per table, so a window over all of them stays small.
+    everything = Window.partitionBy()
+    shared = F.array_sort(F.array_distinct(F.flatten(F.collect_list("dimensions").over(everything))))
+    return per_table.select(
+        "dataset", "rows", "measures", "has_time", F.array_join("dimensions", ", ").alias("dimensions"), links.alias("links"),
+        F.bool_and("has_time").over(everything).alias("all_have_time"), F.array_join(shared, ", ").alias("all_dimensions"))
 
 
 def time_series_profile(df: DataFrame, date: str) -> DataFrame:

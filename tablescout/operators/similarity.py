@@ -85,14 +85,15 @@ def top_matches(queries: DataFrame, corpus: DataFrame, key: str, embedding: str,
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             for batch in batches:
-                found = _unit_rows(batch[embedding]) @ q.T if len(ids) and len(batch) else np.zeros((0, 0))
-                found = np.clip(found, 0.0, 1.0)
-                keys = batch[key].to_numpy()
-                for j in range(found.shape[1]):
-                    hit = np.flatnonzero((found[:, j] > threshold) & (keys != ids[j]))
-                    hit = hit[np.lexsort((keys[hit], -found[hit, j]))][:k]
-                    if len(hit):
-                        yield pd.DataFrame({"query_id": ids[j], "match_id": keys[hit], "similarity": found[hit, j]})
+                keys, x = batch[key].to_numpy(), _unit_rows(batch[embedding])
+                step = max(1, BLOCK_FLOATS // max(1, len(keys)))
+                for start in range(0, len(ids) if len(keys) else 0, step):
+                    score = np.clip(x @ q[start:start + step].T, 0.0, 1.0)
+                    row, col = np.nonzero(score > threshold)
+                    found = pd.DataFrame({"query_id": ids[start + col], "match_id": keys[row], "similarity": score[row, col]})
+                    found = found[found["query_id"] != found["match_id"]]
+                    found = found.sort_values(["similarity", "match_id"], ascending=[False, True])
+                    yield found.groupby("query_id", sort=False).head(k)
 
         kind = corpus.schema[key].dataType
         schema = T.StructType([T.StructField("query_id", kind), T.StructField("match_id", kind),
