@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablescout.functions import numeric_columns, string_columns, temporal_columns
 from tablescout.operators.profile import (
