@@ -35,8 +35,8 @@ def _jb(c: str) -> str:
 
 # Two-sided tail of Student's t by Simpson's rule: a table x(t, df) gives p per key k.
 _T_TAIL = """, grid AS (SELECT k, t, df, i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM x, range(0, 2001) r(i)),
-    tails AS (SELECT k, 1 - 2 * sum(w * power(1 + power(abs(t) * i / 2000.0, 2) / df, -(df + 1) / 2)) * abs(t) / 6000.0
-              * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS p FROM grid GROUP BY k, t, df)"""
+    tails AS (SELECT k, greatest(0.0, 1 - 2 * sum(w * power(1 + power(abs(t) * i / 2000.0, 2) / df, -(df + 1) / 2)) * abs(t) / 6000.0
+              * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())) AS p FROM grid GROUP BY k, t, df)"""
 
 
 @R.add(f"{_Z} SELECT event_type, event_id, value, round(m, 5) AS expected_value, round(value - m, 5) AS deviation, {_Z_SEVERITY} AS severity, round(score, 6) AS anomaly_score FROM z")
