@@ -154,10 +154,12 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_r
     def metrics(c: str) -> dict[str, str]:
         q, found = quoted(c), quartiles[c] or [None] * 3
         return {"mean": f"avg({q})", "std": f"stddev_samp({q})", "min": f"CAST(min({q}) AS DOUBLE)", "max": f"CAST(max({q}) AS DOUBLE)",
-                "missing": f"count_if({q} IS NULL)", "distinct": f"count(DISTINCT {q})",
+                "missing": f"count_if({q} IS NULL)",
                 **{name: "CAST(NULL AS DOUBLE)" if v is None else f"{v!r}D" for name, v in zip(("q25", "q50", "q75"), found)}}
 
-    return per_column(df, columns, metrics)
+    # Counted apart: distinct counts repeat each row per column, which the other figures need not carry.
+    distinct = distinct_counts(df, columns).select("column", "distinct")
+    return per_column(df, columns, metrics).join(distinct, "column")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
