@@ -91,3 +91,16 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     Further columns, whatever their names, are left behind here, so none can clash with those of an operator.
     """
     return df.select(*[F.col(f"`{c}`") for c in columns]).where(F.col(f"`{columns[0]}`").isNotNull())
+
+
+def one_row_per_id(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows that repeat an id are one document; where their texts differ the smallest one counts."""
+    key = df.columns[0]
+    if df.groupBy(key).count().where("count > 1").isEmpty():
+        return df
+    return df.groupBy(key).agg(F.min(text).alias(text))
+
+
+def long(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit hashes as Spark's signed longs."""
+    return x.view(np.int64)
