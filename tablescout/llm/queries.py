@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import jaccard_join, language_id, packing, quality, substring_dedup
+from tablescout.llm import decontaminate, jaccard_join, language_id, packing, quality, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,6 +26,11 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(docs, substring_dedup.repeats(docs))
 
 
+@query
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
@@ -46,3 +51,20 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.with_fold(quality.score(docs, quality.fit(docs, table(spark, folder, "labels"))))
+
+
+# The share of an item's 5-word shingles that occur in a document, for every pair that shares one; 80 % or more counts.
+ORACLES["op4_benchmark_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+           FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+b AS (SELECT item_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS s
+      FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS s
+      FROM d WHERE len(w) > 0)
+SELECT doc_id, item_id, count(*) AS shared, item_shingles, count(*) / item_shingles AS containment
+FROM g JOIN i USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 100 >= item_shingles * 80
+"""
