@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablescout.llm import decontaminate, jaccard_join, language_id, packing, quality, substring_dedup
+from tablescout.llm import ann, decontaminate, jaccard_join, katz, language_id, packing, quality, substring_dedup
+from tablescout.llm.words import fold
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,11 +38,22 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scored = katz.score(table(spark, folder, "documents"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op8_ann_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), every=20)
+
+
 @query
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
