@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import ann, decontaminate, jaccard_join, katz, language_id, packing, quality, substring_dedup
+from tablescout.llm import ann, decontaminate, jaccard_join, katz, language_id, license_scan, packing, quality, substring_dedup, token_counts
 from tablescout.llm.words import fold
 
 QUERIES: dict = {}
@@ -28,6 +28,16 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(docs, substring_dedup.repeats(docs))
 
 
+@query
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
