@@ -64,4 +64,14 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored steps that nothing reads any more; takes only what ``durable`` returned."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
