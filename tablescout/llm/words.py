@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts, for expressions that stay in the JVM.
@@ -85,11 +85,19 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and about 4 MB in this session, because documents are long."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns of the rows that have an id, which is the first of them.
 
     Further columns, whatever their names, are left behind here, so none can clash with those of an operator.
     """
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).where(F.col(f"`{columns[0]}`").isNotNull())
 
 
