@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.session import durable
+from tablescout.session import discard, durable
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -26,12 +26,13 @@ def components(links: DataFrame) -> DataFrame:
         both = durable(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, _ = _stored(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        tied, _ = _stored(large)
+        discard(edges, both, low)
         # Small star: u and its smaller neighbours are tied to the smallest of them.
-        low = durable(edges.groupBy("u").agg(F.min("v").alias("m")))
-        small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, now = _stored(small.unionByName(low.select("u", F.col("m").alias("v")))
-                             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        low = durable(tied.groupBy("u").agg(F.min("v").alias("m")))
+        small = tied.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        edges, now = _stored(small.unionByName(low.select("u", F.col("m").alias("v"))))
+        discard(tied, low)
         if now == state:
             break
         state = now

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.components import components
 from tablescout.llm.words import GOLDEN, MIX_A, MIX_B, WordHashes, long, mix, one_row_per_id, only, raw, shingle_set
-from tablescout.session import durable
+from tablescout.session import discard, durable
 
 RATIO = 1.65
 FLUSH = 1_000_000
@@ -96,7 +96,8 @@ def signatures(s: np.ndarray, plan: Plan, band: int) -> np.ndarray:
     start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
     ids, counts = seg[start], np.diff(np.append(start, len(seg)))
     sums = np.add.reduceat(values, start)
-    salt = mix((ids + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(band + 1) * np.uint64(MIX_A))
+    own = np.uint64((band + 1) * MIX_A & (1 << 64) - 1)
+    salt = mix((ids + 1).astype(np.uint64) * np.uint64(GOLDEN) + own)
     full = sums + salt
     out = [full]
     wide = np.repeat((ids >= plan.ones) & (counts > 1), counts)
@@ -106,7 +107,7 @@ def signatures(s: np.ndarray, plan: Plan, band: int) -> np.ndarray:
     if reached < plan.need:  # the second family, with empty segments, for sets that are not covered
         alone = np.uint64(MIX_B)
         every = np.arange(plan.ones + plan.twos)
-        base = mix((every + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(band + 1) * np.uint64(MIX_A))
+        base = mix((every + 1).astype(np.uint64) * np.uint64(GOLDEN) + own)
         base[ids] += sums
         out += [mix(base ^ alone), mix(deletions ^ alone)]
         single = (ids >= plan.ones) & (counts == 1)
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # Members of one signature that are still apart: all pairs of different components.
     open_ = apart(hits, labels).select("sig").distinct()
-    inside = hits.join(durable(open_), "sig")
+    inside = hits.join(open_, "sig")
     around = durable(inside.select("sig", "u", F.col("nu").alias("n")).union(inside.select("sig", "v", "nv")).distinct())
     a = around.select("sig", "u", F.col("n").alias("nu"))
     b = around.select("sig", F.col("u").alias("v"), F.col("n").alias("nv"))
@@ -313,6 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = durable(verified(left.join(tested, ["u", "v"], "left_anti"), sets, percent))
     if not more.isEmpty():
         labels = durable(components(links.unionByName(more)))
+    discard(hits, pairs, nodes, sets, rest, around)
     found = member.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component"))
     return known.join(found, "doc_id", "left").select(

@@ -91,7 +91,11 @@ def fit(docs: DataFrame, per_language: int = 500, max_rows: int = 2000, bits: in
              .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id", FOLDS) != HELD_OUT)))
     count = lambda t: gram_counts(code_points(t.lower()), ORDERS, bits)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    chosen = (train.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("rank", rank)
+    # About three times the rows that are wanted of each language go into the ranking, whatever the size of the corpus.
+    share = 3 * per_language / F.col("n")
+    few = (train.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).join(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang")
+           .where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)))
+    chosen = (few.withColumn("rank", rank)
               .where(F.col("rank") <= per_language).orderBy("rank", "key", "doc_id", "lang").limit(max_rows).select("doc_id", "lang").distinct())
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.features import Shapes
 from tablescout.llm.frequencies import document_frequencies, inverse
-from tablescout.llm.words import fold, only
+from tablescout.llm.words import fold, only, small_batches
 
 FOLDS, HELD_OUT = 3, 1
 BLOCK = 128
@@ -128,6 +128,30 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: QualityModel | None, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores at least ``least``; one pass without a shuffle.
+
+    Without a model nothing can be judged, and every row with a ``doc_id`` stays.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull())
+    if model is None:
+        return docs
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        shapes = Shapes(m.bits)
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                good = vote(m, np.array([shapes.counts(t or "") for t in part.column(at).to_pylist()], np.float32)) >= least
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def with_fold(scores: DataFrame) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))

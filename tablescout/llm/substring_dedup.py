@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.words import GOLDEN, MIX_A, WordHashes, gram_hashes, long, mix, one_row_per_id, only, raw
-from tablescout.session import durable
+from tablescout.llm.words import GOLDEN, MIX_A, WordHashes, gram_hashes, long, mix, one_row_per_id, only, raw, small_batches
+from tablescout.session import discard, durable
 
 MIN_WORDS, SEED_WORDS = 20, 8
 PIECES = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -106,6 +106,7 @@ def repeats(docs: DataFrame, n: int = MIN_WORDS, k: int = SEED_WORDS) -> DataFra
     found = seeds(docs, n, k)
     shared = durable(found.groupBy("anchor").count().where("count > 1").select("anchor"))
     hits = durable(found.join(shared, "anchor"))
+    discard(shared)
     classes = durable(hits.groupBy("anchor", "ctx").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("first")))
     copies = (hits.join(classes, ["anchor", "ctx"])
               .where("doc_id > first.doc_id or (doc_id = first.doc_id and lo > first.lo)")
@@ -157,11 +158,23 @@ def without(text: bytes, spans: list[dict] | None) -> bytes:
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc_id, text`` of every document that has spans, with the spans cut out of the text."""
+    """The same rows and columns with the spans cut out of ``text`` (and ``n_chars``, if there, set to its length)."""
+    names = docs.columns
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without(t, s) for t, s in zip(raw(batch.column(1)), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
-
-    return one_row_per_id(only(docs, "doc_id", "text")).join(spans, "doc_id").mapInArrow(run, "doc_id long, text string")
+            columns = batch.columns[:-1]
+            cuts = batch.column(len(columns)).to_pylist()
+            texts = [t and without(t, s) for t, s in zip(columns[text].cast(pa.large_binary()).to_pylist(), cuts)]
+            if chars is not None:
+                count = columns[chars].to_pylist()
+                columns[chars] = pa.array([len(t.decode()) if t is not None and s else n for t, s, n in zip(texts, cuts, count)], columns[chars].type)
+            columns[text] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    small_batches(docs.sparkSession)
+    d, s = docs.alias("d"), spans.alias("s")
+    joined = d.join(s, F.col("d.doc_id") == F.col("s.doc_id"), "left").select(*[F.col(f"d.`{c}`") for c in names], F.col("s.spans"))
+    return joined.mapInArrow(run, schema)
