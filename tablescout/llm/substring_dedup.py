@@ -175,6 +175,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     small_batches(docs.sparkSession)
+    free = "spans_of" + max(names, key=len)  # no column of the table is called so
     d, s = docs.alias("d"), spans.alias("s")
-    joined = d.join(s, F.col("d.doc_id") == F.col("s.doc_id"), "left").select(*[F.col(f"d.`{c}`") for c in names], F.col("s.spans"))
+    joined = d.join(s, F.col("d.doc_id") == F.col("s.doc_id"), "left").select(*[F.col(f"d.`{c}`") for c in names], F.col("s.spans").alias(free))
     return joined.mapInArrow(run, schema)
