@@ -129,22 +129,17 @@ def isolation_forest(df: DataFrame, value: str, ids: Sequence[str], trees: int =
                      seed: int = 42) -> DataFrame:
     """The intervals of all trees: ``tree``, ``low``, ``high``, ``path``.
 
-    Rows are drawn by a hash of their identity, so the forest does not depend on partitioning.
-    About twice the needed share of rows is spread over the trees, each tree keeps its first
-    ``rows`` in hash order and is grown in a task of its own.
+    Every tree draws rows by one hash of tree and row, about twice as many as it needs, and keeps the first ``rows`` of them in hash
+    order: the same rule for tables of every size, whatever the partitioning.  A tree is grown in a task of its own.
     """
     present = df.where(F.col(value).isNotNull())
     n = present.count()
     picks = present.select(F.col(value).cast("double").alias("x"), F.xxhash64(*ids, F.lit(seed)).alias("h"))
     range_ = 1_000_000_000
-    if n > 2 * trees * rows:  # each row belongs to at most one tree
-        picks = picks.where(F.pmod("h", F.lit(range_)) < int(2 * trees * rows / n * range_) + 1).withColumn(
-            "tree", F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(trees)))
-    else:
-        every = F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))
-        share = min(1.0, 2 * rows / max(n, 1)) if n > 4 * rows else 1.0
-        picks = picks.withColumn("tree", F.explode(every)).where(
-            F.pmod(F.xxhash64("tree", "h"), F.lit(range_)) < int(share * range_) + 1)
+    share = int(min(1.0, 2 * rows / max(n, 1)) * range_) + 1
+    drawn = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")),
+                     lambda t: F.pmod(F.xxhash64(t, "h"), F.lit(range_)) < share)
+    picks = picks.select("x", "h", F.explode_outer(drawn).alias("tree")).where("tree is not null")
     w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "x")
     picks = picks.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("tree", "x")
 

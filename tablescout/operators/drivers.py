@@ -103,16 +103,15 @@ def categorical_drivers(df: DataFrame, metrics: Sequence[str] | None = None, cat
         return df.sparkSession.createDataFrame([], schema)
     aggs = []
     for i, m in enumerate(metrics):
-        x = F.col(m).cast("double")
+        x = F.col(f"`{m}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-    # One scan groups by each category; the grouping id tells which, by the bit that is not set.
-    levels = df.groupingSets([[c] for c in categories], *categories).agg(F.grouping_id(*categories).alias("_set"), *aggs)
-    everything = 2 ** len(categories) - 1
-    factor = F.coalesce(*[F.when((F.col("_set") == everything - 2 ** (len(categories) - 1 - i)) & F.col(c).isNotNull(), c)
-                          for i, c in enumerate(categories)])
+    # One scan and one grouping by (factor, level); any number of factors.
+    pairs = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"`{c}`").cast("string").alias("level")) for c in categories])
+    levels = (df.select(F.inline(pairs), *[F.col(f"`{m}`") for m in metrics]).where("level is not null")
+              .groupBy("factor", "level").agg(*aggs))
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
                                F.col(f"v{i}").alias("var")) for i, m in enumerate(metrics)])
-    cells = levels.select(factor.alias("factor"), F.inline(cells)).where("factor is not null and n > 0")
+    cells = levels.select("factor", F.inline(cells)).where("n > 0")
     n = F.col("n").cast("double")
     totals = cells.groupBy("metric", "factor").agg(
         F.count(F.lit(1)).alias("levels"), F.sum("n").alias("n"), (F.sum(n * F.col("mean")) / F.sum(n)).alias("grand"),

@@ -53,7 +53,7 @@ def _next_edge(edges: Sequence[Mapping], joined: Sequence[str], known: Mapping,
     return None
 
 
-def star_join(tables: Mapping[str, DataFrame], edges: Sequence[Mapping], base: str, fan_out: bool = True) -> StarJoin:
+def star_join(tables: Mapping[str, DataFrame], edges: Sequence[Mapping], base: str, fan_out: bool = False) -> StarJoin:
     """Join every table reachable from ``base``, each once.
 
     Columns of a joined table get its name as prefix, except its key.  Edges from child to parent

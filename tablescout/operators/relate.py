@@ -41,11 +41,15 @@ def candidate_pairs(catalog: DataFrame, new: Sequence[str] | None = None) -> Dat
 
     Kept are pairs of similar names and pairs of keys, unless a column is more than 90 % empty, the
     kinds of values differ, or a measure is involved with a key or another measure.  With ``new``
-    only pairs that touch one of those tables remain.  This runs over catalog rows, never data; the
-    catalog is materialised so that profiling happens once.
+    only pairs that touch one of those tables remain, and since stored tables hold keys as text, a key of
+    theirs may also meet a number.  This runs over catalog rows, never data; the catalog is materialised so that profiling
+    happens once.
     """
     left, right = _sides(durable(catalog))
     both = F.col("from_is_numeric") == F.col("to_is_numeric")
+    if new is not None:
+        stored = ~F.col("from_dataset").isin(*new) | ~F.col("to_dataset").isin(*new)
+        both = both | stored & (F.col("from_semantic_type") == "key") & (F.col("to_semantic_type") == "key")
     pairs = left.join(right, both & (F.col("from_dataset") < F.col("to_dataset")))
     pairs = pairs.where((F.col("from_null_pct") <= 90) & (F.col("to_null_pct") <= 90))
     a, b = F.col("from_semantic_type"), F.col("to_semantic_type")
@@ -60,50 +64,77 @@ def candidate_pairs(catalog: DataFrame, new: Sequence[str] | None = None) -> Dat
         *[f"{s}_{c}" for s in ("from", "to") for c in ("rows", "nulls", "distinct")])
 
 
-def value_patterns(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """Distinct values counted by the set of columns they occur in (``bits0``.., ``n_values``)."""
+def canonical_text(column: Column, kind: T.DataType) -> Column:
+    """One text per value whatever the type of its column: a whole decimal or double reads as the integer."""
+    text = column.cast("string")
+    if isinstance(kind, T.DecimalType) and kind.scale > 0:
+        return F.regexp_replace(text, r"\.?0+$", "")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
+        return F.when(whole, column.cast("double").cast("decimal(20,0)").cast("string")).otherwise(text)
+    return text
+
+
+def value_patterns(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]],
+                   pairs: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """Distinct values counted by the set of columns they occur in (``bits0``.., ``n_values``).
+
+    Columns of whole numbers that are only compared with each other are grouped as numbers, which is much
+    cheaper; all others meet as canonical text.
+    """
     words = (len(columns) + _BITS - 1) // _BITS
 
     def masks(index: int) -> list[Column]:
         return [F.lit(1 << (index % _BITS) if w == index // _BITS else 0).cast("long").alias(f"bits{w}") for w in range(words)]
 
     names = [f"bits{w}" for w in range(words)]
+    kinds = {(d, c): tables[d].schema[c].dataType for d, c in columns}
 
-    def grouped(chosen: Sequence[int], kind: str) -> DataFrame:
+    def grouped(chosen: Sequence[int], as_text: bool) -> DataFrame:
         frames = []
         for dataset in dict.fromkeys(columns[i][0] for i in chosen):
-            cells = F.array(*[F.struct(F.col(columns[i][1]).cast(kind).alias("value"), *masks(i))
-                              for i in chosen if columns[i][0] == dataset])
-            frames.append(tables[dataset].select(F.inline(cells)).where("value is not null"))
+            cells = []
+            for i in (i for i in chosen if columns[i][0] == dataset):
+                cell = F.col(f"`{columns[i][1]}`")
+                value = canonical_text(cell, kinds[columns[i]]) if as_text else cell.cast("long")
+                cells.append(F.struct(value.alias("value"), *masks(i)))
+            frames.append(tables[dataset].select(F.inline(F.array(*cells))).where("value is not null"))
         return reduce(DataFrame.unionAll, frames).groupBy("value").agg(*[F.bit_or(n).alias(n) for n in names]).select(*names)
 
-    # Whole numbers are grouped as such, which is much cheaper than as text; all else as text.
-    whole = [i for i, (d, c) in enumerate(columns) if isinstance(tables[d].schema[c].dataType, T.IntegralType)]
-    rest = [i for i in range(len(columns)) if i not in set(whole)]
-    parts = [grouped(chosen, kind) for chosen, kind in ((whole, "long"), (rest, "string")) if chosen]
+    # Text spreads along the pairs: whatever meets a column that is read as text is read as text too.
+    text = {c for c in columns if not isinstance(kinds[c], T.IntegralType)}
+    while more := {x for p in pairs for a, b in [((p[0], p[1]), (p[2], p[3]))] for x, y in ((a, b), (b, a)) if y in text and x not in text}:
+        text |= more
+    whole = [i for i, c in enumerate(columns) if c not in text]
+    rest = [i for i, c in enumerate(columns) if c in text]
+    parts = [grouped(chosen, as_text) for chosen, as_text in ((whole, False), (rest, True)) if chosen]
     return reduce(DataFrame.unionAll, parts).groupBy(*names).agg(F.count(F.lit(1)).alias("n_values"))
 
 
 def overlap_counts(tables: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
-    """Distinct values per side and in common, for many column pairs in one pass over the tables."""
+    """Distinct values per side and in common, for many column pairs in one pass over the tables.
+
+    The patterns are few; each adds its values to the wanted pairs that it holds, and to no others.
+    """
     columns = list(dict.fromkeys(c for p in pairs for c in ((p[0], p[1]), (p[2], p[3]))))
     place = {c: i for i, c in enumerate(columns)}
-    patterns = value_patterns(tables, columns)
-    words = F.array(*[c for c in patterns.columns if c.startswith("bits")])
-    everyone = F.sequence(F.lit(0), F.lit(len(columns) - 1))
-    members = F.filter(everyone, lambda i: F.getbit(F.element_at(words, (F.floor(i / _BITS) + 1).cast("int")), i % _BITS) == 1)
-    together = (patterns.select("n_values", members.alias("members")).select("n_values", "members", F.explode("members").alias("a"))
-                .select("n_values", "a", F.explode("members").alias("b")).groupBy("a", "b").agg(F.sum("n_values").alias("n")))
-    together = durable(together)
-    spark = together.sparkSession
-    wanted = spark.createDataFrame([(*p, place[p[0], p[1]], place[p[2], p[3]]) for p in pairs],
-                                   ", ".join(f"{n} string" for n in PAIR) + ", a int, b int")
-    own = together.where("a = b")
-    out = wanted.join(together.withColumnRenamed("n", "common_values"), ["a", "b"], "left")
-    out = out.join(own.select("a", F.col("n").alias("from_values")), "a", "left")
-    out = out.join(own.select("b", F.col("n").alias("to_values")), "b", "left")
+    patterns = value_patterns(tables, columns, pairs)
+    spark = patterns.sparkSession
+
+    def has(i: Column) -> Column:
+        words = F.array(*[F.col(c) for c in patterns.columns if c.startswith("bits")])
+        return F.getbit(F.element_at(words, (F.floor(i / _BITS) + 1).cast("int")), i % _BITS) == 1
+
+    wanted = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip((*PAIR, "a", "b"), (*p, place[p[0], p[1]], place[p[2], p[3]]))]) for p in pairs])
+    in_a, in_b = has(F.col("w.a")), has(F.col("w.b"))
+    cells = (patterns.withColumn("w", F.explode(F.filter(wanted, lambda w: has(w["a"]) | has(w["b"]))))
+             .groupBy(*[F.col(f"w.{n}").alias(n) for n in PAIR])
+             .agg(F.sum(F.when(in_a, F.col("n_values")).otherwise(0)).alias("from_values"),
+                  F.sum(F.when(in_b, F.col("n_values")).otherwise(0)).alias("to_values"),
+                  F.sum(F.when(in_a & in_b, F.col("n_values")).otherwise(0)).alias("common_values")))
+    every = spark.createDataFrame([tuple(p) for p in pairs], ", ".join(f"{n} string" for n in PAIR))
     counts = ("from_values", "to_values", "common_values")
-    return out.select(*PAIR, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    return every.join(cells, list(PAIR), "left").select(*PAIR, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def relationship_type(from_unique: Column, to_unique: Column) -> Column:

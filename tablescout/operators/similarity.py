@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from tablescout.session import durable
 
-MAX_BROADCAST_FLOATS = 8_000_000
 BLOCK_FLOATS = 4_000_000
+MAX_PIVOTS = 256
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -63,31 +63,40 @@ def similar_insights(insights: DataFrame, vector, domain: str | None = None, lim
     return most_similar(out, vector, "insight_embedding", "insight_id", limit, threshold)
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
+def _unit_rows(vectors: Sequence) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype="float64") for v in vectors]) if len(vectors) else np.zeros((0, 1))
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _blocks(rows: DataFrame, key: str, embedding: str, width: int, name: str) -> tuple[DataFrame, int]:
+    """Rows packed into blocks of at most about ``BLOCK_FLOATS`` numbers, and how many blocks there are."""
+    rows = rows.select(F.col(key).alias("id"), F.col(embedding).alias("vec")).where("vec is not null")
+    count = max(1, -(-rows.count() * max(width, 1) // BLOCK_FLOATS))
+    block = F.pmod(F.xxhash64("id", "vec"), F.lit(count)).cast("int")
+    return rows.groupBy(block.alias(name)).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows")), count
+
+
 def top_matches(queries: DataFrame, corpus: DataFrame, key: str, embedding: str, k: int = 3, threshold: float = 0.75) -> DataFrame:
     """The ``k`` most similar rows of the corpus for each query, itself excluded.
 
-    The query vectors go to every task only while they fit a fixed budget; each batch of the corpus
-    then keeps its best ``k`` per query before the shuffle.  More queries than that are answered
-    from the similarity join.
+    Queries and corpus are packed into blocks of bounded size and every block of queries meets every block of
+    the corpus in a matrix product that keeps the best ``k`` per query; nothing else is shuffled.  A query and a
+    row of the corpus with the same key are the same thing and do not match.
     """
-    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(1))).first()
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
-    if n * max(width, 1) <= MAX_BROADCAST_FLOATS:
-        rows = queries.select(key, embedding).where(F.col(embedding).isNotNull()).toPandas()
-        shared = corpus.sparkSession.sparkContext.broadcast((rows[key].to_numpy(), _unit_rows(rows[embedding])))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for batch in batches:
-                keys, x = batch[key].to_numpy(), _unit_rows(batch[embedding])
-                step = max(1, BLOCK_FLOATS // max(1, len(keys)))
-                for start in range(0, len(ids) if len(keys) else 0, step):
+    width = max(df.agg(F.coalesce(F.max(F.size(embedding)), F.lit(1))).first()[0] for df in (queries, corpus))
+    left, _ = _blocks(queries, key, embedding, width, "q")
+    right, count = _blocks(corpus, key, embedding, width, "c")
+    kind = corpus.schema[key].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("match_id", kind), T.StructField("similarity", T.DoubleType())])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_rows, c_rows in zip(batch["q_rows"], batch["c_rows"]):
+                ids, q = np.array([r["id"] for r in q_rows]), _unit_rows([r["vec"] for r in q_rows])
+                keys, x = np.array([r["id"] for r in c_rows]), _unit_rows([r["vec"] for r in c_rows])
+                step = max(1, BLOCK_FLOATS // len(keys))
+                for start in range(0, len(ids), step):
                     score = np.clip(x @ q[start:start + step].T, 0.0, 1.0)
                     row, col = np.nonzero(score > threshold)
                     found = pd.DataFrame({"query_id": ids[start + col], "match_id": keys[row], "similarity": score[row, col]})
@@ -95,17 +104,9 @@ def top_matches(queries: DataFrame, corpus: DataFrame, key: str, embedding: str,
                     found = found.sort_values(["similarity", "match_id"], ascending=[False, True])
                     yield found.groupby("query_id", sort=False).head(k)
 
-        kind = corpus.schema[key].dataType
-        schema = T.StructType([T.StructField("query_id", kind), T.StructField("match_id", kind),
-                               T.StructField("similarity", T.DoubleType())])
-        matches = corpus.select(key, embedding).where(F.col(embedding).isNotNull()).mapInPandas(best, schema)
-    else:
-        everything = corpus.select(key, embedding).unionByName(queries.select(key, embedding)).dropDuplicates([key])
-        pairs = similar_pairs(everything, key, embedding, threshold).where(F.col("similarity") > threshold)
-        both = pairs.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("match_id"), "similarity").unionByName(
-            pairs.select(F.col("right_id").alias("query_id"), F.col("left_id").alias("match_id"), "similarity"))
-        matches = (both.join(queries.select(F.col(key).alias("query_id")), "query_id", "left_semi")
-                   .join(corpus.select(F.col(key).alias("match_id")), "match_id", "left_semi"))
+    sent = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    matches = sent.join(right, "c").select("q_rows", "c_rows").mapInPandas(best, schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
     return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -125,8 +126,9 @@ def similar_pairs(df: DataFrame, key: str, embedding: str, threshold: float, piv
     n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
     width = max(width, 1)
     block_rows = block_rows or max(256, min(20_000, BLOCK_FLOATS // width))
-    # Replication is at most pivots / 2 for cells plus n / (pivots * block_rows) for blocks.
-    pivots = pivots or int(max(1, min(4096, (2 * n / block_rows) ** 0.5)))
+    # A vector goes to at most half of the cells, and to the blocks of its cell: few pivots bound both the copies
+    # and what a task holds of the pivots; below this threshold hyperplanes cut nothing off, and one cell is best.
+    pivots = pivots or (1 if threshold < 0.5 else int(max(1, min(MAX_PIVOTS, (2 * n / block_rows) ** 0.5))))
     kind = rows.schema["id"].dataType
     centres = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     shared = df.sparkSession.sparkContext.broadcast(_unit_rows(centres["vec"]))

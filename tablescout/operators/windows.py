@@ -1,62 +1,45 @@
 """Ordered computations per group that survive one very large group.
 
-A window over a group sorts the group in one task.  When the largest group is over ``max_rows``,
-the groups are cut into ranges of the first order column.  Running totals, fills and positions then
-take two steps: one value per range, carried across the few ranges of a group, and a window inside
-each range.  Frames that look back a fixed number of rows are cut into blocks by position, where
-the last rows of a block are repeated at the start of the next.
+A window over a group sorts the group in one task.  Where a group is over ``max_rows``, or there is no group at
+all, the rows are range-sorted by group and all order columns instead, whatever their types, and stored with the
+number of their range; a group of any size is then spread over ranges, and so is one order value if a further
+order column tells its rows apart.  Running totals, fills and positions take two steps: one value per range,
+carried across the ranges of a group, and a window inside each range.  Frames that look back a fixed number of rows
+are cut into blocks by position, where the last rows of a block are repeated at the start of the next.  Both ways give the
+same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablescout.functions import correlation, epoch_seconds
+from tablescout.functions import correlation
+from tablescout.session import durable
 
 MAX_GROUP_ROWS = 5_000_000
 _RANGE, _CARRY, _POS, _BLOCK, _HALO = "_range", "_carry", "_pos", "_block", "_halo"
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return epoch_seconds(column)
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    raise TypeError(f"order column {column} must be a number, date or time")
-
-
-def _tree(x: Column, splits: list[float], first: int = 0) -> Column:
-    """Number of splits at or below ``x``, by bisection."""
-    if not splits:
-        return F.lit(first)
-    mid = len(splits) // 2
-    return F.when(x < splits[mid], _tree(x, splits[:mid], first)).otherwise(
-        _tree(x, splits[mid + 1:], first + mid + 1))
-
-
-def order_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> Column | None:
-    """Range number of each row along the first order column, or None when no group is large."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= max_rows:
+def order_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame | None:
+    """The rows with the number of their range along groups and order, stored; None when no group is large."""
+    if by:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        rows, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    else:
+        rows = largest = df.count()
+    if (largest or 0) <= max_rows and by:
         return None
-    x = _as_number(df, order[0])
-    pieces = min(1024, 4 * ceil(largest / max_rows))
-    grid = [i / pieces for i in range(1, pieces)]
-    splits = df.agg(F.percentile_approx(x, F.array(*map(F.lit, grid)), 10_000)).first()[0] or []
-    return F.when(x.isNull(), -1).otherwise(_tree(x, sorted(set(splits))))
+    pieces = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * -(-(rows or 0) // max_rows))
+    return durable(df.repartitionByRange(pieces, *by, *order).withColumn(_RANGE, F.spark_partition_id()))
 
 
-def _with_carry(df: DataFrame, by: Sequence[str], ranges: Column, per_range: Column, carried: Column) -> DataFrame:
+def _with_carry(marked: DataFrame, by: Sequence[str], per_range: Column, carried: Column) -> DataFrame:
     """Attach to every row what the earlier ranges of its group hand over."""
-    marked = df.withColumn(_RANGE, ranges)
     totals = marked.groupBy(*by, _RANGE).agg(per_range.alias(_CARRY))
+    # A few values per group; without a group, one per range.
     before = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, _RANGE, carried.over(before).alias(_CARRY))
     same = F.col(f"l.{_RANGE}") == F.col(f"r.{_RANGE}")
@@ -75,7 +58,7 @@ def cumulative_sum(df: DataFrame, value: str, by: Sequence[str], order: Sequence
     ranges = order_ranges(df, by, order, max_rows)
     if ranges is None:
         return df.withColumn(name, F.sum(value).over(_running(order, *by)))
-    out = _with_carry(df, by, ranges, F.sum(value), F.sum(_CARRY))
+    out = _with_carry(ranges, by, F.sum(value), F.sum(_CARRY))
     total = F.sum(value).over(_running(order, *by, _RANGE))
     both = F.when(total.isNotNull() | F.col(_CARRY).isNotNull(), F.coalesce(total, F.lit(0)) + F.coalesce(_CARRY, F.lit(0)))
     return out.withColumn(name, both).drop(_RANGE, _CARRY)
@@ -87,13 +70,13 @@ def forward_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str], order
     ranges = order_ranges(df, by, order, max_rows)
     if ranges is None:
         return df.withColumns({c: F.last(c, ignorenulls=True).over(_running(order, *by)) for c in columns})
-    out = df
+    out = ranges
     for c in columns:
         last = F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
-        out = _with_carry(out, by, ranges, last, F.last(_CARRY, ignorenulls=True))
+        out = _with_carry(out, by, last, F.last(_CARRY, ignorenulls=True))
         inside = F.last(c, ignorenulls=True).over(_running(order, *by, _RANGE))
-        out = out.withColumn(c, F.coalesce(inside, _CARRY)).drop(_RANGE, _CARRY)
-    return out
+        out = out.withColumn(c, F.coalesce(inside, _CARRY)).drop(_CARRY)
+    return out.drop(_RANGE)
 
 
 def position(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = _POS,
@@ -102,7 +85,11 @@ def position(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     ranges = order_ranges(df, by, order, max_rows)
     if ranges is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    out = _with_carry(df, by, ranges, F.count(F.lit(1)), F.sum(_CARRY))
+    return _positions(ranges, by, order, name)
+
+
+def _positions(ranges: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    out = _with_carry(ranges, by, F.count(F.lit(1)), F.sum(_CARRY))
     inside = F.row_number().over(Window.partitionBy(*by, _RANGE).orderBy(*order)) - 1
     return out.withColumn(name, inside + F.coalesce(_CARRY, F.lit(0))).drop(_RANGE, _CARRY)
 
@@ -110,10 +97,11 @@ def position(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
 def _look_back(df: DataFrame, by: Sequence[str], order: Sequence[str], reach: int, name: str, expression,
                max_rows: int) -> DataFrame:
     """Apply a window expression that reads at most ``reach`` earlier rows of the group."""
-    if order_ranges(df, by, order, max_rows) is None:
+    ranges = order_ranges(df, by, order, max_rows)
+    if ranges is None:
         return df.withColumn(name, expression(Window.partitionBy(*by).orderBy(*order)))
     size = max(max_rows, reach + 1)
-    placed = position(df, by, order, max_rows=max_rows)
+    placed = _positions(ranges, by, order, _POS)
     block = F.floor(F.col(_POS) / size)
     home = placed.withColumn(_BLOCK, block).withColumn(_HALO, F.lit(False))
     tail = placed.where(F.col(_POS) % size >= size - reach).withColumn(_BLOCK, block + 1).withColumn(_HALO, F.lit(True))

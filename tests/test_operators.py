@@ -59,8 +59,8 @@ def test_star_join_keeps_the_rows_of_the_base(demo):
     star = joins.star_join(demo, edges, "transactions")
     assert star.df.count() == 15 and star.tables == ["transactions", "customers", "customer_profiles"]
     assert star.lineage["customer_profiles_email"] == "customer_profiles"
-    assert joins.star_join(demo, edges, "customers").df.count() == 15
-    assert joins.star_join(demo, edges, "customers", fan_out=False).df.count() == 10
+    assert joins.star_join(demo, edges, "customers", fan_out=True).df.count() == 15
+    assert joins.star_join(demo, edges, "customers").df.count() == 10
 
 
 @pytest.fixture(scope="module")
@@ -111,13 +111,70 @@ def test_similar_pairs_match_brute_force(spark, threshold):
     assert all(r.similarity == pytest.approx(score[r.left_id, r.right_id]) for r in got)
 
 
-def test_top_matches_without_broadcast(spark, monkeypatch):
+def test_top_matches_in_blocks(spark, monkeypatch):
+    """Queries that are not rows of the corpus but share keys with it; many blocks give what one block gives."""
     rng = np.random.default_rng(6)
-    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=8)]) for i in range(120)], "id long, v array<double>")
-    queries = df.where("id < 30")
-    near = {(r.query_id, r.rank): r.match_id for r in similarity.top_matches(queries, df, "id", "v", 3, 0.4).collect()}
-    monkeypatch.setattr(similarity, "MAX_BROADCAST_FLOATS", 0)
-    assert near == {(r.query_id, r.rank): r.match_id for r in similarity.top_matches(queries, df, "id", "v", 3, 0.4).collect()}
+    x, y = rng.normal(size=(120, 8)), rng.normal(size=(40, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "id long, v array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = unit(y) @ unit(x).T
+    for threshold in (0.4, 0.0):
+        expected = {(q, r): m for q in range(40) for r, m in enumerate(
+            sorted((m for m in range(120) if m != q and score[q, m] > threshold), key=lambda m: -score[q, m])[:3], 1)}
+        for floats in (4_000_000, 200):
+            monkeypatch.setattr(similarity, "BLOCK_FLOATS", floats)
+            assert expected == {(r.query_id, r.rank): r.match_id for r in similarity.top_matches(queries, df, "id", "v", 3, threshold).collect()}
+
+
+@pytest.mark.parametrize("max_rows", [10, 5_000_000])
+def test_windows_over_text_order_and_no_group(spark, max_rows):
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"g": rng.integers(0, 2, 120).astype(str), "o": [f"k{v:02d}" for v in rng.integers(0, 9, 120)], "i": np.arange(120),
+                          "v": np.where(rng.random(120) < 0.3, np.nan, rng.integers(0, 50, 120))})
+    df = spark.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    for by in (["g"], []):
+        ordered = frame.sort_values(["o", "i"])
+        parts = [p for _, p in ordered.groupby("g")] if by else [ordered]
+        run = lambda fn, name: {r.i: r[name] for r in fn.collect()}
+        total = run(windows.cumulative_sum(df, "v", by, ["o", "i"], max_rows=max_rows), "cumulative")
+        filled = run(windows.forward_fill(df, ["v"], by, ["o", "i"], max_rows=max_rows), "v")
+        place = run(windows.position(df, by, ["o", "i"], "p", max_rows=max_rows), "p")
+        before = run(windows.lagged(df, "v", by, ["o", "i"], 2, max_rows=max_rows), "lagged")
+        for p in parts:
+            some = p["v"].notna().cumsum() > 0
+            nan = lambda s: [None if pd.isna(v) else v for v in s]
+            assert [total[i] for i in p["i"]] == nan(p["v"].fillna(0).cumsum().where(some))
+            assert [filled[i] for i in p["i"]] == nan(p["v"].ffill())
+            assert [place[i] for i in p["i"]] == list(range(len(p)))
+            assert [before[i] for i in p["i"]] == nan(p["v"].shift(2))
+
+
+def test_fill_without_a_group_is_not_one_task(spark):
+    df = spark.range(100).withColumn("v", F.when(F.col("id") % 7 == 0, F.col("id")))
+    plan = windows.forward_fill(df, ["v"], [], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and [r.v for r in windows.forward_fill(df, ["v"], [], ["id"]).orderBy("id").collect()] == [i - i % 7 for i in range(100)]
+
+
+def test_overlap_of_keys_of_all_types(spark):
+    ids = spark.range(1, 11)
+    tables = {"a": ids, "b": ids.selectExpr("cast(id as decimal(10,0)) as k"), "c": ids.selectExpr("cast(id as double) as k"),
+              "d": ids.selectExpr("cast(id as string) as k"), "e": ids.selectExpr("cast(id as decimal(12,2)) as k"), "f": ids.selectExpr("id + 5 as k")}
+    pairs = [("a", "id", t, "k") for t in "bcdef"]
+    got = {r.to_dataset: (r.from_values, r.to_values, r.common_values) for r in relate.overlap_counts(tables, pairs).collect()}
+    assert got == {**{t: (10, 10, 10) for t in "bcde"}, "f": (10, 10, 5)}
+
+
+def test_category_drivers_beyond_64_columns(spark):
+    df = spark.range(200).select(F.col("id").cast("double").alias("net.amount"), *[(F.col("id") % (i % 5 + 2)).cast("string").alias(f"c{i}") for i in range(66)])
+    assert drivers.categorical_drivers(df, ["net.amount"], [f"c{i}" for i in range(66)]).count() == 66
+
+
+@pytest.mark.parametrize("n", [1000, 1100, 51_000, 52_000])
+def test_forest_draws_by_one_rule(spark, n):
+    df = spark.range(n).select("id", F.rand(3).alias("x"))
+    trees = anomaly.isolation_forest(df, "x", ["id"]).groupBy("tree").agg(F.max("sample").alias("s")).collect()
+    assert len(trees) == anomaly.TREES and {r.s for r in trees} == {anomaly.TREE_ROWS}
 
 
 def test_anomalies_find_injected_spikes(spark):
