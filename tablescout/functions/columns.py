@@ -41,6 +41,11 @@ def normalise_name(name: str) -> str:
     return re.sub(r"[ -]", "_", name.strip())
 
 
+def strip(column: Column | str) -> Column:
+    """Text without the white space at its ends, tabs and line ends included."""
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and NULL mean the same missing value from here on."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -65,14 +70,14 @@ def epoch_seconds(column: Column | str) -> Column:
 def parse_measure(column: Column | str) -> Column:
     """Text such as ``$1,234.50`` or ``12%`` to a number; anything unreadable to NULL."""
     column = F.col(column) if isinstance(column, str) else column
-    number = F.trim(F.translate(column.cast("string"), "$,%", "")).try_cast("double")
+    number = strip(F.translate(column.cast("string"), "$,%", "")).try_cast("double")
     return F.when(~F.isnan(number), number)
 
 
 def parse_date(column: Column | str, formats: Iterable[str] = DATE_FORMATS) -> Column:
     """Text to a timestamp by the first layout that fits; anything unreadable to NULL."""
     column = F.col(column) if isinstance(column, str) else column
-    text = F.trim(column.cast("string"))
+    text = strip(column.cast("string"))
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 

@@ -33,8 +33,11 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         for f in SCHEMAS[table].fields])
 
 
-def save(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
-    conform(df, table).write.mode(mode).parquet(f"{root.rstrip('/')}/{table}")
+def save(df: DataFrame, root: str, table: str) -> None:
+    """Write rows of a metadata table; they take the place of all earlier rows of the same datasets."""
+    by = "from_dataset" if table == "relationships" else "dataset"
+    (conform(df, table).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .parquet(f"{root.rstrip('/')}/{table}"))
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import (
-    column_quantiles, numeric_columns, parse_date, parse_measure, string_columns, temporal_columns,
+    column_quantiles, numeric_columns, parse_date, parse_measure, string_columns, strip, temporal_columns,
 )
 from tablescout.functions.quantiles import EXACT_ROWS
 from tablescout.operators.windows import forward_fill, keep_first
@@ -112,7 +112,7 @@ def remove_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str] |
 
 def standardise_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     present = [k for k in keys if k in df.columns]
-    return df.withColumns({k: F.trim(F.col(k).cast("string")) for k in present}) if present else df
+    return df.withColumns({k: strip(F.col(k).cast("string")) for k in present}) if present else df
 
 
 def outlier_bounds(df: DataFrame, columns: Sequence[str], spread: float = 3.0,
@@ -137,14 +137,14 @@ def flag_outliers(df: DataFrame, columns: Sequence[str], bounds: Mapping[str, tu
 
 def trim_text(df: DataFrame) -> DataFrame:
     strings = string_columns(df)
-    return df.withColumns({c: F.trim(c) for c in strings}) if strings else df
+    return df.withColumns({c: strip(c) for c in strings}) if strings else df
 
 
 def case_counts(columns: Sequence[str]) -> list[Column]:
     """Values written all in upper or all in lower case; values without letters count as neither."""
     out = []
     for c in columns:
-        text = F.trim(F.col(c))
+        text = strip(F.col(c))
         letters = F.upper(text) != F.lower(text)
         out += [F.count_if(letters & (text == F.upper(text))).alias(f"{c}__upper"),
                 F.count_if(letters & (text == F.lower(text))).alias(f"{c}__lower")]

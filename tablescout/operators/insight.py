@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescout.functions import strip
+
 # What marks a line as a heading of a listing.
 HEADING = r"(?i)(Top \d+|by \w+|average|total|breakdown)"
 
@@ -52,7 +54,7 @@ def extract_findings(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = text_lines(df, key, text)
     marked = F.col("line").contains("FINDING:")
     figures = F.col("line").rlike("[$%]") & F.col("line").rlike("[0-9]")
-    finding = F.trim(F.when(marked, F.replace("line", F.lit("FINDING:"), F.lit(""))).otherwise(F.col("line")))
+    finding = strip(F.when(marked, F.replace("line", F.lit("FINDING:"), F.lit(""))).otherwise(F.col("line")))
     return lines.where(marked | figures).select(key, "line_no", finding.alias("finding"))
 
 
@@ -67,8 +69,8 @@ def extract_listings(df: DataFrame, key: str, text: str) -> DataFrame:
     parts = F.split(line, "[:|-]")
     number = F.regexp_extract(F.translate(F.element_at(parts, -1), ",", ""), r"[0-9]+\.?[0-9]*", 0)
     lines = text_lines(df, key, text).where(heading | line.rlike("[$%]"))
-    marked = lines.select(key, "line_no", heading.alias("is_heading"), F.trim(line).alias("line"),
-                          F.trim(parts[0]).alias("label"), F.size(parts).alias("parts"), number.try_cast("double").alias("value"))
+    marked = lines.select(key, "line_no", heading.alias("is_heading"), strip(line).alias("line"),
+                          strip(parts[0]).alias("label"), F.size(parts).alias("parts"), number.try_cast("double").alias("value"))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     titled = marked.withColumn("title", F.last(F.when(F.col("is_heading"), F.col("line")), ignorenulls=True).over(w))
     return titled.where(~F.col("is_heading") & F.col("title").isNotNull() & (F.col("parts") >= 2)

@@ -97,9 +97,10 @@ def p11_flag_outliers(spark, d):
     return C.flag_outliers(table(spark, d, "events").select("event_id", "value"), ["value"])[0]
 
 
-@R.add(f"{DIRTY} SELECT o_orderkey, trim(priority) AS priority FROM dirty")
+@R.add(rf"{DIRTY} SELECT o_orderkey, regexp_replace(chr(9) || priority || ' ' || chr(13) || chr(10), '^\s+|\s+$', '', 'g') AS priority FROM dirty")
 def p12_trim_text(spark, d):
-    return C.trim_text(dirty_orders(spark, d).select("o_orderkey", "priority"))
+    padded = F.concat(F.lit("\t"), F.col("priority"), F.lit(" \r\n")).alias("priority")
+    return C.trim_text(dirty_orders(spark, d).select("o_orderkey", padded))
 
 
 @R.add(f"{DIRTY} SELECT o_orderkey, upper(trim(priority)) AS priority FROM dirty")

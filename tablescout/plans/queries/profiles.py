@@ -19,13 +19,13 @@ def a1_column_kinds(spark, d):
 
 
 @R.add(union_all(f"""SELECT '{t}' AS dataset, '{c}' AS "column", round(avg(length({c})), 6) AS avg_length, avg(length({c})) > 50 AS is_text FROM {t}"""
-                 for t, c in [("documents", "text"), ("documents", "lang"), ("conversations", "role"), ("conversations", "text"), ("benchmark", "text")]))
+                 for t, c in [("documents", "text"), ("documents", "lang"), ("documents", "source"), ("conversations", "role"), ("conversations", "text"), ("benchmark", "text")]))
 def a2_text_columns(spark, d):
     frames = [P.column_kinds(df).where("avg_length is not null").select(
         F.lit(n).alias("dataset"), "column", "avg_length", (F.col("kind") == "text").alias("is_text"))
         for n, df in tables(spark, d, "documents", "conversations", "benchmark").items()]
     out = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    return rounded(out.where("not (dataset = 'documents' and column = 'source')"))
+    return rounded(out)
 
 
 @R.add(union_all(f"""SELECT '{c}' AS "column", round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std, min({c}) AS min, max({c}) AS max,

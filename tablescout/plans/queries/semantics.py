@@ -80,15 +80,18 @@ def y5_capabilities(spark, d):
 
 def _range(c: str) -> str:
     return f"""SELECT '{c}' AS "column", 'numeric' AS kind, round(min({c}), 6) AS low, round(max({c}), 6) AS high,
-               round(avg({c}), 4) AS mean, NULL AS examples FROM events"""
+               round(avg({c}), 4) AS mean, NULL AS examples, NULL AS earliest, NULL AS latest FROM events"""
 
 
 @R.add(union_all([_range("event_id"), _range("user_id"), _range("value")] + [f"""
     SELECT '{c}', 'categorical', NULL, NULL, NULL, (SELECT string_agg(v, ', ' ORDER BY v) FROM (
-        SELECT DISTINCT {c} AS v FROM events WHERE {c} IS NOT NULL ORDER BY v LIMIT 10))""" for c in ("event_type", "props")]))
+        SELECT DISTINCT {c} AS v FROM events WHERE {c} IS NOT NULL ORDER BY v LIMIT 10)), NULL, NULL""" for c in ("event_type", "props")]
+    + ["SELECT 'ts', 'datetime', NULL, NULL, NULL, NULL, CAST(CAST(min(ts) AS DATE) AS VARCHAR), CAST(CAST(max(ts) AS DATE) AS VARCHAR) FROM events"]))
 def y7_context_profile(spark, d):
-    out = S.context_profile(table(spark, d, "events").drop("ts"))
-    return rounded(out.withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double")}), 6, mean=4)
+    out = S.context_profile(table(spark, d, "events"))
+    time = F.col("kind") == "datetime"
+    out = out.withColumns({"earliest": F.when(time, F.substring("low", 1, 10)), "latest": F.when(time, F.substring("high", 1, 10))})
+    return rounded(out.withColumns({c: F.when(~time, F.col(c)).try_cast("double") for c in ("low", "high")}), 6, mean=4)
 
 
 QUERIES, ORACLES = R.queries, R.oracles

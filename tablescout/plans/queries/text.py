@@ -23,7 +23,7 @@ R = Registry()
 _LINES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
 
 
-@R.add(_LINES + """ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(CASE WHEN contains(line, 'FINDING:') THEN replace(line, 'FINDING:', '') ELSE line END, ' ') AS finding FROM l
+@R.add(_LINES + """ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(CASE WHEN contains(line, 'FINDING:') THEN replace(line, 'FINDING:', '') ELSE line END, '^\\s+|\\s+$', '', 'g') AS finding FROM l
        WHERE contains(line, 'FINDING:') OR (regexp_matches(line, '[$%]') AND regexp_matches(line, '[0-9]'))""")
 def i1_extract_findings(spark, d):
     return I.extract_findings(table(spark, d, "documents"), "doc_id", "text")
@@ -46,9 +46,9 @@ def i2_extract_listings(spark, d):
 @R.add(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
           m AS (SELECT doc_id, line_no, line, regexp_matches(line, '(?i)(Top \d+|by \w+|average|total|breakdown)') AS h FROM l
                 WHERE regexp_matches(line, '(?i)(Top \d+|by \w+|average|total|breakdown)') OR regexp_matches(line, '[$%]')),
-          t AS (SELECT *, last_value(CASE WHEN h THEN trim(line, ' ') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title,
+          t AS (SELECT *, last_value(CASE WHEN h THEN regexp_replace(line, '^\s+|\s+$', '', 'g') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title,
                 regexp_split_to_array(line, '[:|-]') AS parts FROM m)
-          SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, title, trim(parts[1], ' ') AS label,
+          SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, title, regexp_replace(parts[1], '^\s+|\s+$', '', 'g') AS label,
           try_cast(nullif(regexp_extract(replace(parts[-1], ',', ''), '[0-9]+\.?[0-9]*'), '') AS DOUBLE) AS value FROM t
           WHERE NOT h AND title IS NOT NULL AND len(parts) >= 2 AND regexp_matches(replace(parts[-1], ',', ''), '[0-9]')""")
 def i2_listings_in_documents(spark, d):

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablescout.functions import nan_to_null, normalise_name
+from tablescout.session import durable
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, encoding: str = "UTF-8", **options) -> DataFrame:
@@ -21,24 +22,44 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.csv(path)
 
 
-def _is_json_document(spark: SparkSession, path: str) -> bool:
-    """Whether the first line is only the beginning of a value that spans lines."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not first:
-        return False
-    try:
-        json.loads(first[0][0])
-    except ValueError:
-        return True
-    return False
+CORRUPT = "_corrupt_record"
+
+
+def _document_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files of a path whose lines are values, and those that hold one value over many lines.
+
+    Each file is judged by all its lines: it has one value per line if at least half of those that are not blank are whole
+    values.  No line travels, only two counts per file.
+    """
+    line = F.col("value")
+    value = F.try_parse_json(line).isNotNull() & line.rlike(r"^\s*[\[{]")
+    counts = (spark.read.text(path).where(line.rlike(r"\S")).groupBy(F.input_file_name().alias("file"))
+              .agg(F.count_if(value).alias("whole"), F.count(F.lit(1)).alias("n")).collect())
+    names = [(r["file"], 2 * r["whole"] >= r["n"]) for r in counts]
+    return [f for f, lines in names if lines], [f for f, lines in names if not lines]
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None, **options) -> DataFrame:
-    """One value per line when the first line is a value of its own, else one document per file."""
-    reader = spark.read.options(mode="PERMISSIVE", multiLine=_is_json_document(spark, path), **options)
+    """One value per line, or one document per file; decided for each file by itself.
+
+    Records that cannot be read stand in the column ``_corrupt_record``, which is only there if some cannot;
+    ``without_corrupt`` takes them apart.
+    """
+    reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.json(path)
+    lines, documents = _document_files(spark, path)
+    if not lines or not documents:
+        return reader.option("multiLine", bool(documents)).json(path)
+    return reader.json(lines).unionByName(reader.option("multiLine", True).json(documents), allowMissingColumns=True)
+
+
+def without_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The readable rows, and the text of the records that are not (None if all are readable)."""
+    if CORRUPT not in df.columns:
+        return df, None
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good, df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -66,17 +87,22 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
 
 @dataclass
 class DirectoryLoad:
+    """Tables by file, why other files were rejected, and how many records of a loaded file could not be read."""
+
     tables: dict[str, DataFrame]
     rejected: dict[str, str]
+    unreadable: dict[str, int] = field(default_factory=dict)
 
     def overview(self, spark: SparkSession) -> DataFrame:
-        """One row per file: loaded with its row count, or rejected with the reason."""
+        """One row per file: loaded with its row count and what could not be read, or rejected with the reason."""
         out = spark.createDataFrame(
             [(n, "rejected", None, why) for n, why in self.rejected.items()],
             "file string, state string, rows long, reason string")
         for name, df in self.tables.items():
+            bad = self.unreadable.get(name)
+            note = F.lit(f"{bad} unreadable records" if bad else None).cast("string")
             out = out.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(name).alias("file"), F.lit("loaded").alias("state"), "rows", F.lit(None).cast("string").alias("reason")))
+                F.lit(name).alias("file"), F.lit("loaded").alias("state"), "rows", note.alias("reason")))
         return out
 
 
@@ -89,14 +115,36 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
+# How Spark names the failures that are the fault of a file.
+BAD_FILE = ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "MALFORMED", "INVALID_", "UNSUPPORTED_FEATURE.QUERY_ONLY_CORRUPT")
+
+
+def _is_bad_file(problem: Exception) -> bool:
+    """Whether a file's format or emptiness is to blame; a lost executor or a missing permission is not."""
+    if isinstance(problem, ValueError):
+        return True
+    text = f"{problem.getCondition() or ''} {problem}" if isinstance(problem, PySparkException) else str(problem)
+    return any(name in text for name in BAD_FILE) and "ermission" not in text
+
+
 def load_directory(spark: SparkSession, folder: str, **options) -> DirectoryLoad:
-    """Load every supported file of a folder as its own table; keep the reason for the others."""
+    """Load every supported file of a folder as its own table; keep the reason for the others.
+
+    Only failures that lie in a file reject it; any other stops the load, which would else be incomplete unnoticed.
+    """
     out = DirectoryLoad({}, {})
     for name in list_files(spark, folder):
+        path = f"{folder.rstrip('/')}/{name}"
         try:
-            out.tables[name] = load(spark, f"{folder.rstrip('/')}/{name}", **options)
-        except Exception as problem:  # a bad file must not stop the others
-            out.rejected[name] = str(problem).splitlines()[0].split(folder)[0][:80].strip()
+            df, bad = without_corrupt(load(spark, path, **options))
+            if bad is not None:
+                df, bad = (without_corrupt(durable(load(spark, path, **options))))
+                out.unreadable[name] = bad.count()
+            out.tables[name] = df
+        except (ValueError, PySparkException) as problem:
+            if not _is_bad_file(problem):
+                raise
+            out.rejected[name] = str(problem).strip().splitlines()[0].replace(path, name)
     return out
 
 
