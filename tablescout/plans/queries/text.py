@@ -131,7 +131,14 @@ def i7_impact_chart(spark, d):
     return rounded(I.impact_chart(time_split_impact(table(spark, d, "events"), "ts", "value", "2024-01-16")))
 
 
-@R.add()
+@R.add("""WITH v AS (SELECT l_extendedprice * (1 - l_discount) AS y, l_quantity AS x1, l_extendedprice AS x2, l_discount AS x3 FROM lineitem),
+          c AS (SELECT corr(x1, x2) AS a, corr(x1, x3) AS b, corr(x2, x3) AS c, corr(y, x1) AS p, corr(y, x2) AS q, corr(y, x3) AS r FROM v),
+          k AS (SELECT p * (1 - c * c) + q * (b * c - a) + r * (a * c - b) AS k1, p * (b * c - a) + q * (1 - b * b) + r * (a * b - c) AS k2,
+                p * (a * c - b) + q * (a * b - c) + r * (1 - a * a) AS k3 FROM c),
+          s AS (SELECT *, k1 * k1 + k2 * k2 + k3 * k3 AS t FROM k),
+          o AS (SELECT 'l_quantity' AS x, k1 * k1 / t * 100 AS y FROM s UNION ALL SELECT 'l_extendedprice', k2 * k2 / t * 100 FROM s
+                UNION ALL SELECT 'l_discount', k3 * k3 / t * 100 FROM s)
+          SELECT 'drivers' AS chart, 'Contribution to Variance' AS series, x, round(y, 6) AS y FROM o""")
 def i7_driver_chart(spark, d):
     df = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     return rounded(I.driver_chart(D.linear_drivers(df, ["l_quantity", "l_extendedprice", "l_discount"], "revenue")))
