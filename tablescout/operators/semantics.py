@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import numeric_columns, string_columns, temporal_columns
 from tablescout.operators.profile import (
-    TEXT_LENGTH, comparable_columns, declared_kind, literal, per_column, quoted, sample_confidence, temporal_granularity, top_values,
+    TEXT_LENGTH, comparable_columns, declared_kind, exact_distinct, literal, per_column, quoted, sample_confidence, temporal_granularity, top_values,
 )
 
 # Name endings that mark a column to join on.
@@ -48,15 +48,17 @@ def describe_columns(df: DataFrame, dataset: str, approximate: bool = False) ->
     """
     strings, place = set(string_columns(df)), {c: i for i, c in enumerate(df.columns)}
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    count = "approx_count_distinct({})" if approximate else "count(DISTINCT {})"
 
     def metrics(c: str) -> dict[str, str]:
         q = quoted(c)
         return {"position": str(place[c]), "type": literal(types[c]), "kind": literal(declared_kind(df, c)),
                 "nulls": f"count_if({q} IS NULL)", "avg_length": f"avg(length({q}))" if c in strings else "CAST(NULL AS DOUBLE)",
-                "distinct": count.format(q)}
+                **({"distinct": f"approx_count_distinct({q})"} if approximate else {})}
 
-    out = per_column(df, comparable_columns(df), metrics, {"rows": "count(1)"})
+    columns = comparable_columns(df)
+    out = per_column(df, columns, metrics, {"rows": "count(1)"})
+    if not approximate:
+        out = out.join(exact_distinct(df, columns), "column", "left").fillna(0, ["distinct"])
     typed = out.withColumn("kind", F.expr(f"CASE WHEN kind = 'categorical' AND avg_length > {TEXT_LENGTH} THEN 'text' ELSE kind END"))
     typed = typed.withColumn("semantic_type", semantic_type(F.col("kind"), F.col("column")))
     unique = "`distinct` = `rows` AND nulls = 0 AND `rows` > 0"

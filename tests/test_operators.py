@@ -345,3 +345,13 @@ def test_stationarity_and_seasonality(spark):
 def test_daily_series_has_one_row_per_day(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01 10:00:00' as ts, 1.0D as v union all select timestamp_ntz'2024-01-01 23:00:00', 2.0D")
     assert [r.v for r in aggregate.daily_series(df, "ts", ["v"]).collect()] == [3.0]
+
+
+def test_catalog_moves_digests_instead_of_values(spark):
+    from tablescout.operators import semantics
+
+    df = spark.createDataFrame([(1, "a" * 60, 1.5), (2, None, -0.0), (3, "b", 0.0), (3, "b", None)], "id long, note string, v double")
+    catalog = semantics.column_catalog({"t": df})
+    plan = catalog._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and not [line for line in plan.splitlines() if "hashpartitioning(note" in line]
+    assert {r.column: r.distinct for r in catalog.collect()} == {"id": 3, "note": 2, "v": 2}
