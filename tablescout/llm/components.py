@@ -12,27 +12,30 @@ from pyspark.sql import functions as F
 from tablescout.session import discard, durable
 
 
-def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    edges = durable(edges.where("u != v").distinct())
-    state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return edges, tuple(state)
+def _stored(edges: DataFrame) -> DataFrame:
+    return durable(edges.where("u != v").distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node of the links ``u, v``; the component is its smallest node."""
-    edges, state = _stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    edges = _stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    state = _state(edges)
     while state[0]:
         # Large star: every larger neighbour of u is tied to the smallest node around u.
-        both = durable(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        tied, _ = _stored(large)
-        discard(edges, both, low)
+        tied = _stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        discard(edges, low)
         # Small star: u and its smaller neighbours are tied to the smallest of them.
         low = durable(tied.groupBy("u").agg(F.min("v").alias("m")))
         small = tied.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges, now = _stored(small.unionByName(low.select("u", F.col("m").alias("v"))))
+        edges = _stored(small.unionByName(low.select("u", F.col("m").alias("v"))))
         discard(tied, low)
+        now = _state(edges)
         if now == state:
             break
         state = now

@@ -12,11 +12,16 @@ the size statistics of the whole corpus.
 
 Signatures travel packed: tasks sort theirs, keep one leader for equal ones (so a hot signature costs a
 task one entry) and send a block per bucket.  Receivers pair every member with the leader of its signature, in
-constant memory.  Candidate pairs are verified exactly on the whole shingle sets, in three rounds that never
-form all pairs of a group of copies: each set with the leader it shares most with; then the remaining leaders
-outside its component; at last all pairs of a signature's members that are still in different components.
+constant memory.  Candidate pairs whose shingle counts per part of the hash range already differ too much are dropped
+(the sum of those differences never exceeds the symmetric difference); the others are verified exactly on the whole
+shingle sets, in three rounds that never form all pairs of a group of copies: each set with the leader it shares most with; then the remaining leaders
+outside its component; at last the pairs of a signature's members that are still in different components.
 Equal sets are one class throughout.
 
+That last round leaves out what spare segments make needless: if the signatures of a set that more than ``HEAVY``
+sets share (those of a passage that many documents quote) take up no more allocation than the set has to
+spare, every similar set also shares one of its other signatures, and the frequent ones prove nothing new.
+
 Edge cases: null, empty and blank texts have the empty set, which links with nothing; rows without a
 ``doc_id`` are left out; rows that repeat a ``doc_id`` are one document (the smallest text counts); further
 columns are ignored.
@@ -24,6 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +43,11 @@ from tablescout.llm.components import components
 from tablescout.llm.words import GOLDEN, MIX_A, MIX_B, WordHashes, long, mix, one_row_per_id, only, raw, shingle_set
 from tablescout.session import discard, durable
 
-RATIO = 1.65
+RATIO = 1.45
+SPREAD = 128
 FLUSH = 1_000_000
 BUCKET = 1_000_000
+HEAVY = 8
 
 
 def max_difference(size: int, percent: int) -> int:
@@ -87,8 +95,8 @@ def allocate(low: int, high: int, sets: int, percent: int) -> Plan:
     return best[1]
 
 
-def signatures(s: np.ndarray, plan: Plan, band: int) -> np.ndarray:
-    """Signatures of a sorted set in a band."""
+def signatures(s: np.ndarray, plan: Plan, band: int) -> tuple[np.ndarray, int]:
+    """Signatures of a sorted set in a band, and the allocation it reaches."""
     units = plan.ones + 2 * plan.twos
     slot = ((s >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)
     seg = np.where(slot < plan.ones, slot, plan.ones + (slot - plan.ones) // 2)
@@ -112,27 +120,29 @@ def signatures(s: np.ndarray, plan: Plan, band: int) -> np.ndarray:
         out += [mix(base ^ alone), mix(deletions ^ alone)]
         single = (ids >= plan.ones) & (counts == 1)
         out.append(mix((full - sums)[single] ^ alone))
-    return mix(np.unique(np.concatenate(out)))
+    return mix(np.unique(np.concatenate(out))), reached
 
 
 def profile(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, s1, s2``: size and 128-bit hash of every document's set."""
+    """``doc_id, n, s1, s2, v``: size, 128-bit hash and counts over the hash range of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, s1, s2 = [], [], []
+            n, s1, s2, v = [], [], [], []
             for text in raw(batch.column(1)):
                 s = shingle_set(text.lower().split(), hashes, words)
                 key = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 s1.append(key >> 64)
                 s2.append(key & (1 << 64) - 1)
+                # Counts beyond 255 read as 255, which only makes differences smaller.
+                v.append(np.minimum(np.bincount((mix(s) >> np.uint64(57)).astype(np.int64), minlength=SPREAD), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(long(np.array(s1, np.uint64))), pa.array(long(np.array(s2, np.uint64)))],
-                ["doc_id", "n", "s1", "s2"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(long(np.array(s1, np.uint64))), pa.array(long(np.array(s2, np.uint64))), pa.array(v, pa.binary())],
+                ["doc_id", "n", "s1", "s2", "v"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, v binary")
 
 
 def leaders(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,12 +155,24 @@ def leaders(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, t
     return sig[first], doc[first], (sig[rest], doc[rest], lead[rest])
 
 
+def pack_block(columns: list[np.ndarray]) -> bytes:
+    """Signatures as they are, ids byte by byte, as their upper bytes hardly vary."""
+    return columns[0].tobytes() + zlib.compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns[1:]), 1)
+
+
+def unpack_block(block: bytes, n: int, ids: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(block[8 * n:]), np.uint8).reshape(ids, 8, n)
+    return [np.frombuffer(block, np.uint64, n), *[np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]]
+
+
 def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
     """Blocks of signatures per bucket; those that already found a leader travel as members in buckets of their own."""
 
-    def flush(sig: list, doc: list) -> Iterator[pa.RecordBatch]:
+    def flush(sig: list, doc: list, spare: dict[int, int]) -> Iterator[pa.RecordBatch]:
         sig, doc, member = leaders(np.concatenate(sig), np.concatenate(doc))
-        for kind, columns in ((0, (sig, doc)), (1, member)):
+        owner = np.fromiter(spare.keys(), np.int64, len(spare))
+        spared = (mix(owner.astype(np.uint64)), owner, np.fromiter(spare.values(), np.int64, len(spare)))
+        for kind, columns in ((0, (sig, doc)), (1, member), (2, spared)):
             key = columns[0] if kind == 0 else mix(columns[1].astype(np.uint64))  # members are dealt by themselves
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -160,12 +182,12 @@ def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets:
             for i in range(0, len(start), 512):
                 parts = list(zip(start[i:i + 512], end[i:i + 512]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[start[i:i + 512]] * 2 + kind), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in parts], pa.binary())],
-                    ["bucket", "block"])
+                    [pa.array(bucket[start[i:i + 512]] * 3 + kind), pa.array([b - a for a, b in parts], pa.int32()), pa.array([pack_block([c[a:b] for c in columns]) for a, b in parts], pa.binary())],
+                    ["bucket", "n", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        sig, doc, size = [], [], 0
+        sig, doc, size, spare = [], [], 0, {}
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
                 s = shingle_set(text.lower().split(), hashes, words)
@@ -179,27 +201,35 @@ def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets:
                 band = int(np.searchsorted(edges, len(s), "right")) - 1
                 while band >= 0 and 100 * (edges[band + 1] - 1) >= percent * len(s):
                     if band in plans:
-                        sig.append(signatures(s, plans[band], band))
+                        found, reached = signatures(s, plans[band], band)
+                        sig.append(found)
+                        # Largest difference to a similar set in this band, and what is left of the allocation.
+                        most = (len(s) + min(int(edges[band + 1]) - 1, 100 * len(s) // percent)) * (100 - percent) // (100 + percent)
+                        left = (reached - most - 1) // (2 if plans[band].twos else 1) if reached >= plans[band].need else -1
+                        spare[d] = min(left, spare.get(d, left))
                         doc.append(np.full(len(sig[-1]), d, np.int64))
                         size += len(sig[-1])
                     band -= 1
                 if size >= FLUSH:
-                    yield from flush(sig, doc)
-                    sig, doc, size = [], [], 0
+                    yield from flush(sig, doc, spare)
+                    sig, doc, size, spare = [], [], 0, {}
         if size:
-            yield from flush(sig, doc)
+            yield from flush(sig, doc, spare)
 
-    return docs.mapInArrow(run, "bucket int, block binary")
+    return docs.mapInArrow(run, "bucket int, n int, block binary")
 
 
 def shared_signatures(blocks: DataFrame, partitions: int) -> DataFrame:
-    """``sig, doc, leader`` for all but the leader of every signature that several documents have."""
+    """``sig, doc, leader`` for all but the leader of every signature that several documents have; and one row per document
+    that stands for its set with ``spare``, how many of its signatures may be left out, and no leader."""
 
-    def emit(parts: list) -> Iterator[pa.RecordBatch]:
+    def emit(parts: list, kind: int = 1) -> Iterator[pa.RecordBatch]:
         parts = [p for p in parts if len(p[0])]
         if parts:
             sig, doc, lead = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays([pa.array(long(sig)), pa.array(doc), pa.array(lead)], ["sig", "doc", "leader"])
+            none = pa.nulls(len(sig), pa.int64())
+            columns = [pa.array(long(sig)), pa.array(doc), pa.array(lead), none] if kind < 2 else [none, pa.array(doc), none, pa.array(lead)]
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "doc", "leader", "spare"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sigs, docs, size, kept = None, [], [], 0, 0
@@ -212,53 +242,77 @@ def shared_signatures(blocks: DataFrame, partitions: int) -> DataFrame:
                 sigs, docs, size, kept = [a], [b], len(a), len(a)
 
         for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for bucket, n, block in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     yield from settle()
                     now, sigs, docs, size, kept = bucket, [], [], 0, 0
-                if bucket % 2:
-                    sig, doc, lead = np.frombuffer(block, np.uint64).reshape(3, -1)
-                    yield from emit([(sig, doc.view(np.int64), lead.view(np.int64))])
+                if bucket % 3:
+                    yield from emit([unpack_block(block, n, 2)], bucket % 3)
                     continue
-                sig, doc = np.frombuffer(block, np.uint64).reshape(2, -1)
+                sig, doc = unpack_block(block, n, 1)
                 sigs.append(sig)
-                docs.append(doc.view(np.int64))
+                docs.append(doc)
                 size += len(sig)
                 if size - kept > BUCKET:
                     yield from settle()
         yield from settle()
 
     dealt = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "sig long, doc long, leader long")
+    return dealt.mapInArrow(run, "sig long, doc long, leader long, spare long")
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, items``: the shingle sets themselves, packed."""
+def plausible(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v, ...`` whose counts over the hash range leave room for the similarity."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SPREAD).astype(np.int64) for c in batch.columns[-2:])
+            apart = np.abs(a - b).sum(axis=1)
+            size = sum(batch.column(names.index(c)).to_numpy() for c in ("nu", "nv"))
+            rows = batch.select(range(len(names)))
+            yield rows.filter(pa.array((100 + percent) * apart <= (100 - percent) * size))
+
+    left = vectors.select(F.col("class_id").alias("u"), F.col("v").alias("counts_u"))
+    right = vectors.select(F.col("class_id").alias("v"), F.col("v").alias("counts_v"))
+    return (pairs.join(left, "u").join(right, "v").select(*names, "counts_u", "counts_v")
+            .mapInArrow(run, pairs.schema))
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """``doc_id, z``: the texts, compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            items = [shingle_set(t.lower().split(), hashes, words).tobytes() for t in raw(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.lower(), 1) for t in raw(batch.column(1))], pa.binary())], ["doc_id", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, items binary")
+    return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` that are similar."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` that are similar, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, recent = WordHashes(), {}
+
+        def items(doc: int, z: bytes) -> np.ndarray:
+            if doc not in recent:
+                if len(recent) >= 16:
+                    recent.clear()
+                recent[doc] = shingle_set(zlib.decompress(z).split(), hashes, words)
+            return recent[doc]
+
         for batch in batches:
             similar = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for u, v, zu, zv in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = items(u, zu), items(v, zv)
                 common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 similar.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(similar, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    left = texts.select(F.col("doc_id").alias("u"), F.col("z").alias("zu"))
+    right = texts.select(F.col("doc_id").alias("v"), F.col("z").alias("zv"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -266,7 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     docs = one_row_per_id(only(docs, "doc_id", "text"))
     known = durable(profile(docs, words))
-    classes = durable(known.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n")))
+    classes = durable(known.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("v").alias("v")))
     top = classes.agg(F.max("n"), F.sum("n")).first()
     edges = bands(int(top[0] or 1))
     # One count per size band reaches the driver.
@@ -275,21 +329,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     plans = {b: allocate(int(edges[b]), int(edges[b + 1]) - 1, n, percent) for b, n in sizes.items()}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, int(top[1] or 0) // (2 * BUCKET))
-    shared = shared_signatures(entries(docs, plans, edges, buckets, words, percent), partitions)
+    shared = durable(shared_signatures(entries(docs, plans, edges, buckets, words, percent), partitions))
 
     # From documents to classes of equal sets; n travels along for the size test.
     member = durable(known.where("n > 0").join(classes.select("s1", "s2", "class_id"), ["s1", "s2"]).select("doc_id", "class_id", "n"))
     m1 = member.select(F.col("doc_id").alias("doc"), F.col("class_id").alias("u"), F.col("n").alias("nu"))
     m2 = member.select(F.col("doc_id").alias("leader"), F.col("class_id").alias("v"), F.col("n").alias("nv"))
-    hits = durable(shared.join(m1, "doc").join(m2, "leader").where("u != v").select("sig", "u", "v", "nu", "nv"))
+    hits = durable(shared.where("leader is not null").join(m1, "doc").join(m2, "leader").where("u != v").select("sig", "u", "v", "nu", "nv"))
+    vectors = classes.select("class_id", "v")
     fits = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
-    pairs = durable(hits.where(fits).groupBy("u", "v").agg(F.count(F.lit(1)).alias("common")))
-    nodes = durable(hits.select("u").union(hits.select("v")).distinct().withColumnRenamed("u", "doc_id"))
-    sets = durable(sets_of(docs.join(nodes, "doc_id"), words))
+    met = hits.where(fits).groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("common"))
+    pairs = durable(plausible(met, vectors, percent))
+    # Texts of the classes that plausibly meet others.
+    nodes = durable(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id"))
+    texts = durable(compressed(docs).join(nodes, "doc_id"))
 
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("common"), "v"))
-    first = pairs.withColumn("rank", rank).where("rank = 1").select("u", "v")
-    links = durable(verified(first, sets, percent))
+    first = durable(pairs.withColumn("rank", rank).where("rank = 1").select("u", "v"))
+    links = durable(verified(first, texts, words, percent))
     labels = durable(components(links))
 
     def apart(candidates: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,21 +357,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return out.select(*candidates.columns, F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu != cv")
 
     rest = durable(apart(pairs.select("u", "v"), labels).join(first, ["u", "v"], "left_anti").select("u", "v"))
-    links = durable(links.unionByName(verified(rest, sets, percent)))
+    links = durable(links.unionByName(verified(rest, texts, words, percent)))
     labels = durable(components(links))
 
-    # Members of one signature that are still apart: all pairs of different components.
-    open_ = apart(hits, labels).select("sig").distinct()
-    inside = hits.join(open_, "sig")
-    around = durable(inside.select("sig", "u", F.col("nu").alias("n")).union(inside.select("sig", "v", "nv")).distinct())
-    a = around.select("sig", "u", F.col("n").alias("nu"))
-    b = around.select("sig", F.col("u").alias("v"), F.col("n").alias("nv"))
-    left = apart(a.join(b, "sig").where("u < v").where(fits).select("u", "v").distinct(), labels).select("u", "v")
+    # Members of one signature that are still apart, beyond the leader that each has met.
+    around = hits.select("sig", "u", F.col("nu").alias("n")).union(hits.select("sig", "v", "nv")).distinct()
+    spare = (shared.where("spare is not null").join(m1.select("doc", "u"), "doc").groupBy("u").agg(F.max("spare").alias("spare")))
+    component = labels.select(F.col("node").alias("u"), "component")
+    around = durable(around.join(component, "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component"))
+    # The component with the most members of a signature needs no pairs inside; only the others look for partners.
+    groups = (around.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
+              .groupBy("sig").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")))
+    groups = durable(groups.where(f"parts > 1 or size > {HEAVY}"))
+    heavy = groups.where(f"size > {HEAVY}").select("sig")
+    dense = (around.join(heavy, "sig").groupBy("u").agg(F.count(F.lit(1)).alias("k")).join(spare, "u", "left")
+             .where("spare is null or k > spare").select("u", F.lit(True).alias("dense")))
+    around = (around.join(groups.where("parts > 1"), "sig").join(durable(dense), "u", "left")
+              .where(f"size <= {HEAVY} or dense").select("sig", "u", "n", "c", "main"))
+    around = durable(around)
+    a = around.where("c != main").select("sig", "u", F.col("n").alias("nu"), F.col("c").alias("cu"))
+    b = around.select("sig", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
+    left = (a.join(b, "sig").where("cu != cv").where(fits)
+            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"),
+                    F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
+                    F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct())
     tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = durable(verified(left.join(tested, ["u", "v"], "left_anti"), sets, percent))
-    if not more.isEmpty():
+    left = durable(plausible(left.join(tested, ["u", "v"], "left_anti").select("u", "v", "nu", "nv"), vectors, percent))
+    others = left.select(F.col("u").alias("doc_id")).union(left.select("v")).distinct().join(nodes, "doc_id", "left_anti")
+    if not left.isEmpty():
+        texts = texts.unionByName(compressed(docs).join(others, "doc_id"))
+        more = durable(verified(left.select("u", "v"), texts, words, percent))
         labels = durable(components(links.unionByName(more)))
-    discard(hits, pairs, nodes, sets, rest, around)
+    discard(shared, hits, pairs, nodes, first, rest, around, groups, left)
     found = member.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component"))
     return known.join(found, "doc_id", "left").select(

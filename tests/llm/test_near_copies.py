@@ -156,7 +156,24 @@ def test_similar_sets_share_a_signature(low, high):
         b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 63, grown).astype(np.uint64) * np.uint64(2)]))
         common = len(np.intersect1d(a, b))
         if len(b) and 100 * common >= 80 * (len(a) + len(b) - common) and min(len(a), len(b)) >= low:
-            assert len(np.intersect1d(jaccard_join.signatures(a, plan, 3), jaccard_join.signatures(b, plan, 3)))
+            assert len(np.intersect1d(jaccard_join.signatures(a, plan, 3)[0], jaccard_join.signatures(b, plan, 3)[0]))
+
+
+def test_passage_that_many_documents_quote(spark, monkeypatch):
+    """Frequent signatures are left out where other ones suffice, and no link is lost by that."""
+    monkeypatch.setattr(jaccard_join, "HEAVY", 3)
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        words = [f"w{x}" for x in rng.integers(0, 10 ** 6, int(rng.integers(5, 200)))]
+        words[len(words) // 3:len(words) // 3] = passage
+        if i % 6 == 0 and rows:
+            words = rows[int(rng.integers(len(rows)))][1].split()
+            for _ in range(int(rng.integers(0, 5))):
+                words[int(rng.integers(len(words)))] = f"n{rng.integers(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(brute_sets(dict(rows)))
 
 
 def test_connected_components(spark):
