@@ -11,7 +11,8 @@ dictionary of word hashes, sorted positions in it, and the document of every occ
 bytes a token.  A bucket then holds whole histories, so it counts bigrams exactly, asks the unigram table for
 the words it holds, and evaluates each occurrence.  Histories that are frequent in the whole corpus (at most
 ``MAX_FREQUENT`` of them can be) are spread over several buckets by the following word, and their sums over all
-successors are added up between two passes over the same shuffle.  Sums per document are combined in the tasks.
+successors are added up between two passes over the same shuffle.  A bucket sends the sums of its documents
+as one block per group of documents.
 
 If the count-of-counts do not give proper Good-Turing discounts (small or odd corpora) half an occurrence is
 taken off instead, and an order that would free nothing frees 1 / (count + 1).
@@ -39,6 +40,8 @@ from tablescout.session import durable
 CUT = 5
 FLUSH = 2_000_000
 BUCKET = 1_500_000
+#: Sums of logarithms travel as whole multiples of 2 ** -SCALE, so they do not depend on the order of addition.
+SCALE = 36
 MAX_FREQUENT = 4_000
 #: Hashes of the two marks (fixed values).
 END, START = 0x656E64, 0x7374617274
@@ -118,15 +121,17 @@ def pack_block(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, train: np.ndarra
     body = b"".join(c.astype(np.uint32).tobytes() if m > 65535 else c.astype(np.uint16).tobytes()
                     for c, m in zip(columns, (len(words), len(words), len(docs))))
     head = np.array([len(words), len(docs), len(w1)], np.int64).tobytes()
-    return head + words.tobytes() + docs.tobytes() + zlib.compress(known.tobytes() + body, 1)
+    # The ids byte by byte: they are sorted, and their upper bytes hardly vary.
+    planes = docs.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return head + words.tobytes() + zlib.compress(known.tobytes() + planes + body, 1)
 
 
 def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words, docs, n = (int(x) for x in np.frombuffer(block, np.int64, 3))
     h = np.frombuffer(block, np.uint64, words, 24)
-    ids = np.frombuffer(block, np.int64, docs, 24 + 8 * words)
-    body = zlib.decompress(block[24 + 8 * (words + docs):])
-    known, at, out = np.frombuffer(body, np.uint8, docs), docs, []
+    body = zlib.decompress(block[24 + 8 * words:])
+    known, at, out = np.frombuffer(body, np.uint8, docs), 9 * docs, []
+    ids = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * docs, docs).reshape(8, docs).T).view(np.int64).ravel()
     for m in (words, words, docs):
         kind = np.uint32 if m > 65535 else np.uint16
         out.append(np.frombuffer(body, kind, n, at).astype(np.int64))
@@ -195,7 +200,7 @@ class Bucket:
         return cls(a[new], b[new], np.bincount(number, train[order], new.sum()), doc[order], number)
 
 
-SIDE = "bucket int, kind int, h long, a double, b double"
+SIDE = "bucket int, kind int, h long, a double"
 
 
 def requests(blocks: DataFrame) -> DataFrame:
@@ -208,17 +213,16 @@ def requests(blocks: DataFrame) -> DataFrame:
         r, n = np.unique(own.c[(own.c > 0) & (own.c <= CUT + 1)].astype(np.int64), return_counts=True)
         size = len(words) + len(r)
         return pa.table({"bucket": pa.array(np.full(size, bucket, np.int32)), "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(words), len(r)])),
-                         "h": pa.array(np.concatenate([long(words), r])), "a": pa.array(np.concatenate([np.zeros(len(words)), n.astype(float)])),
-                         "b": pa.array(np.zeros(size))})
+                         "h": pa.array(np.concatenate([long(words), r])), "a": pa.array(np.concatenate([np.zeros(len(words)), n.astype(float)]))})
 
     return blocks.groupBy("bucket").applyInArrow(run, SIDE)
 
 
-def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams, frequent: np.ndarray):
+def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams):
     """Per distinct bigram its discounted probability (0 if unseen) and the unigram count of its second word; per
     history its place in ``w1`` and its two sums over seen successors."""
     own = Bucket.of(blocks)
-    kind, h, a, b = (side.column(c).to_numpy() for c in ("kind", "h", "a", "b"))
+    kind, h, a = (side.column(c).to_numpy() for c in ("kind", "h", "a"))
     known = kind == 0
     order = np.argsort(h[known].view(np.uint64))
     words, counts = h[known].view(np.uint64)[order], a[known][order]
@@ -228,8 +232,7 @@ def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams, frequent: np.nda
         return np.where(words[at] == x, counts[at], 0.0) if len(words) else np.zeros(len(x))
 
     factors = discounts({int(r): int(n) for r, n in zip(h[kind == 1], a[kind == 1])})
-    c1 = np.where(own.w1 == START, unigrams.documents, count(own.w1))
-    c2 = count(own.w2)
+    c1, c2 = count(own.w1), count(own.w2)
     p = factors[np.minimum(own.c, CUT + 1).astype(np.int64)] * own.c / np.maximum(c1, 1)
     low = unigrams.probability(c2)
     new = np.concatenate([[True], own.w1[1:] != own.w1[:-1]])
@@ -237,17 +240,24 @@ def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams, frequent: np.nda
     seen = own.c > 0
     high_sum, low_sum = np.bincount(history, p * seen, new.sum()), np.bincount(history, low * seen, new.sum())
     names = own.w1[new]
-    if (kind == 2).any():
-        at = np.argsort(h[kind == 2])
-        hot = h[kind == 2][at]
-        place = np.minimum(np.searchsorted(hot, long(names)), len(hot) - 1)
-        hit = hot[place] == long(names)
-        high_sum, low_sum = np.where(hit, a[kind == 2][at][place], high_sum), np.where(hit, b[kind == 2][at][place], low_sum)
+    if "low" in side.column_names:  # sums of spread histories over all their buckets
+        high, whole = (side.column(c).to_numpy() for c in ("high", "low"))
+        at = np.flatnonzero(~np.isnan(high))
+        at = at[np.argsort(h[at])]
+        if len(at):
+            place = at[np.minimum(np.searchsorted(h[at], long(names)), len(at) - 1)]
+            hit = h[place] == long(names)
+            high_sum, low_sum = np.where(hit, high[place], high_sum), np.where(hit, whole[place], low_sum)
     return own, p, c1, c2, low, history, names, high_sum, low_sum
 
 
-def document_sums(own: Bucket, p, c1, c2, low, history, high_sum, low_sum, unigrams: Unigrams) -> pa.Table:
-    """Per document the summed base and model log10 probabilities of its tokens here."""
+def planes(columns: list[np.ndarray]) -> bytes:
+    """Whole numbers byte by byte, as their upper bytes hardly vary."""
+    return zlib.compress(b"".join(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), 1)
+
+
+def document_sums(own: Bucket, p, c1, c2, low, history, high_sum, low_sum, unigrams: Unigrams, groups: int) -> pa.Table:
+    """``part, block``: per group of documents their tokens, known tokens, and summed base and model log10 probabilities."""
     c = c1[np.concatenate([[True], history[1:] != history[:-1]])]
     none = (c > 0) & (1 - high_sum <= 1e-12)  # nothing was freed
     shrink = np.where(none, c / (c + 1), 1.0)
@@ -256,9 +266,28 @@ def document_sums(own: Bucket, p, c1, c2, low, history, high_sum, low_sum, unigr
     base = (c2 + 1) / (unigrams.total + unigrams.types + 1)
     docs, local = np.unique(own.doc, return_inverse=True)
     total = lambda x: np.bincount(local, x[own.at], len(docs))
-    return pa.table({"doc_id": pa.array(docs), "n_tokens": pa.array(np.bincount(local, minlength=len(docs))),
-                     "n_known": pa.array(total((c2 > 0).astype(float)).astype(np.int64)),
-                     "base_score": pa.array(total(np.log10(base))), "score": pa.array(total(np.log10(model)))})
+    exact = lambda x: np.rint(total(np.log10(x)) * 2.0 ** SCALE)
+    columns = [docs, np.bincount(local, minlength=len(docs)), total((c2 > 0).astype(float)), exact(base), exact(model)]
+    part = (mix(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=groups))
+    blocks = [planes([c[order[a:b]] for c in columns]) for a, b in zip(edges, edges[1:])]
+    return pa.table({"part": pa.array(part[order[edges[:-1]]]), "block": pa.array(blocks, pa.binary())})
+
+
+SUMS = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def added_up(table: pa.Table) -> pa.Table:
+    """The sums of each document over all buckets."""
+    blocks = [np.frombuffer(zlib.decompress(b), np.uint8) for b in table.column("block").to_pylist()]
+    rows = np.concatenate([np.ascontiguousarray(b.reshape(5, 8, -1).transpose(0, 2, 1)).view(np.int64).reshape(5, -1) for b in blocks], axis=1)
+    order = np.argsort(rows[0], kind="stable")
+    rows = rows[:, order]
+    first = np.flatnonzero(np.diff(rows[0], prepend=rows[0][0] - 1))
+    docs, values = rows[0][first], np.add.reduceat(rows[1:], first, axis=1)
+    return pa.table({"doc_id": pa.array(docs), "n_tokens": pa.array(values[0]), "n_known": pa.array(values[1]),
+                     "base_score": pa.array(values[2] / 2.0 ** SCALE), "score": pa.array(values[3] / 2.0 ** SCALE)})
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -284,30 +313,31 @@ def score(docs: DataFrame, train) -> DataFrame:
 
     blocks = bigram_blocks(docs, buckets, frequent).repartition(partitions, "bucket")
     asked = requests(blocks)
-    words = asked.where("kind = 0").join(table, "h").select("bucket", "kind", "h", F.col("c").cast("double").alias("a"), "b")
+    counted = table.unionByName(spark.createDataFrame([(START, documents)], "h long, c long"))
+    words = asked.where("kind = 0").join(counted, "h").select("bucket", "kind", "h", F.col("c").cast("double").alias("a"))
     spread = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    ranks = asked.where("kind = 1").groupBy("kind", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(spread.alias("bucket"), "kind", "h", "a", "b")
+    ranks = asked.where("kind = 1").groupBy("kind", "h").agg(F.sum("a").alias("a")).select(spread.alias("bucket"), "kind", "h", "a")
     side = words.unionByName(ranks).repartition(partitions, "bucket")
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64()))})
-        *_, own, high, low = solve(left, right, unigrams, names)
+        *_, own, high, low = solve(left, right, unigrams)
         hot = np.isin(own, names)
         return pa.table({"h": pa.array(long(own[hot])), "a": pa.array(high[hot]), "b": pa.array(low[hot])})
 
+    # One row per spread history, at most MAX_FREQUENT + 1 of them, so the broadcast is bounded and nothing is dealt anew.
     hot = (blocks.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(sums, "h long, a double, b double")
-           .groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(spread.alias("bucket"), F.lit(2).alias("kind"), "h", "a", "b"))
+           .groupBy("h").agg(F.sum("a").alias("high"), F.sum("b").alias("low")).withColumn("kind", F.lit(0)))
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                                                             ("base_score", pa.float64()), ("score", pa.float64()))})
-        own, p, c1, c2, low, history, _, high, lows = solve(left, right, unigrams, names)
-        return document_sums(own, p, c1, c2, low, history, high, lows, unigrams)
-
-    whole = side.unionByName(hot).repartition(partitions, "bucket")
-    parts = (blocks.groupBy("bucket").cogroup(whole.groupBy("bucket"))
-             .applyInArrow(evaluate, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
-    return parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]).select(
-        "doc_id", train.alias("train"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+            return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
+        own, p, c1, c2, low, history, _, high, lows = solve(left, right, unigrams)
+        return document_sums(own, p, c1, c2, low, history, high, lows, unigrams, partitions)
+
+    nan = F.lit(float("nan"))
+    whole = side.join(F.broadcast(hot), ["kind", "h"], "left").select("bucket", "kind", "h", "a", F.coalesce("high", nan).alias("high"), F.coalesce("low", nan).alias("low"))
+    parts = blocks.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInArrow(evaluate, "part int, block binary")
+    sums_ = parts.repartition(partitions, "part").groupBy("part").applyInArrow(added_up, SUMS)
+    return sums_.select("doc_id", train.alias("train"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
