@@ -357,8 +357,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return out.select(*candidates.columns, F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu != cv")
 
     rest = durable(apart(pairs.select("u", "v"), labels).join(first, ["u", "v"], "left_anti").select("u", "v"))
-    links = durable(links.unionByName(verified(rest, texts, words, percent)))
-    labels = durable(components(links))
+    second = durable(verified(rest, texts, words, percent))
+    links = links.unionByName(second)
+    if not second.isEmpty():
+        labels = durable(components(links))
 
     # Members of one signature that are still apart, beyond the leader that each has met.
     around = hits.select("sig", "u", F.col("nu").alias("n")).union(hits.select("sig", "v", "nv")).distinct()

@@ -17,6 +17,8 @@ several; an empty table gives no piece.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -41,25 +43,30 @@ class Tokens:
     once per task; any other text, or one that holds a special token, goes through the tokenizer whole.
     """
 
-    #: Characters for which lower-casing and the classes of the pattern are the same in all libraries.
-    PLAIN = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ž]"
+    #: Code points for which lower-casing and the classes of the pattern are the same in all libraries.
+    PLAIN = [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x17F)]
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
-        import regex
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 400_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.limit, self.cache = Tokenizer.from_file(path), limit, {}
+        self.whole, self.limit, self.cache, self.cuts = Tokenizer.from_file(path), limit, {}, None
         spec = json.loads(self.whole.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
+        plain = [chr(c) for c in self.PLAIN]
+        self.odd = re.compile(f"[^{re.escape(''.join(plain))}]")
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.cuts = None
-        if kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"]:
-            self.cuts = regex.compile(steps[0]["pattern"]["Regex"])
-        self.odd = regex.compile(self.PLAIN)
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if kinds == ["NFC", "Replace", "Lowercase"] and [t["type"] for t in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]:
+            # The classes of the pattern, written out for the plain characters.
+            pattern = steps[0]["pattern"]["Regex"].replace(r"\s", re.escape("".join(c for c in plain if c.isspace())))
+            for name in "LN":
+                pattern = pattern.replace(rf"\p{{{name}}}", re.escape("".join(c for c in plain if unicodedata.category(c)[0] == name)))
+            self.cuts = re.compile(pattern)
+            step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bytes = {ord(c): step.pre_tokenize_str(c)[0][0] for c in plain if not c.isspace()}
 
     def _piece(self, piece: str) -> bytes:
-        out = np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        out = np.array([t.id for t in self.whole.model.tokenize(piece.translate(self.bytes))], "<u4").tobytes()
         if len(piece) < 64:
             self.cache[piece] = out
         return out
