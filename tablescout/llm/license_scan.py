@@ -6,6 +6,11 @@ window, words that are unique to it and to the template are matched, the longest
 those matches gives the anchors, equal words right before and after an anchor are matched as well, and
 the gaps between anchors are aligned the same way.  The share of template words that are matched is the coverage.
 
+Whatever the coverage, the phrases that name the license and its version (``licenses.NAMES``) have to be matched word
+by word, with nothing between them but marks and single characters, as at the start of a line of a comment.  Short
+sentences like "under the <name>", in the usual spellings, and SPDX identifiers are looked up as they are, and count
+where no template of that license is found; a name without a version counts where there is none with a version.
+
 Every document is scanned whole, by itself, so nothing is shuffled.
 
 Edge cases: null and empty texts hold no notice; rows without a ``doc_id`` are left out; repeated rows are
@@ -23,26 +28,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tablescout.llm.licenses import IDENTIFIERS, LEADS, NAMES, OPEN, SPDX, SPELLINGS, TEMPLATES
 from tablescout.llm.words import only
 
-#: Short notices and standard headers of public licenses (fixed values).
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
-                         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
-                         "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
-                         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-                      "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Released under the MIT License.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-                "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
-                "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
-                "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
-                "included in all copies or substantial portions of the Software.",
-}
 OUTER = string.punctuation.encode()
 
 
@@ -89,10 +77,16 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def filler(word: bytes) -> bool:
+    """Marks and single characters, which may stand within a name."""
+    return len(word) == 1 or not word.strip(OUTER)
+
+
 class Scanner:
     """Finds templates in texts."""
 
-    def __init__(self, templates: dict[str, str], coverage: float) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float, names: dict[str, list[str]] | None = None,
+                 spellings: dict[str, str] | None = None, identifiers: dict[str, str] | None = None) -> None:
         self.coverage = coverage
         self.templates = {name: words_of(t.encode()) for name, t in templates.items()}
         self.pairs: dict[tuple[bytes, bytes], list[tuple[str, int]]] = {}
@@ -100,14 +94,30 @@ class Scanner:
             for j, pair in enumerate(zip(t, t[1:])):
                 self.pairs.setdefault(pair, []).append((name, j))
         self.first = {p[0] for p in self.pairs}
+        # Template places of every naming phrase, and the words that a document needs for the template.
+        self.names: dict[str, list[range]] = {}
+        for name, phrases in (names or {}).items():
+            t = self.templates[name]
+            for phrase in (words_of(p.encode()) for p in phrases):
+                at = next(j for j in range(len(t)) if t[j:j + len(phrase)] == phrase)
+                self.names.setdefault(name, []).append(range(at, at + len(phrase)))
+        self.needs = {name: {t[j] for r in self.names.get(name, ()) for j in r} for name, t in self.templates.items()}
+        clean = lambda text: tuple(w for w in words_of(text.encode()) if w.strip(OUTER))
+        lead, ids = [clean(x) for x in LEADS], {clean(x): n for x, n in (identifiers or {}).items()}
+        self.spelled = {x + clean(a): n for a, n in (spellings or {}).items() for x in lead} | {clean(SPDX) + x: n for x, n in ids.items()}
+        self.starts = {x[0] for x in self.spelled}
+        self.prefixes = {x[:n] for x in self.spelled for n in range(1, len(x) + 1)}
 
     def windows(self, words: list[bytes]) -> Iterator[tuple[str, int, int]]:
         """Template and word range of every candidate window."""
+        have = set(words)
+        possible = {name for name, need in self.needs.items() if need <= have}
         starts: dict[str, list[int]] = {}
-        for i, w in enumerate(words[:-1]):
+        for i, w in enumerate(words[:-1] if possible else ()):
             if w in self.first:
                 for name, j in self.pairs.get((w, words[i + 1]), ()):
-                    starts.setdefault(name, []).append(i - j)
+                    if name in possible:
+                        starts.setdefault(name, []).append(i - j)
         for name, places in starts.items():
             size = len(self.templates[name])
             slack = max(size // 4, 2)
@@ -120,20 +130,44 @@ class Scanner:
                 yield name, max(group[0] - slack, 0), min(group[-1] + size + slack, len(words))
                 group = [p]
 
+    def named(self, name: str, words: list[bytes], matched: list[tuple[int, int]]) -> bool:
+        """Whether the naming phrases are matched whole and in one piece."""
+        place = {j: i for i, j in matched}
+        return all(all(j in place for j in r) and all(filler(w) for j in r[1:] for w in words[place[j - 1] + 1:place[j]])
+                   for r in self.names.get(name, ()))
+
+    def spellings(self, words: list[bytes]) -> Iterator[tuple[str, int, int, int, float]]:
+        """The longest spelled name at each place."""
+        for i, w in enumerate(words):
+            if w in self.starts:
+                key, best = (), None
+                for k in range(i, len(words)):
+                    if words[k].strip(OUTER):
+                        key += (words[k],)
+                        if key not in self.prefixes:
+                            break
+                        if key in self.spelled:
+                            best = (self.spelled[key], i, k + 1, len(key), 1.0)
+                if best:
+                    yield best
+
     def notices(self, text: bytes) -> list[tuple[str, int, int, int, float]]:
-        """Template, first word, word after the last, matched words and coverage of every notice."""
+        """License, first word, word after the last, matched words and coverage of every notice."""
         words = words_of(text)
         found = []
         for name, a, b in self.windows(words):
             template = self.templates[name]
             matched = align(words[a:b], template)
             share = len(matched) / len(template)
-            if share >= self.coverage:
-                found.append((name, a + matched[0][0], a + matched[-1][0] + 1, len(matched), share))
+            if share >= self.coverage and self.named(name, words[a:b], matched):
+                found.append((name.split("~")[0], a + matched[0][0], a + matched[-1][0] + 1, len(matched), share))
         out: list[tuple] = []
-        for f in sorted(found, key=lambda f: (f[0], -f[4], f[1], f[2])):
+        spelled = list(self.spellings(words)) if self.spelled else []
+        for f in [*sorted(found, key=lambda f: (f[0], -f[4], f[1], f[2])), *sorted(spelled)]:
             if all(f[0] != g[0] or f[2] <= g[1] or f[1] >= g[2] for g in out):
                 out.append(f)
+        if self.spelled:
+            out = [f for f in out if f[0] not in OPEN or all(not g[0].startswith(f[0] + "-") or f[2] <= g[1] or f[1] >= g[2] for g in out)]
         return sorted(out, key=lambda f: (f[1], f[0]))
 
 
@@ -141,10 +175,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """``doc_id, license, start_word, end_word, matched, coverage`` of every notice."""
     import numpy as np
 
-    chosen = TEMPLATES if templates is None else templates
+    chosen = (TEMPLATES, coverage, NAMES, SPELLINGS, IDENTIFIERS) if templates is None else (templates, coverage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen, coverage)
+        scanner = Scanner(*chosen)
         for batch in batches:
             rows = [(d, *n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for n in scanner.notices(t.encode())]
             columns = list(zip(*rows)) if rows else [()] * 6

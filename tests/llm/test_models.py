@@ -273,3 +273,48 @@ def test_longest_increasing_subsequence():
         b = rng.permutation(9)
         best = max(sum(1 for _ in s) for m in range(512) for s in [[b[i] for i in range(9) if m >> i & 1]] if s == sorted(s))
         assert len(license_scan.increasing(list(enumerate(b.tolist())))) == best
+
+
+LICENSES = {
+    "Released under the BSD License.": "bsd",
+    "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0",
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0",
+    "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0",
+    "Licensed under the Apache License, Version 1.1.": "apache-1.1",
+    "distributed under the terms of the GNU GPL v2 or later": "gpl-2.0",
+    "free to share under the LGPL": "lgpl",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
+    "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+    "Released under the BSD 3-Clause License.": "bsd-3-clause",
+    "Released under the ISC License.": "isc",
+    "Released under the Modified BSD License.": "bsd-3-clause",
+    "Released under the MIT License.": "mit",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+    "Released under the moon and the license of nobody.": None,
+}
+
+
+def test_licenses_are_told_apart_by_their_names():
+    """Sentences that differ in the naming word only, in the usual spellings, most of them not in the given documents."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8, license_scan.NAMES, license_scan.SPELLINGS, license_scan.IDENTIFIERS)
+    for text, name in LICENSES.items():
+        assert [n[0] for n in scanner.notices(f"Some text before it. {text} And some words after it.".encode())] == ([name] if name else []), text
+
+
+def test_whole_license_texts_and_headers():
+    """Each text, as it is and as a numbered comment, is found under its own name and no sister license's."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8, license_scan.NAMES, license_scan.SPELLINGS, license_scan.IDENTIFIERS)
+    assert license_scan.NAMES.keys() == license_scan.TEMPLATES.keys()
+    parts = {"mit-full": {"mit-text", "mit-full"}, "apache-2.0-header": {"apache-2.0", "apache-2.0-header"}}
+    for name, text in license_scan.TEMPLATES.items():
+        if name.endswith(("-header", "-text", "-full", "~author")):
+            words = text.split()
+            comment = "/*\n" + "\n".join(" * " + " ".join(words[i:i + 11]) for i in range(0, len(words), 11)) + "\n */"
+            license = name.split("~")[0]
+            wanted = parts.get(license, {license})
+            for form in (text, comment, comment.replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither")):
+                got = {n[0] for n in scanner.notices(f"int x;\n{form}\nint y;".encode())}
+                # A header's own sentence may be reported as the short notice it holds.
+                assert wanted <= got and got - wanted <= {license.removesuffix("-header")}, (name, got)
