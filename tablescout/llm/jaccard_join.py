@@ -55,6 +55,18 @@ def max_difference(size: int, percent: int) -> int:
     return (size + 100 * size // percent) * (100 - percent) // (100 + percent)
 
 
+def largest_difference(size: int, edges: np.ndarray, band: int, percent: int) -> int:
+    """Largest difference between a set of this size and a similar one that looks for it in ``band``.
+
+    In a lower band those are the sets of the band.  In its own band they also are larger ones, up to the largest similar
+    size, which are indexed there as well and which a set at the top of its band meets nowhere else.
+    """
+    partner = 100 * size // percent
+    if int(edges[band + 1]) - 1 < size:
+        partner = int(edges[band + 1]) - 1
+    return (size + partner) * (100 - percent) // (100 + percent)
+
+
 def bands(top: int) -> np.ndarray:
     """First sizes of the bands, up to one beyond ``top``."""
     edges = [1]
@@ -203,8 +215,8 @@ def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets:
                     if band in plans:
                         found, reached = signatures(s, plans[band], band)
                         sig.append(found)
-                        # Largest difference to a similar set in this band, and what is left of the allocation.
-                        most = (len(s) + min(int(edges[band + 1]) - 1, 100 * len(s) // percent)) * (100 - percent) // (100 + percent)
+                        # Largest difference to a similar set that meets this one here, and what is left of the allocation.
+                        most = largest_difference(len(s), edges, band, percent)
                         left = (reached - most - 1) // (2 if plans[band].twos else 1) if reached >= plans[band].need else -1
                         spare[d] = min(left, spare.get(d, left))
                         doc.append(np.full(len(sig[-1]), d, np.int64))

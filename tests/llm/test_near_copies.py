@@ -8,7 +8,7 @@ import pytest
 
 from tablescout.llm import decontaminate, jaccard_join, substring_dedup
 from tablescout.llm.components import components
-from tablescout.llm.words import WordHashes, shingle_set
+from tablescout.llm.words import WordHashes, mix, shingle_set
 
 
 def brute_repeats(texts: dict, n: int = 20) -> dict:
@@ -176,6 +176,38 @@ def test_passage_that_many_documents_quote(spark, monkeypatch):
     assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(brute_sets(dict(rows)))
 
 
+def test_partner_above_the_top_of_a_band(spark):
+    """A set at its band's top and a similar one of the next band, whose only shared signatures are frequent ones."""
+    size, larger, others = 797, 996, 20
+    edges = jaccard_join.bands(larger)
+    band = int(np.searchsorted(edges, size, "right")) - 1
+    plan = jaccard_join.allocate(int(edges[band]), int(edges[band + 1]) - 1, others + 1, 80)
+    assert edges[band + 1] == size + 1 and not plan.twos
+    hashes = WordHashes()
+    segment = lambda w: int(shingle_set([w.encode()], hashes, 1)[0] >> np.uint64(32)) * plan.ones >> 32
+    a = [f"a{i}" for i in range(size)]
+    open_ = {segment(w) for w in a}
+    extra = []  # each one changes another segment
+    for i in range(10 ** 6):
+        if len(extra) < larger - size and segment(f"b{i}") in open_:
+            extra.append(f"b{i}")
+            open_.remove(segment(extra[-1]))
+        elif len(extra) == larger - size:
+            break
+    quoted = [w for w in a if segment(w) in open_]
+    texts = [a, a + extra]
+    for i in range(others):
+        own = [w for w in (f"c{i}x{j}" for j in range(900)) if segment(w) not in open_]
+        texts.append(quoted + own[:700 - len(quoted)])
+    # Neither of the two leads a signature.
+    ids = np.arange(1, len(texts) + 1)
+    ids = ids[np.argsort(mix(ids.astype(np.uint64)))][::-1].tolist()
+    rows = [(d, " ".join(t)) for d, t in zip(ids, texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, words=1).collect()}
+    assert found[ids[0]] == found[ids[1]] == min(ids[:2]) and len(set(found.values())) == others + 1
+
+
 def test_connected_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (20, 21), (3, 3), (21, 22), (22, 30), (30, 20)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
