@@ -11,7 +11,8 @@ dictionary of word hashes, sorted positions in it, and the document of every occ
 bytes a token.  A bucket then holds whole histories, so it counts bigrams exactly, asks the unigram table for
 the words it holds, and evaluates each occurrence.  Histories that are frequent in the whole corpus (at most
 ``MAX_FREQUENT`` of them can be) are spread over several buckets by the following word, and their sums over all
-successors are added up between two passes over the same shuffle.  A bucket sends the sums of its documents
+successors are added up between two passes over the same shuffle.  Bigrams that are as frequent themselves are counted
+before, and their occurrences go to further buckets by document, so no bucket grows with one bigram.  A bucket sends the sums of its documents
 as one block per group of documents.
 
 If the count-of-counts do not give proper Good-Turing discounts (small or odd corpora) half an occurrence is
@@ -139,17 +140,74 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return h[np.cumsum(out[0])], h[out[1]], ids[out[2]], known[out[2]]
 
 
-def bigram_blocks(docs: DataFrame, buckets: int, frequent: dict[int, int]) -> DataFrame:
-    """``bucket, block`` with every bigram occurrence of all documents; column ``train`` says which to learn from."""
+@dataclass
+class Hot:
+    """Bigrams too frequent for one bucket, sorted by key, with their training counts."""
+
+    keys: np.ndarray
+    w1: np.ndarray
+    w2: np.ndarray
+    c: np.ndarray
+
+    @classmethod
+    def of(cls, w1: np.ndarray, w2: np.ndarray, c: np.ndarray) -> Hot:
+        keys = mix(mix(w1) + w2)
+        order = np.argsort(keys)
+        return cls(keys[order], w1[order], w2[order], c[order])
+
+    def place(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        """Place of each bigram, -1 where it is not one of these."""
+        if not len(self.keys):
+            return np.full(len(w1), -1)
+        at = np.minimum(np.searchsorted(self.keys, mix(mix(w1) + w2)), len(self.keys) - 1)
+        return np.where((self.w1[at] == w1) & (self.w2[at] == w2), at, -1)
+
+
+def frequent_pairs(docs: DataFrame, names: np.ndarray) -> DataFrame:
+    """``a, b, n, c``: all and training occurrences of the bigrams of two frequent words; tasks send each once per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rows, size = WordHashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            words = np.concatenate([np.concatenate([[np.uint64(START)], t]) for t, _ in rows])
+            train = np.repeat([bool(k) for _, k in rows], [len(t) + 1 for t, _ in rows])
+            at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+            hit = names[at] == words
+            both = hit[:-1] & hit[1:] & (words[1:] != np.uint64(START))
+            code, which = np.unique(at[:-1][both] * len(names) + at[1:][both], return_inverse=True)
+            n, c = np.bincount(which, minlength=len(code)), np.bincount(which, train[1:][both], len(code)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(long(names[code // len(names)])), pa.array(long(names[code % len(names)])), pa.array(n), pa.array(c)],
+                                              ["a", "b", "n", "c"])
+
+        for batch in batches:
+            for text, k in zip(raw(batch.column(0)), batch.column(1).to_pylist()):
+                rows.append((token_hashes(text, hashes), k))
+                size += len(rows[-1][0])
+                if size >= FLUSH:
+                    yield flush()
+                    rows, size = [], 0
+        if rows:
+            yield flush()
+
+    return docs.select("text", "train").mapInArrow(run, "a long, b long, n long, c long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+
+
+def bigram_blocks(docs: DataFrame, buckets: int, frequent: dict[int, int], hot: Hot, more: int) -> DataFrame:
+    """``bucket, block`` with every bigram occurrence of all documents, those of hot bigrams in ``more`` buckets behind the
+    others; column ``train`` says which to learn from."""
     names = np.array(sorted(frequent), np.uint64)
     parts = np.array([frequent[int(w)] for w in names], np.uint64)
 
-    def bucket_of(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    def bucket_of(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray) -> np.ndarray:
         key = mix(w1)
         if len(names):
             at = np.minimum(np.searchsorted(names, w1), len(names) - 1)
             key = np.where(names[at] == w1, mix(key + mix(w2) % parts[at]), key)
-        return (key % np.uint64(buckets)).astype(np.int64)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        if more:
+            bucket = np.where(hot.place(w1, w2) >= 0, buckets + (mix(doc.astype(np.uint64)) % np.uint64(more)).astype(np.int64), bucket)
+        return bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows, size = WordHashes(), [], 0
@@ -159,9 +217,9 @@ def bigram_blocks(docs: DataFrame, buckets: int, frequent: dict[int, int]) -> Da
             w2 = np.concatenate([t for _, t, _ in rows])
             lengths = [len(t) for _, t, _ in rows]
             doc, train = np.repeat([d for d, _, _ in rows], lengths), np.repeat([bool(k) for _, _, k in rows], lengths)
-            bucket = bucket_of(w1, w2)
+            bucket = bucket_of(w1, w2, doc)
             order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets + more))
             for a, b in zip(edges, edges[1:]):
                 o = order[a:b]
                 yield pa.RecordBatch.from_arrays(
@@ -182,33 +240,39 @@ def bigram_blocks(docs: DataFrame, buckets: int, frequent: dict[int, int]) -> Da
 
 @dataclass
 class Bucket:
-    """The distinct bigrams of a bucket in order of their history, with training counts, and every occurrence's bigram."""
+    """The distinct bigrams of a bucket in order of their history, with training counts in the whole corpus and whether they
+    are hot, and every occurrence's bigram."""
 
     w1: np.ndarray
     w2: np.ndarray
     c: np.ndarray
+    hot: np.ndarray
     doc: np.ndarray
     at: np.ndarray
 
     @classmethod
-    def of(cls, blocks: pa.Table) -> Bucket:
+    def of(cls, blocks: pa.Table, hot: Hot) -> Bucket:
         w1, w2, doc, train = (np.concatenate(x) for x in zip(*(unpack_block(b) for b in blocks.column("block").to_pylist())))
         order = np.lexsort((w2, w1))
         a, b = w1[order], w2[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         number = np.cumsum(new) - 1
-        return cls(a[new], b[new], np.bincount(number, train[order], new.sum()), doc[order], number)
+        a, b, c = a[new], b[new], np.bincount(number, train[order], new.sum())
+        at = hot.place(a, b)
+        if len(hot.keys):
+            c = np.where(at >= 0, hot.c[at], c)
+        return cls(a, b, c, at >= 0, doc[order], number)
 
 
 SIDE = "bucket int, kind int, h long, a double"
 
 
-def requests(blocks: DataFrame) -> DataFrame:
+def requests(blocks: DataFrame, hot: Hot) -> DataFrame:
     """Kind 0: the words that a bucket has to know; kind 1: how many bigrams occur h times, up to ``CUT + 1``."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        own = Bucket.of(table)
+        own = Bucket.of(table, hot)
         words = np.unique(np.concatenate([own.w1, own.w2]))
         r, n = np.unique(own.c[(own.c > 0) & (own.c <= CUT + 1)].astype(np.int64), return_counts=True)
         size = len(words) + len(r)
@@ -218,10 +282,10 @@ def requests(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, SIDE)
 
 
-def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams):
+def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams, hot: Hot):
     """Per distinct bigram its discounted probability (0 if unseen) and the unigram count of its second word; per
-    history its place in ``w1`` and its two sums over seen successors."""
-    own = Bucket.of(blocks)
+    history its place in ``w1`` and its two sums over seen successors, without the hot ones."""
+    own = Bucket.of(blocks, hot)
     kind, h, a = (side.column(c).to_numpy() for c in ("kind", "h", "a"))
     known = kind == 0
     order = np.argsort(h[known].view(np.uint64))
@@ -237,7 +301,7 @@ def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams):
     low = unigrams.probability(c2)
     new = np.concatenate([[True], own.w1[1:] != own.w1[:-1]])
     history = np.cumsum(new) - 1
-    seen = own.c > 0
+    seen = (own.c > 0) & ~own.hot
     high_sum, low_sum = np.bincount(history, p * seen, new.sum()), np.bincount(history, low * seen, new.sum())
     names = own.w1[new]
     if "low" in side.column_names:  # sums of spread histories over all their buckets
@@ -307,37 +371,47 @@ def score(docs: DataFrame, train) -> DataFrame:
     buckets = max(partitions, -(-total // BUCKET))
     # Words above this share; there are fewer than MAX_FREQUENT of them in any corpus.
     least = max(BUCKET // 16, total // MAX_FREQUENT + 1)
-    frequent = {r["h"] & (1 << 64) - 1: -(-8 * r["c"] // BUCKET) + 1 for r in table.where(F.col("c") > least).collect()}
-    frequent[START] = frequent.get(START, -(-8 * documents // BUCKET) + 1)
+    often = {r["h"] & (1 << 64) - 1: r["c"] for r in table.where(F.col("c") > least).collect()}
+    often.setdefault(START, documents)
+    frequent = {h: -(-8 * c // BUCKET) + 1 for h, c in often.items()}
     names = np.array(sorted(frequent), np.uint64)
-
-    blocks = bigram_blocks(docs, buckets, frequent).repartition(partitions, "bucket")
-    asked = requests(blocks)
+    # Bigrams above that share too, which both of their words then are; their counts need no discount.
+    pairs = frequent_pairs(docs, names).where((F.col("n") > least) & (F.col("c") > CUT + 1)).collect() if len(names) > 1 else []
+    column = lambda c: np.array([r[c] for r in pairs], np.int64)
+    hot = Hot.of(column("a").view(np.uint64), column("b").view(np.uint64), column("c").astype(float))
+    more = -(-sum(r["n"] for r in pairs) // BUCKET)
+    c1, c2 = (np.array([often[int(h)] for h in w], float) for w in (hot.w1, hot.w2))
+    known = [(int(h), float(p), float(low)) for h, p, low in zip(long(hot.w1), hot.c / c1, unigrams.probability(c2))]
+
+    blocks = bigram_blocks(docs, buckets, frequent, hot, more).repartition(partitions, "bucket")
+    asked = requests(blocks, hot)
     counted = table.unionByName(spark.createDataFrame([(START, documents)], "h long, c long"))
     words = asked.where("kind = 0").join(counted, "h").select("bucket", "kind", "h", F.col("c").cast("double").alias("a"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(buckets + more - 1)))
     ranks = asked.where("kind = 1").groupBy("kind", "h").agg(F.sum("a").alias("a")).select(spread.alias("bucket"), "kind", "h", "a")
     side = words.unionByName(ranks).repartition(partitions, "bucket")
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64()))})
-        *_, own, high, low = solve(left, right, unigrams)
-        hot = np.isin(own, names)
-        return pa.table({"h": pa.array(long(own[hot])), "a": pa.array(high[hot]), "b": pa.array(low[hot])})
+        *_, own, high, low = solve(left, right, unigrams, hot)
+        wide = np.isin(own, names)
+        return pa.table({"h": pa.array(long(own[wide])), "a": pa.array(high[wide]), "b": pa.array(low[wide])})
 
     # One row per spread history, at most MAX_FREQUENT + 1 of them, so the broadcast is bounded and nothing is dealt anew.
-    hot = (blocks.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(sums, "h long, a double, b double")
-           .groupBy("h").agg(F.sum("a").alias("high"), F.sum("b").alias("low")).withColumn("kind", F.lit(0)))
+    parts = blocks.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(sums, "h long, a double, b double")
+    if known:  # each hot bigram once
+        parts = parts.unionByName(spark.createDataFrame(known, "h long, a double, b double"))
+    wide = (parts.groupBy("h").agg(F.sum("a").alias("high"), F.sum("b").alias("low")).withColumn("kind", F.lit(0)))
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
-        own, p, c1, c2, low, history, _, high, lows = solve(left, right, unigrams)
+        own, p, c1, c2, low, history, _, high, lows = solve(left, right, unigrams, hot)
         return document_sums(own, p, c1, c2, low, history, high, lows, unigrams, partitions)
 
     nan = F.lit(float("nan"))
-    whole = side.join(F.broadcast(hot), ["kind", "h"], "left").select("bucket", "kind", "h", "a", F.coalesce("high", nan).alias("high"), F.coalesce("low", nan).alias("low"))
+    whole = side.join(F.broadcast(wide), ["kind", "h"], "left").select("bucket", "kind", "h", "a", F.coalesce("high", nan).alias("high"), F.coalesce("low", nan).alias("low"))
     parts = blocks.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInArrow(evaluate, "part int, block binary")
     sums_ = parts.repartition(partitions, "part").groupBy("part").applyInArrow(added_up, SUMS)
     return sums_.select("doc_id", train.alias("train"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -76,6 +76,20 @@ def test_katz_with_split_histories(documents, monkeypatch):
     check_katz(documents[0])
 
 
+def test_katz_with_one_bigram_in_every_document(spark, monkeypatch):
+    """Occurrences of a bigram that copies of a text repeat are dealt by document; no bucket holds them all."""
+    monkeypatch.setattr(katz, "BUCKET", 500)
+    rows = [(i, "the same short text in each copy" if i % 3 else f"word{i} word{i % 50} again again again again") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    largest, of = [], katz.bigram_blocks
+    monkeypatch.setattr(katz, "bigram_blocks", lambda *a: largest.append(of(*a)) or largest[-1])
+    check_katz(docs)
+    sizes = Counter()
+    for r in largest[0].collect():
+        sizes[r.bucket] += int(np.frombuffer(r.block, np.int64, 3)[2])
+    assert sum(sizes.values()) == 1500 + sum(len(t.split()) for _, t in rows) and max(sizes.values()) <= 1.5 * katz.BUCKET
+
+
 def test_katz_without_training(spark, nothing):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score(docs, F.lit(False)).collect()}
