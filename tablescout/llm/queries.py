@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import ann, decontaminate, jaccard_join, katz, language_id, license_scan, packing, quality, substring_dedup, token_counts
+from tablescout.llm import (
+    ann,
+    decontaminate,
+    jaccard_join,
+    katz,
+    language_id,
+    license_scan,
+    packing,
+    quality,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 from tablescout.llm.words import fold
 
 QUERIES: dict = {}
@@ -76,6 +88,19 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.with_fold(quality.score(docs, quality.fit(docs, table(spark, folder, "labels"))))
 
 
+#: The rules of the contract: action, host, path (fixed values).
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    # The labels of this corpus are numbered like its pages; a page of low quality is a bad outcome.
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    judged = url_filter.judge(table(spark, folder, "pages"), outcomes, URL_RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("reputation", "bound")})
+
+
 # The share of an item's 5-word shingles that occur in a document, for every pair that shares one; 80 % or more counts.
 ORACLES["op4_benchmark_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -91,3 +116,48 @@ SELECT doc_id, item_id, count(*) AS shared, item_shingles, count(*) / item_shing
 FROM g JOIN i USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 100 >= item_shingles * 80
 """
+
+_RULES = ", ".join(str(r) for r in URL_RULES)
+_MULTI = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
+
+
+def _strength(beyond: str, weight: str) -> str:
+    """The concentration of a level from the two sums of its moment estimate."""
+    return (f"CASE WHEN coalesce({weight}, 0) <= 1e-9 THEN {url_filter.UNKNOWN} WHEN {beyond} <= 0 THEN {url_filter.STRONGEST} "
+            f"ELSE least(greatest({weight} / {beyond} - 1, {url_filter.WEAKEST}), {url_filter.STRONGEST}) END")
+
+
+def _level(children: str, up: str, name: str) -> str:
+    """The concentration of the priors of one level, from its shares around those of their parents."""
+    return f"""{name} AS (SELECT {_strength("sum(q - pk * pk / pn - pk / pn * (1 - pk / pn) * more)", "sum(pk / pn * (1 - pk / pn) * (pn - n2 / pn - more))")} AS strength
+      FROM (SELECT sum(n) AS pn, sum(k) AS pk, sum(k * k / n) AS q, sum(n * n) AS n2, count(*) - 1 AS more FROM {children} WHERE n > 0 GROUP BY {up}))"""
+
+
+# Outcomes summed per host; posterior means from all pages down to the host; the bound decides the rest.
+ORACLES["op11_url_filter"] = rf"""
+WITH rules(action, rule_host, rule_path) AS (VALUES {_RULES}),
+p AS (SELECT row_number() OVER () AS row_no, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+best AS (SELECT row_no, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+         FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row_no),
+r AS (SELECT page_id, host, path, rule, action FROM p LEFT JOIN best USING (row_no)),
+o AS (SELECT doc_id AS page_id, max(CAST(quality = 0 AS INT)) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+bare AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS b FROM h),
+cut AS (SELECT *, string_split(b, '.') AS l, regexp_matches(b, '^([0-9]+(\.[0-9]+){{3}}|\[.*\])$') AS address FROM bare),
+wide AS (SELECT *, CASE WHEN array_to_string(l[greatest(len(l) - 1, 1):], '.') IN ({_MULTI}) THEN 2 ELSE 1 END AS w FROM cut),
+named AS (SELECT host, n, k, CASE WHEN address THEN '' ELSE array_to_string(l[greatest(len(l) - w + 1, 1):], '.') END AS suffix,
+                 CASE WHEN address THEN b ELSE array_to_string(l[greatest(len(l) - w, 1):], '.') END AS domain FROM wide),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY suffix, domain),
+suffixes AS (SELECT suffix, '' AS top, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
+{_level("suffixes", "top", "s0")},
+{_level("domains", "suffix", "s1")},
+{_level("named", "domain", "s2")},
+by_suffix AS (SELECT suffix, (k + s0.strength * (sum(k) OVER () + 1) / (sum(n) OVER () + 2)) / (n + s0.strength) AS m FROM suffixes, s0),
+by_domain AS (SELECT domain, (k + s1.strength * m) / (n + s1.strength) AS m FROM domains JOIN by_suffix USING (suffix), s1),
+means AS (SELECT host, (k + s2.strength * m) / (n + s2.strength) AS mean, n + s2.strength + 1 AS size FROM named JOIN by_domain USING (domain), s2),
+bounds AS (SELECT host, mean, mean - {url_filter.WIDTH} * sqrt(mean * (1 - mean) / size) AS bound FROM means)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(mean, 6) AS reputation, round(bound, 6) AS bound
+FROM r JOIN bounds USING (host)
+"""
