@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablescout.llm import (
     ann,
+    conversation_repair,
     decontaminate,
     jaccard_join,
     katz,
@@ -101,6 +102,12 @@ def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 6) for c in ("reputation", "bound")})
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    talks = table(spark, folder, "conversations")
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(talks)), talks)
+
+
 # The share of an item's 5-word shingles that occur in a document, for every pair that shares one; 80 % or more counts.
 ORACLES["op4_benchmark_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
