@@ -19,6 +19,7 @@ from tablescout.llm import (
     substring_dedup,
     token_counts,
     url_filter,
+    whitening,
 )
 from tablescout.llm.words import fold
 
@@ -108,6 +109,11 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(talks)), talks)
 
 
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 # The share of an item's 5-word shingles that occur in a document, for every pair that shares one; 80 % or more counts.
 ORACLES["op4_benchmark_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
