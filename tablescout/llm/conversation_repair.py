@@ -14,8 +14,9 @@ letters (``D I K R``) come first in ASCII order are taken; they fix every role,
   number of pieces and no task holds more than one piece's undecided rows.  For conversations that span pieces, each
   piece yields the cheapest cost and the order of its paths between any two states; the states at the borders follow
   from those on the driver (sixteen numbers per border).  All pieces are then decoded side by side.
-* **Digest.**  Pieces are summed up in blocks of about a megabyte; one task streams the blocks of a conversation through
-  SHA-256, which is sequential by nature.  The audit is a letter per edit and belongs to one value.
+* **Digest.**  A conversation inside one piece is hashed there.  One that spans pieces is summed up in blocks of about a
+  megabyte, which one task streams through SHA-256; that is sequential by nature.  The audit is a letter per edit and
+  belongs to one value.
 
 Defined cases: a null role or text is one space; null ids form a conversation of their own; null turns come first;
 rows of one turn are ordered by role, then text; an empty role has no initial and cannot be kept.  A conversation
@@ -298,7 +299,7 @@ def repair(rows: DataFrame) -> DataFrame:
 
     ``edits`` are the letters of the row's first copy and of inserts before it, ``closing`` those of inserts after the
     conversation's last row; further copies are deleted.  ``repaired`` lists the roles and texts that stand there now.
-    ``piece`` and ``place`` give the order of rows.
+    ``piece`` and ``place`` give the order of rows; ``spans`` says that the conversation has rows in other pieces.
     """
     small_batches(rows.sparkSession)
     stored = pieces(faults(rows))
@@ -307,7 +308,7 @@ def repair(rows: DataFrame) -> DataFrame:
     schema = T.StructType([stored.schema["conv_id"], stored.schema["turn"], T.StructField("piece", T.IntegerType()), T.StructField("place", T.LongType()),
                            T.StructField("role", T.StringType()), T.StructField("copies", T.LongType()), T.StructField("fault", T.StringType()),
                            T.StructField("edits", T.StringType()), T.StructField("closing", T.StringType()), T.StructField("cost", T.LongType()),
-                           T.StructField("repaired", T.ArrayType(line))])
+                           T.StructField("spans", T.BooleanType()), T.StructField("repaired", T.ArrayType(line))])
     names, arrow = ["conv_id", "turn", "piece", "place", "role", "text", "copies", "fault"], _arrow(schema)
 
     def decode(batches):
@@ -342,7 +343,7 @@ def repair(rows: DataFrame) -> DataFrame:
                             cost += TRUNCATED
                         lines.append({"role": role_now, "text": text_now})
                     self.held = {"conv_id": conv, "turn": turn, "piece": piece, "place": place, "role": role, "copies": copies, "fault": fault,
-                                 "edits": code, "closing": "", "cost": cost, "repaired": lines, "_weight": len(text)}
+                                 "edits": code, "closing": "", "cost": cost, "spans": self.exit is not None, "repaired": lines, "_weight": len(text)}
 
             def finish(self):
                 yield from self.written(self.ways.finish(self.ways.end() if self.exit is None else self.exit))
@@ -380,20 +381,24 @@ def digest(repaired: DataFrame, ids: DataFrame) -> DataFrame:
     long = T.LongType()
     block = T.StructType([id_field, T.StructField("at", long), *[T.StructField(n, long) for n in SUMS], T.StructField("turns", long),
                           T.StructField("low", turn_type), T.StructField("high", turn_type), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()),
-                          T.StructField("audit", T.StringType()), T.StructField("lines", T.BinaryType())])
+                          T.StructField("audit", T.StringType()), T.StructField("lines", T.BinaryType()), T.StructField("sha", T.StringType())])
     whole = T.StructType([id_field, T.StructField("gaps", long), *[T.StructField(n, long) for n in SUMS],
                           T.StructField("audit", T.StringType()), T.StructField("repaired_sha256", T.StringType())])
-    names = ["conv_id", "piece", "place", "turn", "role", "copies", "fault", "edits", "closing", "cost", "repaired"]
+    names = ["conv_id", "piece", "place", "turn", "role", "copies", "fault", "edits", "closing", "cost", "spans", "repaired"]
     of_block, of_whole = _arrow(block), _arrow(whole)
 
     def blocks(batches):
+        import hashlib
+
         def found():
-            now = key = None
-            for conv, piece, place, turn, role, copies, fault, edits, closing, cost, lines in _runs(batches, names):
-                if now is None or key != (conv, piece) or len(now["lines"]) + len(now["audit"]) >= BLOCK_BYTES:
+            now = key = sha = None
+            for conv, piece, place, turn, role, copies, fault, edits, closing, cost, spans, lines in _runs(batches, names):
+                if now is not None and not spans and key == (conv, piece) and len(now["lines"]) >= BLOCK_BYTES:
+                    hashed(now, sha)
+                if now is None or key != (conv, piece) or spans and len(now["lines"]) + len(now["audit"]) >= BLOCK_BYTES:
                     if now is not None:
-                        yield packed(now)
-                    key = (conv, piece)
+                        yield packed(now, sha)
+                    key, sha = (conv, piece), None if spans else hashlib.sha256()
                     now = {"conv_id": conv, "at": place, **dict.fromkeys(SUMS, 0), "turns": 0, "low": None, "high": None, "first": role[:1], "last": None,
                            "audit": bytearray(), "lines": bytearray()}
                 if now["last"] is not None:
@@ -413,10 +418,19 @@ def digest(repaired: DataFrame, ids: DataFrame) -> DataFrame:
                 for line in lines:
                     now["lines"] += f"{line['role']}:{line['text']}\n".encode()
             if now is not None:
-                yield packed(now)
+                yield packed(now, sha)
+
+        def hashed(now, sha) -> None:
+            """A newline stands between lines, so the last one waits for the next block."""
+            sha.update(now["lines"][:-1])
+            now["lines"] = now["lines"][-1:]
 
-        def packed(now):
-            return {**now, "audit": now["audit"].decode(), "lines": bytes(now["lines"]), "_weight": len(now["lines"])}
+        def packed(now, sha):
+            done = None
+            if sha is not None:  # nothing of this conversation is elsewhere, its lines need not travel
+                hashed(now, sha)
+                done, now["lines"] = sha.hexdigest(), b""
+            return {**now, "audit": now["audit"].decode(), "lines": bytes(now["lines"]), "sha": done, "_weight": len(now["lines"])}
 
         yield from _tables(found(), of_block)
 
@@ -433,7 +447,7 @@ def digest(repaired: DataFrame, ids: DataFrame) -> DataFrame:
                     if now is not None:
                         yield done(now)
                     key = b["conv_id"]
-                    now = {**b, "audit": [], "sha": hashlib.sha256(), "begun": False}
+                    now = {**b, "audit": [], "done": b["sha"], "hash": hashlib.sha256(), "begun": False}
                 else:
                     for n in SUMS:
                         now[n] += b[n]
@@ -444,14 +458,14 @@ def digest(repaired: DataFrame, ids: DataFrame) -> DataFrame:
                     now["last"] = b["last"]
                 now["audit"].append(b["audit"])
                 if b["lines"]:  # lines are joined by a newline, the last one has none
-                    now["sha"].update((b"\n" if now["begun"] else b"") + b["lines"][:-1])
+                    now["hash"].update((b"\n" if now["begun"] else b"") + b["lines"][:-1])
                     now["begun"] = True
             if now is not None:
                 yield done(now)
 
         def done(now):
             gaps = 0 if now["low"] is None else now["high"] - now["low"] + 1 - now["turns"]
-            return {"conv_id": now["conv_id"], "gaps": gaps, **{n: now[n] for n in SUMS}, "audit": "".join(now["audit"]), "repaired_sha256": now["sha"].hexdigest()}
+            return {"conv_id": now["conv_id"], "gaps": gaps, **{n: now[n] for n in SUMS}, "audit": "".join(now["audit"]), "repaired_sha256": now["done"] or now["hash"].hexdigest()}
 
         yield from _tables(found(), of_whole)
 
