@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.operators import commits
+
 _S, _L, _D, _B, _I = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.IntegerType()
 
 
@@ -18,7 +20,7 @@ def _schema(**fields: T.DataType) -> T.StructType:
 SCHEMAS: dict[str, T.StructType] = {
     "datasets": _schema(dataset=_S, owner=_S, path=_S, domain=_S, status=_S, row_count=_L, column_count=_L),
     "columns": _schema(dataset=_S, column=_S, position=_I, type=_S, kind=_S, semantic_type=_S, is_primary_key=_B,
-                       is_foreign_key=_B, is_unique=_B, rows=_L, nulls=_L, null_pct=_D, distinct=_L, distinct_pct=_D),
+                       is_foreign_key=_B, is_unique=_B, rows=_L, nulls=_L, null_pct=_D, distinct=_L, distinct_pct=_D, sketch=T.BinaryType()),
     "relationships": _schema(from_dataset=_S, from_column=_S, to_dataset=_S, to_column=_S, relationship_type=_S,
                              confidence=_D, match_pct=_D, join_strategy=_S),
     "kpis": _schema(dataset=_S, name=_S, domain=_S, value=_D, unit=_S, description=_S),
@@ -33,15 +35,26 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         for f in SCHEMAS[table].fields])
 
 
-def save(df: DataFrame, root: str, table: str) -> None:
-    """Write rows of a metadata table; they take the place of all earlier rows of the same datasets."""
-    by = "from_dataset" if table == "relationships" else "dataset"
-    (conform(df, table).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .parquet(f"{root.rstrip('/')}/{table}"))
+#: What one row stands for, where a commit does not replace all rows of a dataset.
+EDGE = ("from_dataset", "from_column", "to_dataset", "to_column")
+
+
+def save(df: DataFrame, root: str, table: str, replaces: Sequence[str] = ()) -> None:
+    """Commit rows of a metadata table.
+
+    They take the place of all earlier rows of the same datasets.  An edge only takes the place of the same edge, so edges
+    that a later run does not look at stay.  ``replaces`` names datasets whose earlier rows, or edges on either side, are
+    gone even if the commit has none for them.
+    """
+    commits.write(conform(df, table), f"{root.rstrip('/')}/{table}", replaces)
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{root.rstrip('/')}/{table}")
+    """The rows that are valid now; none if nothing was saved."""
+    rows = commits.read(spark, f"{root.rstrip('/')}/{table}", SCHEMAS[table])
+    if table == "relationships":
+        return commits.latest(rows, ["from_dataset", "to_dataset"], EDGE)
+    return commits.latest(rows, ["dataset"])
 
 
 def query(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str) -> DataFrame:

@@ -9,7 +9,7 @@ reaches the shuffle once per task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +27,8 @@ EMBEDDING_GATE = 0.85
 _BITS = 62
 
 PAIR = ("from_dataset", "from_column", "to_dataset", "to_column")
+#: Takes column pairs, gives the distinct values of both sides and in common.
+Counter = Callable[[Sequence[tuple[str, str, str, str]]], DataFrame]
 
 
 def _sides(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,8 +175,11 @@ def confidence(name: Column, overlap: Column, kind: Column) -> Column:
     return F.least(F.lit(1.0), total / weight + bonus)
 
 
-def measured_pairs(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
-    """Containment in both directions, uniqueness of both sides, cardinality and join strategy."""
+def measured_pairs(tables: Mapping[str, DataFrame], pairs: DataFrame, counted_by: Counter | None = None) -> DataFrame:
+    """Containment in both directions, uniqueness of both sides, cardinality and join strategy.
+
+    ``counted_by`` counts the values of column pairs in place of reading ``tables``, such as a stored index does.
+    """
     pairs = durable(pairs)
     keys = [tuple(r) for r in pairs.select(*PAIR).collect()]
     if not keys:
@@ -182,7 +187,7 @@ def measured_pairs(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFra
         counted = pairs.select(*PAIR).join(
             pairs.sparkSession.createDataFrame([], empty), F.lit(False), "left")
     else:
-        counted = overlap_counts(tables, keys)
+        counted = counted_by(keys) if counted_by is not None else overlap_counts(tables, keys)
     out = pairs.join(counted, list(PAIR), "left").fillna(0, ["from_values", "to_values", "common_values"])
     pct = {s: F.coalesce(F.try_divide(F.col("common_values") * 100.0, F.col(f"{s}_values")), F.lit(0.0)) for s in ("from", "to")}
     unique = {s: (F.col(f"{s}_values") == F.col(f"{s}_rows")) & (F.col(f"{s}_rows") > 0) for s in ("from", "to")}
@@ -241,15 +246,16 @@ def judged(edges: DataFrame, threshold: float = CONFIDENCE, min_coverage: float
 
 def detect_relationships(
     tables: Mapping[str, DataFrame], catalog: DataFrame, existing: Mapping[str, DataFrame] | None = None,
-    threshold: float = CONFIDENCE, all_pairs: bool = False,
+    threshold: float = CONFIDENCE, all_pairs: bool = False, counted_by: Counter | None = None,
 ) -> DataFrame:
     """Foreign-key edges over ``tables``; with ``existing`` only edges that touch a new table.
 
-    ``catalog`` holds the column rows of all tables.  ``all_pairs`` also returns what was rejected.
+    ``catalog`` holds the column rows of all tables.  ``all_pairs`` also returns what was rejected.  With ``counted_by``, the
+    counts of a value index, no table is read, and only edges that touch one of ``tables`` are looked for.
     """
     everything = {**(existing or {}), **tables}
-    pairs = candidate_pairs(catalog, new=list(tables) if existing else None)
-    edges = judged(oriented(measured_pairs(everything, pairs)), threshold)
+    pairs = candidate_pairs(catalog, new=list(tables) if existing or counted_by is not None else None)
+    edges = judged(oriented(measured_pairs(everything, pairs, counted_by)), threshold)
     return edges if all_pairs else edges.where("accepted")
 
 

@@ -168,7 +168,7 @@ def _role(t: str, c: str) -> str:
 @R.add(union_all([_role("customer", "c_custkey"), _role("customer", "c_nationkey"), _role("labels", "doc_id"), _role("events", "event_id"),
                   _role("events", "user_id")]))
 def a17_join_readiness(spark, d):
-    return S.join_readiness(tables(spark, d, "customer", "labels", "events")).drop("is_common_dimension")
+    return S.join_readiness(tables(spark, d, "customer", "labels", "events"), exact=True).drop("is_common_dimension")
 
 
 def _use(c: str, role: str, use: str) -> str:

@@ -106,7 +106,7 @@ def r3_key_pairs(spark, d):
 def r4_candidate_prefilter(spark, d):
     """Keys only pair with keys of the same kind; text keys and empty columns drop out."""
     catalog = S.column_catalog({**star_tables(spark, d), "documents": table(spark, d, "documents").select(
-        F.when(F.col("doc_id") < 0, F.col("doc_id")).alias("doc_key"), F.col("source").alias("source_code"))})
+        F.when(F.col("doc_id") < 0, F.col("doc_id")).alias("doc_key"), F.col("source").alias("source_code"))}, exact=True)
     pairs = X.candidate_pairs(catalog).where("both_keys")
     return pairs.select(*X.PAIR, F.col("from_distinct").alias("from_values"), F.col("to_distinct").alias("to_values"),
                         "from_rows", "to_rows")
@@ -234,7 +234,7 @@ _CATALOG_COLUMNS = [("supplier", "s_suppkey"), ("supplier", "s_name"), ("supplie
 def j3_catalog_join(spark, d):
     both = tables(spark, d, "supplier", "events")
     datasets = S.dataset_sizes(both)
-    return J.catalog_with_datasets(S.column_catalog(both).select("dataset", "column", "distinct"), datasets)
+    return J.catalog_with_datasets(S.column_catalog(both, exact=True).select("dataset", "column", "distinct"), datasets)
 
 
 @R.add("""SELECT 'customer' AS dataset, count(*) AS n_rows, CAST(5 AS BIGINT) AS column_count,
