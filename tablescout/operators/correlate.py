@@ -5,53 +5,89 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions import correlation, epoch_seconds, numeric_columns, t_two_sided
+from tablescout.functions import epoch_seconds, numeric_columns, t_two_sided
+from tablescout.operators.profile import quoted
 
 STRONG, MODERATE = 0.7, 0.3
-PAIRS_PER_PASS = 300
+PAIR_SCHEMA = "var1 string, var2 string, correlation double, n long"
+#: Tasks that add up what all tasks found; rows whose means shift the sums.
+MERGERS, FIRST_ROWS = 16, 1000
+#: A shift is far off if its distance from the mean, squared, is so many variances; below so much of its squares a
+#: variance is nothing but rounding.
+FAR_OFF, ROUNDING = 1e6, 1e-13
 # Words in a column name that mark the figures worth a trend.
 TREND_WORDS = ("revenue", "sales", "profit", "cost")
 
 
-def _complete_pairs(row, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> list[tuple]:
-    out = []
-    for a, b in pairs:
-        i, j = columns.index(a), columns.index(b)
-        spread = (row[f"v{i}"] or 0.0) * (row[f"v{j}"] or 0.0)
-        out.append((a, b, row[f"c{i}_{j}"] / spread ** 0.5 if spread > 0 else None, row["n"]))
-    return out
+def _added(batches, size: int):
+    """One row with the sum of many rows of packed matrices."""
+    import pyarrow as pa
+
+    total = np.zeros(size)
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            total += np.frombuffer(packed)
+    yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+
+def masked_products(df: DataFrame, columns: Sequence[str], shift: Sequence[float]) -> np.ndarray:
+    """Four matrices over all rows, with ``x`` the shifted values, 0 where missing, and ``m`` 1 where there is a value.
+
+    ``m'm`` (rows that have both), ``x'm``, ``x'x`` and ``(x*x)'m``.  One scan: every task multiplies its Arrow batches and
+    returns one row; ``MERGERS`` tasks add those rows and the driver adds theirs.
+    """
+    import pyarrow as pa
+
+    p, origin = len(columns), np.array(shift)
+    size = 4 * p * p
+
+    def multiplied(batches):
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) if batch.num_rows else np.zeros((0, p))
+            known = np.isfinite(x)
+            m, x = known.astype(float), np.where(known, x - origin, 0.0)
+            total += (m.T @ m, x.T @ m, x.T @ x, (x * x).T @ m)
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+    rows = df.select(*[F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInArrow(multiplied, "sums binary")
+    merged = rows.repartition(MERGERS).mapInArrow(lambda batches: _added(batches, size), "sums binary")
+    return sum((np.frombuffer(r.sums) for r in merged.collect()), np.zeros(size)).reshape(4, p, p)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows that have both.
 
-    One pass (per ``PAIRS_PER_PASS`` pairs) gives all covariances, combined map-side.  Only pairs
-    with missing values take a second pass, where both columns are masked by each other.
+    All pairs come from one scan, whatever is missing.  Sums are taken about the means of the first rows; should those
+    turn out to be far off for a column, a second scan uses the means of all rows.  NaN and infinite values are missing.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations(columns, 2))
-    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    at = {c: i for i, c in enumerate(columns)}
-    found, gaps = [], []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        used = sorted({at[c] for p in part for c in p})
-        row = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"x{i}").alias(f"n{i}") for i in used],
-                    *[F.var_pop(f"x{i}").alias(f"v{i}") for i in used],
-                    *[F.covar_pop(f"x{at[a]}", f"x{at[b]}").alias(f"c{at[a]}_{at[b]}") for a, b in part]).first()
-        full = {c for c in columns if at[c] in used and row[f"n{at[c]}"] == row["n"]}
-        found += _complete_pairs(row, columns, [p for p in part if full.issuperset(p)])
-        gaps += [p for p in part if not full.issuperset(p)]
-    for start in range(0, len(gaps), PAIRS_PER_PASS // 4):
-        part = gaps[start:start + PAIRS_PER_PASS // 4]
-        row = x.agg(*[agg for k, (a, b) in enumerate(part) for agg in (
-            correlation(F.col(f"x{at[a]}"), F.col(f"x{at[b]}")).alias(f"r{k}"),
-            F.count_if(F.col(f"x{at[a]}").isNotNull() & F.col(f"x{at[b]}").isNotNull()).alias(f"n{k}"))]).first()
-        found += [(a, b, row[f"r{k}"], row[f"n{k}"]) for k, (a, b) in enumerate(part)]
-    return df.sparkSession.createDataFrame(found, "var1 string, var2 string, correlation double, n long")
+    pairs = list(combinations(range(len(columns)), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    finite = [F.when(F.abs(x) < float("inf"), x) for x in (F.col(quoted(c)).cast("double") for c in columns)]
+    first = df.limit(FIRST_ROWS).agg(*[F.avg(x).alias(f"a{i}") for i, x in enumerate(finite)]).first()
+    shift = [v or 0.0 for v in first]
+    n, s, products, squares = masked_products(df, columns, shift)
+    own = np.diagonal(n)
+    mean = np.divide(np.diagonal(s), own, out=np.zeros(len(columns)), where=own > 0)
+    spread = np.divide(np.diagonal(squares), own, out=np.zeros(len(columns)), where=own > 0) - mean * mean
+    if np.any(mean * mean > FAR_OFF * np.maximum(spread, 0)):
+        n, s, products, squares = masked_products(df, columns, [a + b for a, b in zip(shift, mean)])
+    found = []
+    for i, j in pairs:
+        count = n[i, j]
+        r = None
+        if count > 0:
+            u, v = squares[i, j] - s[i, j] ** 2 / count, squares[j, i] - s[j, i] ** 2 / count
+            if u > ROUNDING * squares[i, j] and v > ROUNDING * squares[j, i]:
+                r = float(np.clip((products[i, j] - s[i, j] * s[j, i] / count) / np.sqrt(u * v), -1, 1))
+        found.append((columns[i], columns[j], r, int(count)))
+    return df.sparkSession.createDataFrame(found, PAIR_SCHEMA)
 
 
 def strong_pairs(df: DataFrame, columns: Sequence[str] | None = None, limit: float = STRONG) -> DataFrame:
