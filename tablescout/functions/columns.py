@@ -89,7 +89,7 @@ def row_digest(columns: Iterable[str]) -> Column:
     """
     parts = []
     for name in columns:
-        text = F.col(name).cast("string")
+        text = F.col("`" + name.replace("`", "``") + "`").cast("string")
         parts.append(F.when(text.isNull(), F.lit("-;")).otherwise(
             F.concat(F.length(text).cast("string"), F.lit(":"), text)))
     return F.unhex(F.sha2(F.concat(*parts), 256))

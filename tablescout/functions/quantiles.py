@@ -1,11 +1,13 @@
 """Exact quantiles whose memory does not grow with the data.
 
-``percentile`` keeps every distinct value of a group in one task.  That is fine for few rows and is
-what runs there.  A larger column or group is first narrowed: an approximate sketch
-(``percentile_approx``, combined map-side) proposes bounds around each wanted order statistic, one
-counting pass tells how many values lie below and between them, and the bracket shrinks by orders
-of magnitude per round until it is small enough to finish exactly.  The result is the linearly
-interpolated quantile, the same as on the small path.
+Whole columns take one path whatever their size.  One aggregate counts the values of all columns and sketches them (KLL,
+combined map-side); the sketch gives bounds around each wanted order statistic.  A second aggregate counts the values
+below, at and between the bounds and keeps those between, which are few, so the counts say which of them is wanted.
+A bracket that would still hold more values than a task should keep is sketched and counted again.  The result is the
+linearly interpolated quantile.
+
+Groups finish in one grouped ``percentile``, which keeps the distinct values of a group in one task; groups too large
+for that are narrowed together in the same manner.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark.sql import functions as F
 
 from tablescout.session import durable
 
-EXACT_ROWS = 200_000
+#: Values of one bracket that a task may hold.
+HELD_VALUES = 50_000
 EXACT_GROUP_ROWS = 2_000_000
 _ACCURACY = 10_000
-_SAMPLE_ROWS = 25_000
+#: Size of a sketch, and the share of values that its bounds stand away from a wanted one; three times its usual error.
+_SKETCH, _MARGIN = 2048, 0.005
 
 
 @dataclass
@@ -48,35 +52,32 @@ class _Bracket:
             keep = keep & (x < F.lit(self.high))
         return F.when(keep, x)
 
-    @property
-    def share(self) -> float:
-        """Share of the values that is enough for a good guess."""
-        return min(1.0, max(0.01, _SAMPLE_ROWS / self.inside))
-
     def fractions(self) -> list[float]:
-        """Where a sample should show each wanted rank, with a margin for its error on both sides."""
-        out = set()
-        for r in self.ranks:
-            centre = (r - self.below + 0.5) / self.inside
-            spread = 0.0 if self.share == 1.0 else 4 * math.sqrt(max(centre * (1 - centre), 1e-6) / (self.share * self.inside))
-            margin = 2.0 / _ACCURACY + spread
-            out.update((max(0.0, centre - margin), min(1.0, centre + margin)))
-        return sorted(out)
-
-    def zone(self, bounds: Sequence[float]) -> Column:
-        """Place of a value among the bounds: odd numbers are the bounds themselves."""
-        x, out = self.masked(), None
-        for i, bound in enumerate(bounds):
-            under = (x < bound, F.lit(2 * i))
-            out = F.when(*under) if out is None else out.when(*under)
-            out = out.when(x == bound, F.lit(2 * i + 1))
-        return out.when(x.isNotNull(), F.lit(2 * len(bounds)))
-
-    def split(self, bounds: Sequence[float], counts: dict[int, int]) -> tuple[dict[int, float], list["_Bracket"]]:
+        """Where a sketch of the values inside should show each wanted rank, with a margin on both sides."""
+        centres = [(r - self.below + 0.5) / self.inside for r in self.ranks]
+        return sorted({min(1.0, max(0.0, c + side * _MARGIN)) for c in centres for side in (-1, 1)})
+
+    def zones(self, bounds: Sequence[float], held: int) -> list[tuple[Column, Column | None]]:
+        """Count of values per zone, and its sorted values if they are few; odd zones are the bounds themselves."""
+        x, out = self.masked(), []
+        keep = not bounds or 2.5 * _MARGIN * self.inside <= held
+        for z in range(2 * len(bounds) + 1):
+            if z % 2:
+                out.append((F.count_if(x == F.lit(bounds[z // 2])), None))
+                continue
+            here = F.lit(True)
+            if z:
+                here = here & (x > F.lit(bounds[z // 2 - 1]))
+            if z < 2 * len(bounds):
+                here = here & (x < F.lit(bounds[z // 2]))
+            inner = not bounds or 0 < z < 2 * len(bounds)
+            out.append((F.count(F.when(here, x)), F.sort_array(F.collect_list(F.when(here, x))) if keep and inner else None))
+        return out
+
+    def split(self, bounds: Sequence[float], counts: Sequence[int]) -> tuple[dict[int, float], list["_Bracket"]]:
         """Ranks that fall on a bound, and brackets between bounds for the others."""
         known, rest, start = {}, [], self.below
-        for z in range(2 * len(bounds) + 1):
-            n = counts.get(z, 0)
+        for z, n in enumerate(counts):
             ranks = tuple(r for r in self.ranks if start <= r < start + n)
             if ranks and z % 2:
                 known.update({r: bounds[z // 2] for r in ranks})
@@ -93,68 +94,74 @@ def _interpolate(n: int, probs: Sequence[float], values: dict[int, float]) -> li
     for p in probs:
         h = p * (n - 1)
         low, high = values[math.floor(h)], values[math.ceil(h)]
-        out.append(low + (h - math.floor(h)) * (high - low))
+        out.append(low if low == high else low + (h - math.floor(h)) * (high - low))
     return out
 
 
-def _order_statistics(df: DataFrame, brackets: list[_Bracket], exact_rows: int) -> dict[str, dict[int, float]]:
-    """Values of all wanted ranks; every round guesses bounds from a sample and counts around them.
-
-    The guess only has to be close: the counts decide where each rank really lies.
-    """
-    values: dict[str, dict[int, float]] = {b.column: {} for b in brackets}
-    small = [b for b in brackets if b.inside <= exact_rows]
-    large = [b for b in brackets if b.inside > exact_rows]
-    while large:
-        guesses = df.withColumn("_draw", F.rand(17)).agg(*[
-            F.percentile_approx(F.when(F.col("_draw") < b.share, b.masked()), F.array(*map(F.lit, b.fractions())), _ACCURACY).alias(f"g{i}")
-            for i, b in enumerate(large)]).first()
-        bounds = [sorted(set(guesses[f"g{i}"])) for i in range(len(large))]
-        zones = F.array(*[F.struct(F.lit(i).alias("i"), b.zone(bounds[i]).alias("z")) for i, b in enumerate(large)])
-        counts: list[dict[int, int]] = [{} for _ in large]
-        for r in df.select(F.inline(zones)).where("z is not null").groupBy("i", "z").agg(F.count(F.lit(1)).alias("n")).collect():
-            counts[r["i"]][r["z"]] = r["n"]
-        found = [b.split(bounds[i], counts[i]) for i, b in enumerate(large)]
-        for b, (known, _) in zip(large, found):
-            values[b.column].update(known)
-        rest = [b for _, brackets in found for b in brackets]
-        small += [b for b in rest if b.inside <= exact_rows]
-        large = [b for b in rest if b.inside > exact_rows]
-    if small:
-        row = df.select(*[b.masked().alias(f"x{i}") for i, b in enumerate(small)]).agg(*[
-            F.expr(f"percentile_disc(array({', '.join(f'{(r - b.below + 0.5) / b.inside!r}D' for r in b.ranks)})) "
-                   f"WITHIN GROUP (ORDER BY x{i})").alias(f"v{i}") for i, b in enumerate(small)]).first()
-        for i, b in enumerate(small):
-            values[b.column].update(zip(b.ranks, row[f"v{i}"]))
-    return values
+def _sketched(x: Column, fractions: Sequence[float]) -> Column:
+    """Values near some fractions of the order of ``x``."""
+    sketch = F.call_function("kll_sketch_agg_double", x, F.lit(_SKETCH))
+    return F.when(F.count(x) > 0, F.call_function("kll_sketch_get_quantile_double", sketch, F.array(*map(F.lit, fractions))))
+
+
+def _counted(x: DataFrame, brackets: Sequence[_Bracket], bounds: Sequence[Sequence[float]], held: int) -> list[tuple[dict[int, float], list[int]]]:
+    """Per bracket the ranks found among kept values, and the counts of its zones."""
+    aggs, wanted = [], []
+    for i, (b, edges) in enumerate(zip(brackets, bounds)):
+        start = F.lit(b.below)
+        found = {r: F.lit(None).cast("double") for r in b.ranks}
+        for z, (count, values) in enumerate(b.zones(edges, held)):
+            aggs += [count.alias(f"n{i}_{z}")] + ([values.alias(f"v{i}_{z}")] if values is not None else [])
+            if values is not None:
+                for r in b.ranks:
+                    found[r] = F.coalesce(found[r], F.when(F.lit(r) >= start, F.try_element_at(F.col(f"v{i}_{z}"), (F.lit(r) - start + 1).cast("int"))))
+            start = start + F.col(f"n{i}_{z}")
+        wanted += [F.col(f"n{i}_{z}") for z in range(2 * len(edges) + 1)] + [value.alias(f"r{i}_{r}") for r, value in found.items()]
+    row = x.agg(*aggs).select(*wanted).first()
+    out = []
+    for i, (b, edges) in enumerate(zip(brackets, bounds)):
+        known = {r: row[f"r{i}_{r}"] for r in b.ranks if row[f"r{i}_{r}"] is not None}
+        out.append((known, [row[f"n{i}_{z}"] for z in range(2 * len(edges) + 1)]))
+    return out
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = EXACT_ROWS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = HELD_VALUES,
     counts: dict[str, int] | None = None,
 ) -> dict[str, list[float] | None]:
-    """Quantiles of whole columns, returned as a few numbers per column.
+    """Quantiles of whole columns, returned as a few numbers per column; NaN counts as missing.
 
-    ``counts`` (non-null values per column) saves one aggregation when the caller knows them.
+    ``exact_rows`` is the number of values of a bracket that a task may hold.  ``counts`` (non-null values per column) is
+    taken on trust for columns that have none.
     """
-    columns = list(columns)
+    columns = [c for c in columns if counts is None or counts[c] > 0]
+    out: dict[str, list[float] | None] = {c: None for c in (counts or columns)}
     if not columns:
-        return {}
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if counts is None:
-        row = x.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
-        counts = {c: row[c] for c in columns}
-    out: dict[str, list[float] | None] = {c: None for c in columns}
-    small = [c for c in columns if 0 < counts[c] <= exact_rows]
-    if small:
-        row = x.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in small]).first()
-        out.update({c: list(row[c]) for c in small})
-    large = [c for c in columns if counts[c] > exact_rows]
-    if large:
-        brackets = [_Bracket(c, tuple(sorted({r for p in probs for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))})),
-                             counts[c]) for c in large]
-        values = _order_statistics(x, brackets, exact_rows)
-        out.update({c: _interpolate(counts[c], probs, values[c]) for c in large})
+        return out
+    names = {f"x{i}": c for i, c in enumerate(columns)}
+    x = df.select(*[F.nullif(F.col("`" + c.replace("`", "``") + "`").cast("double"), F.lit(float("nan"))).alias(n) for n, c in names.items()])
+    fractions = sorted({min(1.0, max(0.0, p + side * _MARGIN)) for p in probs for side in (-1, 1)})
+    first = x.agg(*[f for n in names for f in (F.count(n).alias(f"n_{n}"), _sketched(F.col(n), fractions).alias(f"q_{n}"))]).first()
+    totals = {n: first[f"n_{n}"] for n in names if first[f"n_{n}"]}
+    ranks = {n: tuple(sorted({r for p in probs for r in (math.floor(p * (t - 1)), math.ceil(p * (t - 1)))})) for n, t in totals.items()}
+    brackets = [_Bracket(n, ranks[n], t) for n, t in totals.items()]
+    bounds = [[] if b.inside <= exact_rows else sorted(set(first[f"q_{b.column}"])) for b in brackets]
+    values: dict[str, dict[int, float]] = {n: {} for n in totals}
+    while brackets:
+        rest = []
+        for b, edges, (known, counted) in zip(brackets, bounds, _counted(x, brackets, bounds, exact_rows)):
+            values[b.column].update(known)
+            on_bounds, open_ = b.split(edges, counted)
+            values[b.column].update(on_bounds)
+            for c in open_:
+                c.ranks = tuple(r for r in c.ranks if r not in known)
+                rest += [c] if c.ranks else []
+        brackets, bounds = rest, [[] for _ in rest]
+        if large := [i for i, b in enumerate(rest) if b.inside > exact_rows]:
+            row = x.agg(*[_sketched(rest[i].masked(), rest[i].fractions()).alias(f"q{i}") for i in large]).first()
+            for i in large:
+                bounds[i] = sorted(set(row[f"q{i}"]))
+    out.update({names[n]: _interpolate(t, probs, values[n]) for n, t in totals.items()})
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import column_quantiles, group_quantiles, numeric_columns
-from tablescout.functions.quantiles import EXACT_GROUP_ROWS, EXACT_ROWS
+from tablescout.functions.quantiles import EXACT_GROUP_ROWS, HELD_VALUES
 
 # Thresholds of the methods and of the severities.
 Z_LIMIT = 3.0
@@ -97,7 +97,7 @@ def iqr_anomalies(df: DataFrame, value: str, by: Sequence[str] = (), ids: Sequen
     if by:
         out = _with_group_values(df, by, group_quantiles(df, by, value, [0.25, 0.5, 0.75], names, exact_rows or EXACT_GROUP_ROWS), names)
     else:
-        found = column_quantiles(df, [value], [0.25, 0.5, 0.75], exact_rows or EXACT_ROWS)[value] or [None] * 3
+        found = column_quantiles(df, [value], [0.25, 0.5, 0.75], exact_rows or HELD_VALUES)[value] or [None] * 3
         out = df.withColumns({f"_{n}": F.lit(v).cast("double") for n, v in zip(names, found)})
     q1, median, q3 = (F.col(f"_{n}") for n in names)
     iqr = q3 - q1
@@ -173,7 +173,7 @@ def forest_steps(forest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def isolation_anomalies(df: DataFrame, value: str, ids: Sequence[str], contamination: float = CONTAMINATION, seed: int = 42,
-                        exact_rows: int = EXACT_ROWS) -> DataFrame:
+                        exact_rows: int = HELD_VALUES) -> DataFrame:
     """The share ``contamination`` of values that the forest isolates fastest."""
     cuts, scores = forest_steps(isolation_forest(df, value, ids, seed=seed))
     shared = df.sparkSession.sparkContext.broadcast((cuts, scores))
@@ -212,7 +212,7 @@ def severity_breakdown(anomalies: DataFrame, n_values: Column | int) -> DataFram
         "anomaly_rate", F.coalesce(F.try_divide(F.col("total").cast("double"), n), F.lit(0.0)))
 
 
-def anomaly_scan(tables: Mapping[str, DataFrame], min_values: int = 10, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def anomaly_scan(tables: Mapping[str, DataFrame], min_values: int = 10, exact_rows: int = HELD_VALUES) -> DataFrame:
     """Every numeric column of every table: method, anomalies, rate and severities.
 
     Per table: one aggregation for the moments, one for the quartiles of the columns that need

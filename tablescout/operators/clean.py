@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tablescout.functions import (
     column_quantiles, numeric_columns, parse_date, parse_measure, string_columns, strip, temporal_columns,
 )
-from tablescout.functions.quantiles import EXACT_ROWS
+from tablescout.functions.quantiles import HELD_VALUES
 from tablescout.operators.windows import forward_fill, keep_first
 from tablescout.session import durable
 
@@ -116,7 +116,7 @@ def standardise_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def outlier_bounds(df: DataFrame, columns: Sequence[str], spread: float = 3.0,
-                   exact_rows: int = EXACT_ROWS) -> dict[str, tuple[float, float]]:
+                   exact_rows: int = HELD_VALUES) -> dict[str, tuple[float, float]]:
     quartiles = column_quantiles(df, columns, [0.25, 0.75], exact_rows)
     return {c: (q[0] - spread * (q[1] - q[0]), q[1] + spread * (q[1] - q[0])) for c, q in quartiles.items() if q}
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions import column_quantiles, f_sf, t_ppf, t_two_sided
-from tablescout.functions.quantiles import EXACT_ROWS
+from tablescout.functions.quantiles import HELD_VALUES
 from tablescout.operators.anomaly import NORMAL_P, jarque_bera
 from tablescout.operators.validation import confidence_level, confidence_score
 
@@ -60,7 +60,7 @@ def time_split_impact(df: DataFrame, time: str, value: str, intervention: str, b
     return estimate_impact(df.where(F.col(time).isNotNull()), value, F.col(time) >= when, by, **options)
 
 
-def levene(df: DataFrame, value: str, is_after: Column, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def levene(df: DataFrame, value: str, is_after: Column, exact_rows: int = HELD_VALUES) -> DataFrame:
     """Equality of variances of two sides, centred at the medians."""
     x = F.col(value).cast("double")
     sides = df.where(x.isNotNull()).select(F.when(~is_after, x).alias("before"), F.when(is_after, x).alias("after"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tablescout.functions import (
     boolean_columns, column_quantiles, day_of, numeric_columns, row_digest, string_columns, temporal_columns,
 )
-from tablescout.functions.quantiles import EXACT_ROWS
+from tablescout.functions.quantiles import HELD_VALUES
 from tablescout.session import durable
 
 TEXT_LENGTH = 50
@@ -78,14 +78,14 @@ def comparable_columns(df: DataFrame) -> list[str]:
 
 def column_kinds(df: DataFrame) -> DataFrame:
     """Numeric, datetime, boolean, categorical or text; text is string with a mean length over 50."""
-    strings = set(string_columns(df))
+    strings, types = set(string_columns(df)), {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def metrics(c: str) -> dict[str, Column]:
-        length = F.avg(F.length(c)) if c in strings else F.lit(None).cast("double")
+        length = F.avg(F.length(quoted(c))) if c in strings else F.lit(None).cast("double")
         kind = F.lit(declared_kind(df, c))
         if c in strings:
             kind = F.when(length > TEXT_LENGTH, F.lit("text")).otherwise(kind)
-        return {"type": F.lit(df.schema[c].dataType.simpleString()), "kind": kind, "avg_length": length}
+        return {"type": F.lit(types[c]), "kind": kind, "avg_length": length}
 
     return per_column(df, df.columns, metrics)
 
@@ -124,8 +124,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     columns = comparable_columns(df)
     plain = all(isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
                 for f in df.schema.fields)
-    keyed = df.select(*columns) if plain else df.select(row_digest(columns).alias("_digest"))
-    groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    keyed = df.select(*map(quoted, columns)) if plain else df.select(row_digest(columns).alias("_digest"))
+    groups = keyed.groupBy(*map(quoted, keyed.columns)).agg(F.count(F.lit(1)).alias("_copies"))
     out = groups.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"))
     return out.select(
         "rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"),
@@ -154,11 +154,11 @@ def table_quality(df: DataFrame) -> DataFrame:
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with exactly one distinct value; decided by minimum = maximum, without a shuffle."""
     columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    out = per_column(df, columns, lambda c: {"low": F.min(c).cast("string"), "same": F.min(c) == F.max(c)})
+    out = per_column(df, columns, lambda c: {"low": F.min(quoted(c)).cast("string"), "same": F.min(quoted(c)) == F.max(quoted(c))})
     return out.where("same").select("column", F.col("low").alias("value"))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = HELD_VALUES) -> DataFrame:
     """Mean, sample deviation, range, quartiles, distinct and missing values per numeric column."""
     columns = list(columns or numeric_columns(df))
     quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75], exact_rows)
@@ -176,7 +176,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_r
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-null values of several columns with their frequency, as text, in one shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in columns])
     return (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
 
@@ -197,7 +197,7 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, k:
     The table is read once; the counted values are materialised for the totals and the ranking.
     """
     columns = list(columns or string_columns(df))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in columns])
     counts = durable(df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
     totals = counts.groupBy("column").agg(
         F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("freq"))), F.lit(0)).alias("missing"))
@@ -211,10 +211,10 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, k:
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), F.asc(column))
+    return df.groupBy(quoted(column)).agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), F.asc(quoted(column)))
 
 
-def outlier_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def outlier_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = HELD_VALUES) -> DataFrame:
     """Values beyond 1.5 interquartile ranges per numeric column.
 
     ``has_outliers``: any, with at least 4 values.  ``is_outlier_column``: more than 5 % of at
@@ -227,8 +227,9 @@ def outlier_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_r
         q1, q3 = quartiles[c] or (None, None)
         spread = 1.5 * (q3 - q1) if q1 is not None else 0.0
         low, high = (q1 - spread, q3 + spread) if q1 is not None else (None, None)
-        outside = (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high))
-        return {"n": F.count(c), "low": F.lit(low).cast("double"), "high": F.lit(high).cast("double"),
+        x = F.col(quoted(c))
+        outside = (x < F.lit(low)) | (x > F.lit(high))
+        return {"n": F.count(x), "low": F.lit(low).cast("double"), "high": F.lit(high).cast("double"),
                 "outliers": F.count_if(outside)}
 
     return (per_column(df, columns, metrics)
@@ -245,26 +246,27 @@ def high_cardinality(df: DataFrame, columns: Sequence[str] | None = None, min_di
 
 def sample_skewness(column: str) -> Column:
     """Bias-corrected skewness from Spark's population skewness."""
-    n = F.count(column).cast("double")
-    return F.when(n > 2, F.skewness(column) * F.sqrt(n * (n - 1)) / (n - 2))
+    x = F.col(quoted(column))
+    n = F.count(x).cast("double")
+    return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def skewed_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    out = per_column(df, columns or numeric_columns(df), lambda c: {"n": F.count(c), "skew": sample_skewness(c)})
+    out = per_column(df, columns or numeric_columns(df), lambda c: {"n": F.count(quoted(c)), "skew": sample_skewness(c)})
     return out.withColumn("is_skewed", (F.col("n") >= MIN_ROWS) & (F.abs("skew") > 1))
 
 
 def boolean_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return per_column(df, columns or boolean_columns(df), lambda c: {
-        "true_count": F.count_if(F.col(c)), "false_count": F.count_if(~F.col(c)),
-        "true_pct": F.avg(F.col(c).cast("int"))})
+        "true_count": F.count_if(F.col(quoted(c))), "false_count": F.count_if(~F.col(quoted(c))),
+        "true_pct": F.avg(F.col(quoted(c)).cast("int"))})
 
 
 def datetime_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """First and last time and the number of whole days between them."""
     return per_column(df, columns or temporal_columns(df), lambda c: {
-        "first": F.min(c).cast("timestamp_ntz"), "last": F.max(c).cast("timestamp_ntz"),
-        "range_days": F.timestamp_diff("DAY", F.min(c), F.max(c))})
+        "first": F.min(quoted(c)).cast("timestamp_ntz"), "last": F.max(quoted(c)).cast("timestamp_ntz"),
+        "range_days": F.timestamp_diff("DAY", F.min(quoted(c)), F.max(quoted(c)))})
 
 
 def temporal_granularity(df: DataFrame, column: str, min_rows: int = 12) -> DataFrame:

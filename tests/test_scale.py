@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators import correlate
+from tablescout.functions import column_quantiles
+from tablescout.operators import correlate, profile
 
 
 def jobs_of(spark, action):
@@ -77,3 +78,44 @@ def test_infinite_and_missing_values_and_too_few_columns(spark):
         assert r == pytest.approx(pdf[x].corr(pdf[y])) and n == (pdf[x].notna() & pdf[y].notna()).sum()
     assert correlate.correlations(df, ["a"]).count() == 0
     assert [(r.correlation, r.n) for r in correlate.correlations(df.where(F.lit(False))).collect()] == [(None, 0)] * 3
+
+
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 60_000, 1_000_000])
+def test_quantiles_take_two_aggregates_whatever_the_size(spark, n):
+    df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(10_007)) * 1.0).alias("a.b"), F.sin("id").alias("s"), F.floor(F.col("id") / 400).alias("ties"))
+    got, jobs = jobs_of(spark, lambda: column_quantiles(df, df.columns, PROBS))
+    pdf = df.toPandas()
+    for c in df.columns:
+        assert got[c] == pytest.approx(np.quantile(pdf[c], PROBS), rel=1e-12, abs=1e-12)
+    assert jobs <= 4  # two aggregates, each a stage before and one after its exchange
+
+
+def test_quantiles_narrow_brackets_that_are_too_large(spark):
+    df = spark.range(40_000).select(F.exp(F.sin("id") * 9).alias("x"), F.when(F.col("id") % 9 == 0, F.lit(1.0)).otherwise(F.col("id") % 3 * 1.0).alias("few"))
+    pdf = df.toPandas()
+    for held in (5, 300):
+        got = column_quantiles(df, ["x", "few"], PROBS, held)
+        assert all(got[c] == pytest.approx(np.quantile(pdf[c], PROBS), rel=1e-12) for c in got)
+
+
+def test_quantiles_of_missing_and_infinite_values(spark):
+    rows = [(None, float("nan"), float("inf")), (None, 2.0, 1.0), (None, None, float("-inf")), (None, 4.0, 3.0)]
+    df = spark.createDataFrame(rows, "none double, `some` double, wide double")
+    got = column_quantiles(df, df.columns, [0.5, 1.0])
+    assert got == {"none": None, "some": [3.0, 4.0], "wide": [2.0, float("inf")]}
+    assert column_quantiles(df.where("false"), ["some"], [0.5]) == {"some": None}
+
+
+def test_profiles_of_columns_with_dots(spark):
+    df = spark.createDataFrame([(1, "a", 1.5, True), (2, "b", 2.5, False), (3, None, 400.0, None)] * 5, "`k.id` long, `t.x` string, `v.y` double, `b.z` boolean")
+    summary = {r.column: r for r in profile.numeric_summary(df).collect()}
+    assert summary["v.y"].max == 400.0 and summary["k.id"].distinct == 3 and summary["v.y"].q50 == 2.5
+    assert {r.column: r.outliers for r in profile.outlier_columns(df).collect()} == {"k.id": 0, "v.y": 0}
+    assert {r.column for r in profile.column_kinds(df).collect()} == set(df.columns)
+    assert profile.duplicate_rows(df).first().duplicate_rows == 12
+    assert profile.boolean_stats(df).first().true_count == 5
+    assert {r.column: r.most_common for r in profile.categorical_summary(df).collect()} == {"t.x": "a"}
+    assert profile.skewed_columns(df).count() == 2 and profile.constant_columns(df).count() == 0 and profile.frequency(df, "t.x").first().freq == 5
