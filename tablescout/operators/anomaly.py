@@ -212,8 +212,9 @@ def severity_breakdown(anomalies: DataFrame, n_values: Column | int) -> DataFram
         "anomaly_rate", F.coalesce(F.try_divide(F.col("total").cast("double"), n), F.lit(0.0)))
 
 
-def anomaly_scan(tables: Mapping[str, DataFrame], min_values: int = 10, exact_rows: int = HELD_VALUES) -> DataFrame:
-    """Every numeric column of every table: method, anomalies, rate and severities.
+def anomaly_scan(tables: Mapping[str, DataFrame], min_values: int = 10, exact_rows: int = HELD_VALUES,
+                 columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Every numeric column of every table: method, anomalies, rate and severities; ``columns`` narrows it to some.
 
     Per table: one aggregation for the moments, one for the quartiles of the columns that need
     them, one to count against the resulting bounds.
@@ -222,10 +223,10 @@ def anomaly_scan(tables: Mapping[str, DataFrame], min_values: int = 10, exact_ro
 
     frames = []
     for name, df in tables.items():
-        columns = numeric_columns(df)
-        if not columns:
+        chosen = numeric_columns(df) if columns is None else list(columns.get(name, ()))
+        if not chosen:
             continue
-        moments = per_column(df, columns, lambda c: {
+        moments = per_column(df, chosen, lambda c: {
             "n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "p_value": F.exp(-jarque_bera(c) / 2)})
         plan = {r["column"]: r for r in moments.withColumn("method", choose_method(F.col("n"), F.col("p_value"))).collect()
                 if r["n"] > min_values}

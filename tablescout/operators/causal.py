@@ -105,10 +105,13 @@ def causes_of(df: DataFrame, date: str, causes: Sequence[str], effect: str, data
 
 
 def all_causes(df: DataFrame, date: str, columns: Sequence[str] | None = None, dataset: str = "", max_lag: int = 12,
-               significant_only: bool = True) -> DataFrame:
-    """Every pair of numeric columns, earlier column as cause, on daily sums."""
+               significant_only: bool = True, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Every pair of numeric columns, earlier column as cause, on daily sums; ``pairs`` narrows it to some."""
+    if pairs is not None:
+        columns = sorted({c for p in pairs for c in p})
     columns = list(columns or numeric_columns(df))
-    out = best_lag(granger_lags(daily_panel(df, date, columns, dataset), _pairs(df, dataset, list(combinations(columns, 2))), max_lag))
+    pairs = list(combinations(columns, 2)) if pairs is None else list(pairs)
+    out = best_lag(granger_lags(daily_panel(df, date, columns, dataset), _pairs(df, dataset, pairs), max_lag))
     return out.where("is_significant") if significant_only else out
 
 
@@ -126,9 +129,15 @@ def likely_cause(df: DataFrame, date: str, columns: Sequence[str] | None = None,
     return None if pair is None else _on_daily_sums(df, date, *pair, dataset, 10)
 
 
-def cross_table_cause(joined: DataFrame, date: str, columns: Sequence[str] | None = None, dataset: str = "joined") -> DataFrame | None:
-    """Granger test of the first cost, price or quantity on the first revenue, sales, profit or value."""
+def cross_table_pair(joined: DataFrame, columns: Sequence[str] | None = None) -> tuple[str, str] | None:
+    """The first cost, price or quantity, and the first revenue, sales, profit or value."""
     columns = list(columns or numeric_columns(joined))
     effects = [c for c in columns if any(w in c.lower() for w in EFFECT_WORDS)]
     causes = [c for c in columns if any(w in c.lower() for w in CAUSE_WORDS) and c not in effects[:1]]
-    return _on_daily_sums(joined, date, causes[0], effects[0], dataset, 5) if effects and causes else None
+    return (causes[0], effects[0]) if effects and causes else None
+
+
+def cross_table_cause(joined: DataFrame, date: str, columns: Sequence[str] | None = None, dataset: str = "joined") -> DataFrame | None:
+    """Granger test of the first cost, price or quantity on the first revenue, sales, profit or value."""
+    pair = cross_table_pair(joined, columns)
+    return None if pair is None else _on_daily_sums(joined, date, *pair, dataset, 5)

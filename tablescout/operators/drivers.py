@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import correlation, numeric_columns, string_columns
 from tablescout.operators.causal import EFFECT_WORDS
+from tablescout.operators.profile import quoted
 
 MAX_LEVELS = 20
 
@@ -96,8 +97,8 @@ def categorical_drivers(df: DataFrame, metrics: Sequence[str] | None = None, cat
     """
     metrics = list(metrics or numeric_columns(df))
     categories = list(categories or string_columns(df))
-    guess = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categories]).first()
-    categories = [c for c in categories if guess[c] < 2 * max_levels]
+    guess = df.agg(*[F.approx_count_distinct(quoted(c)) for c in categories]).first() if categories else ()
+    categories = [c for c, levels in zip(categories, guess) if levels < 2 * max_levels]
     schema = "metric string, factor string, levels long, n long, variance_explained double"
     if not categories:
         return df.sparkSession.createDataFrame([], schema)
@@ -123,14 +124,18 @@ def categorical_drivers(df: DataFrame, metrics: Sequence[str] | None = None, cat
                       F.try_divide("between", F.col("between") + F.col("within")).alias("variance_explained"))
 
 
-def cross_table_drivers(joined: DataFrame, columns: Sequence[str] | None = None) -> DataFrame | None:
-    """Linear shares of the first five other numbers in the first revenue, sales, profit or value."""
+def cross_table_choice(joined: DataFrame, columns: Sequence[str] | None = None) -> tuple[list[str], str] | None:
+    """The first five other numbers, and the first revenue, sales, profit or value; None without enough of them."""
     columns = list(columns or numeric_columns(joined))
     targets = [c for c in columns if any(w in c.lower() for w in EFFECT_WORDS)]
     features = [c for c in columns if c not in targets[:1]][:5]
-    if not targets or len(features) < 3:
-        return None
-    return linear_drivers(joined, features, targets[0], missing_as_zero=True).where("n >= 30")
+    return (features, targets[0]) if targets and len(features) >= 3 else None
+
+
+def cross_table_drivers(joined: DataFrame, columns: Sequence[str] | None = None) -> DataFrame | None:
+    """Linear shares of the first five other numbers in the first revenue, sales, profit or value."""
+    choice = cross_table_choice(joined, columns)
+    return None if choice is None else linear_drivers(joined, *choice, missing_as_zero=True).where("n >= 30")
 
 
 def segment(df: DataFrame, features: Sequence[str], k: int = 4, seed: int = 42) -> DataFrame:

@@ -111,6 +111,35 @@ def validate_causal(daily: DataFrame, cause: str, effect: str, order: str, max_l
         ["pair", "cause_stationary", "effect_stationary", "has_correlation"])
 
 
+def validate_causal_pairs(panel: DataFrame, pairs: DataFrame, max_lag: int = 12) -> DataFrame:
+    """The checks of ``validate_causal`` for many pairs of daily series at once.
+
+    ``panel``: ``dataset, metric, day, value``; ``pairs``: ``dataset, cause, effect``.
+    """
+    required = max(MIN_SAMPLE, 5 * max_lag)
+    keys = ["dataset", "metric"]
+    series = panel.groupBy(*keys).agg(F.count("value").alias("n"), F.avg(F.col("value").isNull().cast("int")).alias("missing"))
+    series = _joined(series, stationarity(panel.where("value is not null"), keys, "day").select(*keys, "is_stationary"), keys)
+
+    def side(name: str) -> DataFrame:
+        return series.select("dataset", F.col("metric").alias(name), F.col("n").alias(f"{name}_n"), F.col("missing").alias(f"{name}_missing"),
+                             F.coalesce("is_stationary", F.lit(False)).alias(f"{name}_stationary"))
+
+    x = panel.select("dataset", F.col("metric").alias("cause"), "day", F.col("value").cast("double").alias("x"))
+    y = panel.select("dataset", F.col("metric").alias("effect"), "day", F.col("value").cast("double").alias("y"))
+    names = ["dataset", "cause", "effect"]
+    together = pairs.join(x, ["dataset", "cause"]).join(y, ["dataset", "effect", "day"]).groupBy(*names).agg(correlation(F.col("x"), F.col("y")).alias("r"))
+    base = pairs.join(side("cause"), ["dataset", "cause"]).join(side("effect"), ["dataset", "effect"]).join(together, names, "left")
+    base = base.withColumns({"n": F.least("cause_n", "effect_n"), "has_correlation": F.coalesce(F.abs("r") > 0.1, F.lit(False))})
+    n = F.col("n")
+    return _report(
+        base, n, F.lit(required), [F.when(n < required, F.lit("sample too small"))],
+        [F.when(~F.col("cause_stationary"), F.lit("cause not stationary")), F.when(~F.col("effect_stationary"), F.lit("effect not stationary")),
+         F.when(F.abs("r") < 0.1, F.lit("very weak correlation")),
+         F.when((F.col("cause_missing") > 0.1) | (F.col("effect_missing") > 0.1), F.lit("many missing values"))],
+        [*names, "cause_stationary", "effect_stationary", "has_correlation"])
+
+
 def validate_regression(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Rows per feature, feature pairs correlated beyond 0.9, target variance, missing values."""
     from tablescout.operators.correlate import correlations

@@ -13,6 +13,8 @@ from tablescout.operators import semantics as S
 from tablescout.operators import validation as V
 from tablescout.operators.aggregate import daily_panel, daily_series
 from tablescout.operators.joins import star_join
+from tablescout.plans import gates
+from tablescout.plans.discovery import analyse_tables
 from tablescout.plans.queries.base import Registry, rounded, table, tables, union_all
 from tablescout.plans.queries.relations import EDGES, joined_star, star_tables
 
@@ -501,4 +503,51 @@ def v10_time_series_profile(spark, d):
     return a.unionByName(b).select("column", F.col("rows").alias("n_rows"), "dates", F.col("span_days").cast("long").alias("span_days"), "key_metrics")
 
 
+# Number of columns and of days by date column, as the plan of analyses sees them.
+_PLANNED = {"region": (["r_regionkey"], None), "nation": (["n_nationkey", "n_regionkey"], None), "labels": (["doc_id", "quality", "toxic"], None),
+            "events": (["event_id", "user_id", "value"], "ts"), "orders": (["o_orderkey", "o_custkey", "o_totalprice"], "o_orderdate")}
+
+
+def _issues(*pairs: tuple[str, str]) -> str:
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN {when} THEN '{text}' END" for when, text in pairs) + ")"
+
+
+_PLAN_SQL = union_all(
+    [f"""SELECT 'anomaly_detection' AS analysis, '{t}' AS dataset, '{c}' AS subject, count({c}) AS sample_size, CAST(30 AS BIGINT) AS min_required_sample,
+        {_issues((f"count({c}) < 30", "sample too small"), (f"stddev_samp({c}) = 0", "no variance"))} AS critical_issues FROM {t}"""
+     for t, (cs, _) in _PLANNED.items() for c in cs]
+    + [f"""SELECT 'time_series_forecast', '{t}', '{c}', count(DISTINCT CAST({d} AS DATE)), CAST(30 AS BIGINT),
+        {_issues((f"count(DISTINCT CAST({d} AS DATE)) < 30", "sample too small"))} FROM {t} WHERE {c} IS NOT NULL"""
+       for t, (cs, d) in _PLANNED.items() if d for c in cs]
+    + [f"""SELECT 'causal_analysis', '{t}', '{a} -> {b}', least(count(DISTINCT CASE WHEN {a} IS NOT NULL THEN CAST({d} AS DATE) END),
+        count(DISTINCT CASE WHEN {b} IS NOT NULL THEN CAST({d} AS DATE) END)) AS n, CAST(60 AS BIGINT), CASE WHEN n < 60 THEN 'sample too small' ELSE '' END FROM {t}"""
+       for t, (cs, d) in _PLANNED.items() if d for a, b in combinations(cs, 2)])
+
+
+@R.add(_PLAN_SQL)
+def v8_analysis_plan(spark, d):
+    """What the checks say about every column, daily series and pair of series before any analysis runs."""
+    checks = gates.analysis_plan(tables(spark, d, *_PLANNED)).checks
+    return checks.select("analysis", "dataset", "subject", "sample_size", "min_required_sample", "critical_issues")
+
+
+@R.add(f"""WITH p AS ({_PLAN_SQL}), r AS (SELECT *, critical_issues = '' AS ok FROM p),
+       n AS ({union_all(f"SELECT '{t}' AS dataset, count(*) AS n, {bool(x[1])} AS dated FROM {t}" for t, x in _PLANNED.items())})
+       SELECT 'anomaly' AS result, dataset, subject, 'ran' AS state FROM r WHERE analysis = 'anomaly_detection' AND ok UNION ALL
+       SELECT 'forecast', dataset, subject, 'ran' FROM r WHERE analysis = 'time_series_forecast' AND ok UNION ALL
+       SELECT 'skipped', dataset, concat(analysis, ': ', subject), critical_issues FROM r WHERE NOT ok UNION ALL
+       SELECT 'skipped', dataset, concat(a, ': *'), CASE WHEN NOT dated THEN 'no date column' ELSE concat('needs ', need, ' observations, has ', n) END
+       FROM n, (VALUES ('time_series_forecast', 20), ('causal_analysis', 50)) v(a, need) WHERE NOT dated OR n < need""")
+def v9_gated_analyses(spark, d):
+    """What the flow over tables computed and what it skipped, with the reason."""
+    out = analyse_tables(tables(spark, d, *_PLANNED))
+    ran = [out[k].select(F.lit(k).alias("result"), "dataset", F.col(c).alias("subject"), F.lit("ran").alias("state")).distinct()
+           for k, c in (("anomaly", "column"), ("forecast", "metric")) if k in out]
+    skipped = out["skipped"].select(F.lit("skipped").alias("result"), "dataset", F.concat("skipped_analysis", F.lit(": "), "subject").alias("subject"),
+                                    F.col("reason").alias("state"))
+    for frame in ran:
+        skipped = skipped.unionByName(frame)
+    return skipped
+
+
 QUERIES, ORACLES = R.queries, R.oracles

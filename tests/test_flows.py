@@ -108,3 +108,40 @@ def test_streams(spark, sf_dir, tmp_path):
 def test_plans_have_no_products(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_invalid_data_yield_no_result_but_a_reason(spark):
+    n = 80
+    pdf = pd.DataFrame({"day": pd.date_range("2024-01-01", periods=n), "a": [float(i % 7) for i in range(n)], "flat": [3.0] * n,
+                        "b": [float((i * 7919) % 31) for i in range(n)], "rare": [1.5 * i if i < 12 else None for i in range(n)]})
+    long = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "day timestamp, a double, flat double, b double, rare double")
+    tables = {"long": long, "short": long.limit(25).drop("rare"), "plain": long.select("a", "b")}
+    out = analyse_tables(tables, max_lag=3)
+    found = {(r.dataset, r.column) for r in out["anomaly"].collect()}
+    assert found == {("long", "a"), ("long", "b"), ("plain", "a"), ("plain", "b")}
+    assert {r.is_valid for r in out["anomaly"].collect()} == {True} and out["anomaly"].where("confidence_level IS NULL").count() == 0
+    assert {(r.dataset, r.metric) for r in out["forecast"].collect()} == {("long", m) for m in ("a", "b", "flat")}
+    skipped = {(r.skipped_analysis, r.dataset, r.subject): r.reason for r in out["skipped"].collect()}
+    assert skipped["anomaly_detection", "long", "flat"] == "no variance" and skipped["anomaly_detection", "long", "rare"] == "sample too small"
+    assert skipped["anomaly_detection", "short", "a"] == "sample too small" and skipped["time_series_forecast", "short", "a"] == "sample too small"
+    assert skipped["causal_analysis", "plain", "*"] == "no date column" and ("causal_analysis", "long", "a -> b") not in skipped
+    assert {r.analysis for r in report(out).select("analysis").distinct().collect()} >= {"anomaly", "forecast", "skipped"}
+    few = analyse_tables(tables, max_lag=3, most=1)
+    assert "forecast" not in few and {r.dataset for r in few["anomaly"].collect()} <= {"long", "plain"}
+    assert few["skipped"].where("reason = 'not among the selected analyses'").count() > 0
+
+
+def test_pairs_are_checked_like_single_pairs(spark):
+    from tablescout.operators import validation
+    from tablescout.operators.aggregate import daily_panel, daily_series
+
+    pdf = pd.DataFrame({"day": pd.date_range("2024-01-01", periods=70), "x": [float(i) for i in range(70)], "y": [float((i * 7919) % 31) for i in range(70)],
+                        "z": [float(i % 5) for i in range(70)]})
+    df = spark.createDataFrame(pdf)
+    pairs = [("x", "y"), ("x", "z"), ("y", "z")]
+    many = validation.validate_causal_pairs(daily_panel(df, "day", ["x", "y", "z"], "t"), spark.createDataFrame([("t", a, b) for a, b in pairs], "dataset string, cause string, effect string"))
+    got = {(r.cause, r.effect): r for r in many.collect()}
+    for a, b in pairs:
+        one = validation.validate_causal(daily_series(df, "day", [a, b]), a, b, "day").first()
+        for field in ("is_valid", "confidence_level", "sample_size", "warnings", "critical_issues", "has_correlation"):
+            assert got[a, b][field] == one[field], (a, b, field)
