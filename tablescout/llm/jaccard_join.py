@@ -36,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.llm.components import components
@@ -135,26 +135,13 @@ def signatures(s: np.ndarray, plan: Plan, band: int) -> tuple[np.ndarray, int]:
     return mix(np.unique(np.concatenate(out))), reached
 
 
-def profile(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, s1, s2, v``: size, 128-bit hash and counts over the hash range of every document's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            n, s1, s2, v = [], [], [], []
-            for text in raw(batch.column(1)):
-                s = shingle_set(text.lower().split(), hashes, words)
-                key = xxhash.xxh3_128_intdigest(s.tobytes())
-                n.append(len(s))
-                s1.append(key >> 64)
-                s2.append(key & (1 << 64) - 1)
-                # Counts beyond 255 read as 255, which only makes differences smaller.
-                v.append(np.minimum(np.bincount((mix(s) >> np.uint64(57)).astype(np.int64), minlength=SPREAD), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(long(np.array(s1, np.uint64))), pa.array(long(np.array(s2, np.uint64))), pa.array(v, pa.binary())],
-                ["doc_id", "n", "s1", "s2", "v"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, v binary")
+def described(sets: list[np.ndarray]) -> tuple:
+    """``n, s1, s2, v``: size, 128-bit hash and counts over the hash range of sets."""
+    keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    # Counts beyond 255 read as 255, which only makes differences smaller.
+    spread = [np.minimum(np.bincount((mix(s) >> np.uint64(57)).astype(np.int64), minlength=SPREAD), 255).astype(np.uint8).tobytes() for s in sets]
+    halves = (np.array([k >> 64 for k in keys], np.uint64), np.array([k & (1 << 64) - 1 for k in keys], np.uint64))
+    return keys, [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(long(h)) for h in halves], pa.array(spread, pa.binary())]
 
 
 def leaders(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,8 +164,15 @@ def unpack_block(block: bytes, n: int, ids: int) -> list[np.ndarray]:
     return [np.frombuffer(block, np.uint64, n), *[np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]]
 
 
+SET = ("doc_id", "n", "s1", "s2", "v")
+BLOCK = ("bucket", "entries", "block")
+
+
 def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
-    """Blocks of signatures per bucket; those that already found a leader travel as members in buckets of their own."""
+    """One pass over the texts: a row per document that describes its set, and blocks of signatures per bucket.
+
+    Signatures that already found a leader travel as members in buckets of their own.
+    """
 
     def flush(sig: list, doc: list, spare: dict[int, int]) -> Iterator[pa.RecordBatch]:
         sig, doc, member = leaders(np.concatenate(sig), np.concatenate(doc))
@@ -193,19 +187,22 @@ def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets:
             end = np.append(start[1:], len(bucket))
             for i in range(0, len(start), 512):
                 parts = list(zip(start[i:i + 512], end[i:i + 512]))
+                none = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[start[i:i + 512]] * 3 + kind), pa.array([b - a for a, b in parts], pa.int32()), pa.array([pack_block([c[a:b] for c in columns]) for a, b in parts], pa.binary())],
-                    ["bucket", "n", "block"])
+                    [*none, pa.array(bucket[start[i:i + 512]] * 3 + kind), pa.array([b - a for a, b in parts], pa.int32()), pa.array([pack_block([c[a:b] for c in columns]) for a, b in parts], pa.binary())],
+                    [*SET, *BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         sig, doc, size, spare = [], [], 0, {}
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                s = shingle_set(text.lower().split(), hashes, words)
+            sets = [shingle_set(text.lower().split(), hashes, words) for text in raw(batch.column(1))]
+            keys, columns = described(sets)
+            none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *none], [*SET, *BLOCK])
+            for d, s, key in zip(batch.column(0).to_pylist(), sets, keys):
                 if not len(s):
                     continue
-                key = xxhash.xxh3_128_intdigest(s.tobytes())
                 if key in seen:  # an equal set of this task stands for it
                     continue
                 if len(seen) < 500_000:
@@ -228,7 +225,7 @@ def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets:
         if size:
             yield from flush(sig, doc, spare)
 
-    return docs.mapInArrow(run, "bucket int, n int, block binary")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, v binary, bucket int, entries int, block binary")
 
 
 def shared_signatures(blocks: DataFrame, partitions: int) -> DataFrame:
@@ -327,21 +324,84 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(left, "u").join(right, "v").select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
 
 
+def likely_sizes(docs: DataFrame, words: int) -> tuple[int, dict[int, int]]:
+    """A bound for the size of any set, and about how many sets there are by size, from the lengths of the texts.
+
+    The counts only price the plans; which band a set belongs to follows from its own size.
+    """
+    length = F.octet_length("text")
+    # Words of natural text take about six bytes; a text has at most every other byte as a word.
+    guess = F.greatest(F.floor(length / 6) - (words - 1), F.lit(1))
+    rows = docs.where(length > 0).groupBy(F.floor(F.log2(guess) * 4).alias("step")).agg(F.count(F.lit(1)).alias("k"), F.max(length).alias("longest")).collect()
+    return max((r.longest // 2 + 1 for r in rows), default=1), {int(2 ** (r.step / 4)): r.k for r in rows}
+
+
+def off_hub(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``hub, u, n, nh, linked, d, e``: whether a set is similar to its hub, and the ``d`` elements ``e`` that only one of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, recent = WordHashes(), {}
+        for batch in batches:
+            found, sizes = [], []
+            for hub, zu, zh in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (3, 4))):
+                if hub not in recent:
+                    if len(recent) >= 16:
+                        recent.clear()
+                    recent[hub] = shingle_set(zlib.decompress(zh).split(), hashes, words)
+                s = shingle_set(zlib.decompress(zu).split(), hashes, words)
+                found.append(np.setxor1d(s, recent[hub], assume_unique=True))
+                sizes.append((len(s), len(recent[hub])))
+            n, nh = np.array(sizes, np.int64).reshape(-1, 2).T
+            d = np.array([len(x) for x in found], np.int64)
+            values = np.concatenate([*found, np.empty(0, np.uint64)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d)]).astype(np.int32)), pa.array(long(values)))
+            linked = (100 + percent) * d <= (100 - percent) * (n + nh)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(nh), pa.array(linked), pa.array(d), lists], ["hub", "u", "n", "nh", "linked", "d", "e"])
+
+    left = texts.select(F.col("doc_id").alias("u"), F.col("z").alias("zu"))
+    right = texts.select(F.col("doc_id").alias("hub"), F.col("z").alias("zh"))
+    joined = members.join(left, "u").join(right, "hub").select("hub", "u", "n", "zu", "zh")
+    return joined.mapInArrow(run, "hub long, u long, n long, nh long, linked boolean, d long, e array<long>")
+
+
+def prefixes(offs: DataFrame, percent: int) -> DataFrame:
+    """``hub, u, ..., p1, p2``: elements of the differences that a similar set must share one of.
+
+    Let ``x`` not be similar to the hub ``h``: d(x) > f (n(x) + n(h)) with f = (100 - t) / (100 + t).  If ``v`` is similar to ``x``, at
+    most f (n(x) + n(v)) elements differ, so d(x) and d(v) have more than (d(v) + f (n(h) - n(v))) / 2 in common, and also at least
+    d(v) less the largest difference that any set similar to ``v`` can have.  With a common part of ``o`` elements, two sets share
+    one of the first d - o + 1 elements in any common order; the order is by frequency, rare ones first.  ``p1`` is that prefix
+    for partners that are not linked to the hub, ``p2`` for any partner.  Elements that no other member has match
+    nobody; they only take up places.
+    """
+    rows = offs.select("hub", "u", F.explode("e").alias("e"))
+    often = rows.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = (rows.join(often, ["hub", "e"]).groupBy("hub", "u").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("often")))
+    any_ = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
+    half = F.floor((F.col("d") * (100 + percent) + (F.col("nh") - F.col("n")) * (100 - percent)) / (2 * (100 + percent))) + 1
+    alone = F.col("d") - F.size("often")
+
+    def first(common: Column) -> Column:
+        places = F.greatest(F.lit(0), F.col("d") - common + 1 - alone).cast("int")
+        return F.transform(F.slice("often", 1, places), lambda s: s["e"])
+
+    return offs.drop("e").join(shared, ["hub", "u"]).select(*[c for c in offs.columns if c != "e"], first(F.greatest(any_, half)).alias("p1"), first(any_).alias("p2"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     spark = docs.sparkSession
     docs = one_row_per_id(only(docs, "doc_id", "text"))
-    known = durable(profile(docs, words))
-    classes = durable(known.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("v").alias("v")))
-    top = classes.agg(F.max("n"), F.sum("n")).first()
-    edges = bands(int(top[0] or 1))
-    # One count per size band reaches the driver.
-    band = sum((F.col("n") >= int(e)).cast("int") for e in edges) - 1
-    sizes = {r["band"]: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
-    plans = {b: allocate(int(edges[b]), int(edges[b + 1]) - 1, n, percent) for b, n in sizes.items()}
+    top, likely = likely_sizes(docs, words)
+    edges = bands(top)
+    counts = np.bincount(np.searchsorted(edges, list(likely), "right") - 1, weights=list(likely.values()), minlength=len(edges)) if likely else np.zeros(len(edges))
+    plans = {b: allocate(int(edges[b]), int(edges[b + 1]) - 1, int(counts[b]), percent) for b in range(len(edges) - 1)}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, int(top[1] or 0) // (2 * BUCKET))
-    shared = durable(shared_signatures(entries(docs, plans, edges, buckets, words, percent), partitions))
+    buckets = max(partitions, sum(size * k for size, k in likely.items()) // (2 * BUCKET))
+    stored = durable(entries(docs, plans, edges, buckets, words, percent))
+    known = stored.where("doc_id is not null").select(*SET)
+    classes = durable(known.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("v").alias("v")))
+    shared = durable(shared_signatures(stored.where("bucket is not null").select(*BLOCK), partitions))
 
     # From documents to classes of equal sets; n travels along for the size test.
     member = durable(known.where("n > 0").join(classes.select("s1", "s2", "class_id"), ["s1", "s2"]).select("doc_id", "class_id", "n"))
@@ -352,8 +412,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     fits = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
     met = hits.where(fits).groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("common"))
     pairs = durable(plausible(met, vectors, percent))
-    # Texts of the classes that plausibly meet others.
-    nodes = durable(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id"))
+    # Texts of the classes that share a signature with others; every comparison reads them from here.
+    nodes = hits.select("u").union(hits.select("v")).distinct().withColumnRenamed("u", "doc_id")
     texts = durable(compressed(docs).join(nodes, "doc_id"))
 
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("common"), "v"))
@@ -387,22 +447,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     dense = (around.join(heavy, "sig").groupBy("u").agg(F.count(F.lit(1)).alias("k")).join(spare, "u", "left")
              .where("spare is null or k > spare").select("u", F.lit(True).alias("dense")))
     around = (around.join(groups.where("parts > 1"), "sig").join(durable(dense), "u", "left")
-              .where(f"size <= {HEAVY} or dense").select("sig", "u", "n", "c", "main"))
+              .where(f"size <= {HEAVY} or dense").select("sig", "u", "n", "c", "main", "size"))
     around = durable(around)
-    a = around.where("c != main").select("sig", "u", F.col("n").alias("nu"), F.col("c").alias("cu"))
-    b = around.select("sig", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
-    left = (a.join(b, "sig").where("cu != cv").where(fits)
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"),
-                    F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
-                    F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct())
+    few = around.where(f"size <= {HEAVY}")
+    a = few.where("c != main").select("sig", "u", F.col("n").alias("nu"), F.col("c").alias("cu"))
+    b = few.select("sig", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
+    left = a.join(b, "sig").where("cu != cv").where(fits).select("u", "v", "nu", "nv")
     tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    left = durable(plausible(left.join(tested, ["u", "v"], "left_anti").select("u", "v", "nu", "nv"), vectors, percent))
-    others = left.select(F.col("u").alias("doc_id")).union(left.select("v")).distinct().join(nodes, "doc_id", "left_anti")
+
+    def untested(candidates: DataFrame) -> DataFrame:
+        """Plausible pairs that were not looked at before, each once."""
+        first = F.col("u") < F.col("v")
+        once = candidates.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(first, F.col("nu")).otherwise(F.col("nv")).alias("nu"),
+                                 F.when(first, F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct()
+        return durable(plausible(once.join(tested, ["u", "v"], "left_anti").select("u", "v", "nu", "nv"), vectors, percent))
+
+    # Members of frequent signatures by their differences from the hub, the member with the most frequent signatures.
+    many = around.where(f"size > {HEAVY}")
+    weight = many.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+    hubs = many.join(weight, "u").groupBy("sig").agg(F.max_by("u", F.struct("k", F.xxhash64("u"))).alias("hub"))
+    beside = durable(many.join(hubs, "sig").where("u != hub").select("hub", "u", "n").distinct())
+    if not beside.isEmpty():
+        offs = durable(off_hub(beside, texts, words, percent))
+        links = durable(links.unionByName(offs.where("linked").select("u", F.col("hub").alias("v"))))
+        labels = durable(components(links))
+        own = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+        theirs = labels.select(F.col("node").alias("hub"), F.col("component").alias("ch"))
+        placed = offs.join(own, "u", "left").join(theirs, "hub", "left").withColumns({"cu": F.coalesce("cu", "u"), "ch": F.coalesce("ch", "hub")})
+        placed = durable(placed.withColumn("apart", ~F.col("linked") & (F.col("cu") != F.col("ch"))))
+        rare = durable(prefixes(placed.join(placed.where("apart").select("hub").distinct(), "hub", "left_semi"), percent))
+
+        def side(rows: DataFrame, prefix: str, name: str) -> DataFrame:
+            return rows.select("hub", F.explode(prefix).alias("e"), F.col("u").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "d", "cu")])
+
+        def together(a: DataFrame, b: DataFrame) -> DataFrame:
+            near = (100 + percent) * F.abs(F.col("d_u") - F.col("d_v")) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))
+            sizes = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+            joined = a.join(b.withColumnsRenamed({"hub": "hub_v", "e": "e_v"}), (F.col("hub") == F.col("hub_v")) & (F.col("e") == F.col("e_v")) & near & sizes & (F.col("cu_u") != F.col("cu_v")))
+            return joined.select("u", "v", F.col("n_u").alias("nu"), F.col("n_v").alias("nv"))
+
+        out = rare.where("apart")
+        left = (left.unionByName(together(side(out, "p1", "u"), side(rare.where("NOT linked"), "p1", "v")))
+                .unionByName(together(side(out, "p2", "u"), side(rare.where("linked"), "p1", "v"))))
+    left = untested(left)
     if not left.isEmpty():
-        texts = texts.unionByName(compressed(docs).join(others, "doc_id"))
         more = durable(verified(left.select("u", "v"), texts, words, percent))
         labels = durable(components(links.unionByName(more)))
-    discard(shared, hits, pairs, nodes, first, rest, around, groups, left)
+    discard(shared, hits, pairs, first, rest, around, groups, left)
     found = member.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component"))
     return known.join(found, "doc_id", "left").select(
