@@ -288,39 +288,29 @@ def plausible(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, pairs.schema))
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """``doc_id, z``: the texts, compressed for the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.lower(), 1) for t in raw(batch.column(1))], pa.binary())], ["doc_id", "z"])
-
-    return docs.mapInArrow(run, "doc_id long, z binary")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``u, v`` that are similar, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, recent = WordHashes(), {}
 
-        def items(doc: int, z: bytes) -> np.ndarray:
+        def items(doc: int, text: bytes) -> np.ndarray:
             if doc not in recent:
                 if len(recent) >= 16:
                     recent.clear()
-                recent[doc] = shingle_set(zlib.decompress(z).split(), hashes, words)
+                recent[doc] = shingle_set(text.lower().split(), hashes, words)
             return recent[doc]
 
         for batch in batches:
             similar = []
-            for u, v, zu, zv in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = items(u, zu), items(v, zv)
+            for u, v, tu, tv in zip(*(c.to_pylist() for c in batch.columns[:2]), *(raw(c) for c in batch.columns[2:])):
+                a, b = items(u, tu), items(v, tv)
                 common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 similar.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(similar, pa.bool_()))
 
-    left = texts.select(F.col("doc_id").alias("u"), F.col("z").alias("zu"))
-    right = texts.select(F.col("doc_id").alias("v"), F.col("z").alias("zv"))
+    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("zu"))
+    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("zv"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
 
 
@@ -337,31 +327,40 @@ def likely_sizes(docs: DataFrame, words: int) -> tuple[int, dict[int, int]]:
 
 
 def off_hub(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``hub, u, n, nh, linked, d, e``: whether a set is similar to its hub, and the ``d`` elements ``e`` that only one of them has."""
+    """``hub, u, n, nh, linked, d, own, lost, n_own``: whether a set is similar to its hub, and how the two differ.
+
+    ``d`` elements are in one of them only: the ``n_own`` elements ``own`` that the hub does not have, and elements that the set
+    lacks, of which ``lost`` holds as many as a prefix can reach (see ``prefixes``).
+    """
+
+    def lists(found: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(long(np.concatenate([*found, np.empty(0, np.uint64)]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, recent = WordHashes(), {}
         for batch in batches:
-            found, sizes = [], []
-            for hub, zu, zh in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (3, 4))):
+            own, lost, sizes = [], [], []
+            for hub, u, h in zip(batch.column(0).to_pylist(), raw(batch.column(3)), raw(batch.column(4))):
                 if hub not in recent:
                     if len(recent) >= 16:
                         recent.clear()
-                    recent[hub] = shingle_set(zlib.decompress(zh).split(), hashes, words)
-                s = shingle_set(zlib.decompress(zu).split(), hashes, words)
-                found.append(np.setxor1d(s, recent[hub], assume_unique=True))
-                sizes.append((len(s), len(recent[hub])))
-            n, nh = np.array(sizes, np.int64).reshape(-1, 2).T
-            d = np.array([len(x) for x in found], np.int64)
-            values = np.concatenate([*found, np.empty(0, np.uint64)])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d)]).astype(np.int32)), pa.array(long(values)))
+                    recent[hub] = shingle_set(h.lower().split(), hashes, words)
+                s, t = shingle_set(u.lower().split(), hashes, words), recent[hub]
+                own.append(s[t[np.minimum(np.searchsorted(t, s), len(t) - 1)] != s])
+                missing = t[s[np.minimum(np.searchsorted(s, t), len(s) - 1)] != t]
+                lost.append(missing[:max(0, len(s) * (100 - percent) // percent + 1 - len(own[-1]))])
+                sizes.append((len(s), len(t), len(own[-1]) + len(missing), len(own[-1])))
+            n, nh, d, n_own = np.array(sizes, np.int64).reshape(-1, 4).T
             linked = (100 + percent) * d <= (100 - percent) * (n + nh)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(nh), pa.array(linked), pa.array(d), lists], ["hub", "u", "n", "nh", "linked", "d", "e"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n), pa.array(nh), pa.array(linked), pa.array(d), lists(own), lists(lost), pa.array(n_own)],
+                ["hub", "u", "n", "nh", "linked", "d", "own", "lost", "n_own"])
 
-    left = texts.select(F.col("doc_id").alias("u"), F.col("z").alias("zu"))
-    right = texts.select(F.col("doc_id").alias("hub"), F.col("z").alias("zh"))
+    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("zu"))
+    right = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("zh"))
     joined = members.join(left, "u").join(right, "hub").select("hub", "u", "n", "zu", "zh")
-    return joined.mapInArrow(run, "hub long, u long, n long, nh long, linked boolean, d long, e array<long>")
+    return joined.mapInArrow(run, "hub long, u long, n long, nh long, linked boolean, d long, own array<long>, lost array<long>, n_own long")
 
 
 def prefixes(offs: DataFrame, percent: int) -> DataFrame:
@@ -370,22 +369,26 @@ def prefixes(offs: DataFrame, percent: int) -> DataFrame:
     Let ``x`` not be similar to the hub ``h``: d(x) > f (n(x) + n(h)) with f = (100 - t) / (100 + t).  If ``v`` is similar to ``x``, at
     most f (n(x) + n(v)) elements differ, so d(x) and d(v) have more than (d(v) + f (n(h) - n(v))) / 2 in common, and also at least
     d(v) less the largest difference that any set similar to ``v`` can have.  With a common part of ``o`` elements, two sets share
-    one of the first d - o + 1 elements in any common order; the order is by frequency, rare ones first.  ``p1`` is that prefix
-    for partners that are not linked to the hub, ``p2`` for any partner.  Elements that no other member has match
-    nobody; they only take up places.
+    one of the first d - o + 1 elements in any common order.  The order has own elements first, rare ones before frequent ones, then
+    those of the hub.  ``p1`` is that prefix for partners that are not linked to the hub, ``p2`` for any partner; both list elements
+    with their places in the order.  Own elements that no other member has match nobody; they only take up places.
     """
-    rows = offs.select("hub", "u", F.explode("e").alias("e"))
+    rows = offs.select("hub", "u", F.explode("own").alias("e"))
     often = rows.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = (rows.join(often, ["hub", "e"]).groupBy("hub", "u").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("often")))
+    shared = rows.join(often, ["hub", "e"]).groupBy("hub", "u").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("often"))
     any_ = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
     half = F.floor((F.col("d") * (100 + percent) + (F.col("nh") - F.col("n")) * (100 - percent)) / (2 * (100 + percent))) + 1
-    alone = F.col("d") - F.size("often")
+    often_ = F.coalesce("often", F.array().cast("array<struct<k:bigint,e:bigint>>"))
+    alone = F.col("n_own") - F.size(often_)
+    placed = F.concat(F.transform(often_, lambda s, i: F.struct(s["e"].alias("e"), (alone + i + 1).alias("place"))),
+                      F.transform("lost", lambda e, i: F.struct(e.alias("e"), (F.col("n_own") + i + 1).alias("place"))))
 
     def first(common: Column) -> Column:
-        places = F.greatest(F.lit(0), F.col("d") - common + 1 - alone).cast("int")
-        return F.transform(F.slice("often", 1, places), lambda s: s["e"])
+        return F.filter("placed", lambda s: s["place"] <= F.col("d") - common + 1)
 
-    return offs.drop("e").join(shared, ["hub", "u"]).select(*[c for c in offs.columns if c != "e"], first(F.greatest(any_, half)).alias("p1"), first(any_).alias("p2"))
+    kept = [c for c in offs.columns if c not in ("own", "lost")]
+    both = offs.drop("own").join(shared, ["hub", "u"], "left").select(*kept, placed.alias("placed"))
+    return both.select(*kept, first(F.greatest(any_, half)).alias("p1"), first(any_).alias("p2"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -414,7 +417,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = durable(plausible(met, vectors, percent))
     # Texts of the classes that share a signature with others; every comparison reads them from here.
     nodes = hits.select("u").union(hits.select("v")).distinct().withColumnRenamed("u", "doc_id")
-    texts = durable(compressed(docs).join(nodes, "doc_id"))
+    texts = durable(docs.join(nodes, "doc_id"))
 
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("common"), "v"))
     first = durable(pairs.withColumn("rank", rank).where("rank = 1").select("u", "v"))
@@ -478,12 +481,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rare = durable(prefixes(placed.join(placed.where("apart").select("hub").distinct(), "hub", "left_semi"), percent))
 
         def side(rows: DataFrame, prefix: str, name: str) -> DataFrame:
-            return rows.select("hub", F.explode(prefix).alias("e"), F.col("u").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "d", "cu")])
+            kept = rows.select("hub", F.explode(prefix).alias("p"), F.col("u").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "d", "cu")])
+            return kept.select(*[c for c in kept.columns if c != "p"], "p.e", F.col("p.place").alias(f"place_{name}"))
 
         def together(a: DataFrame, b: DataFrame) -> DataFrame:
-            near = (100 + percent) * F.abs(F.col("d_u") - F.col("d_v")) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))
             sizes = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-            joined = a.join(b.withColumnsRenamed({"hub": "hub_v", "e": "e_v"}), (F.col("hub") == F.col("hub_v")) & (F.col("e") == F.col("e_v")) & near & sizes & (F.col("cu_u") != F.col("cu_v")))
+            # If this is the first element that both have, no more than the shorter rest can follow.
+            most = 1 + F.least(F.col("d_u") - F.col("place_u"), F.col("d_v") - F.col("place_v"))
+            enough = (100 + percent) * (F.col("d_u") + F.col("d_v") - 2 * most) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))
+            joined = a.join(b.withColumnsRenamed({"hub": "hub_v", "e": "e_v"}), (F.col("hub") == F.col("hub_v")) & (F.col("e") == F.col("e_v")) & enough & sizes & (F.col("cu_u") != F.col("cu_v")))
             return joined.select("u", "v", F.col("n_u").alias("nu"), F.col("n_v").alias("nv"))
 
         out = rare.where("apart")
