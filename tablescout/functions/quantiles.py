@@ -13,7 +13,7 @@ for that are narrowed together in the same manner.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -125,23 +125,36 @@ def _counted(x: DataFrame, brackets: Sequence[_Bracket], bounds: Sequence[Sequen
     return out
 
 
+def _value(column: str) -> Column:
+    """The column as a double, NaN as missing."""
+    return F.nullif(F.col("`" + column.replace("`", "``") + "`").cast("double"), F.lit(float("nan")))
+
+
+def quantile_start(columns: Sequence[str], probs: Sequence[float]) -> list[Column]:
+    """Aggregates that ``column_quantiles`` begins with, for a caller that reads the columns anyway."""
+    fractions = sorted({min(1.0, max(0.0, p + side * _MARGIN)) for p in probs for side in (-1, 1)})
+    return [f for c in columns for f in (F.count(_value(c)).alias(f"n_{c}"), _sketched(_value(c), fractions).alias(f"q_{c}"))]
+
+
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = HELD_VALUES,
-    counts: dict[str, int] | None = None,
+    counts: dict[str, int] | None = None, start: Mapping | None = None,
 ) -> dict[str, list[float] | None]:
     """Quantiles of whole columns, returned as a few numbers per column; NaN counts as missing.
 
     ``exact_rows`` is the number of values of a bracket that a task may hold.  ``counts`` (non-null values per column) is
-    taken on trust for columns that have none.
+    taken on trust for columns that have none.  ``start`` holds what ``quantile_start`` gave for the same rows.
     """
     columns = [c for c in columns if counts is None or counts[c] > 0]
     out: dict[str, list[float] | None] = {c: None for c in (counts or columns)}
     if not columns:
         return out
     names = {f"x{i}": c for i, c in enumerate(columns)}
-    x = df.select(*[F.nullif(F.col("`" + c.replace("`", "``") + "`").cast("double"), F.lit(float("nan"))).alias(n) for n, c in names.items()])
-    fractions = sorted({min(1.0, max(0.0, p + side * _MARGIN)) for p in probs for side in (-1, 1)})
-    first = x.agg(*[f for n in names for f in (F.count(n).alias(f"n_{n}"), _sketched(F.col(n), fractions).alias(f"q_{n}"))]).first()
+    x = df.select(*[_value(c).alias(n) for n, c in names.items()])
+    if start is None:
+        first = x.agg(*quantile_start(list(names), probs)).first()
+    else:
+        first = {f"{kind}_{n}": start[f"{kind}_{c}"] for n, c in names.items() for kind in ("n", "q")}
     totals = {n: first[f"n_{n}"] for n in names if first[f"n_{n}"]}
     ranks = {n: tuple(sorted({r for p in probs for r in (math.floor(p * (t - 1)), math.ceil(p * (t - 1)))})) for n, t in totals.items()}
     brackets = [_Bracket(n, ranks[n], t) for n, t in totals.items()]

@@ -11,14 +11,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import (
     column_quantiles, numeric_columns, parse_date, parse_measure, string_columns, strip, temporal_columns,
 )
-from tablescout.functions.quantiles import HELD_VALUES
+from tablescout.functions.quantiles import HELD_VALUES, quantile_start
+from tablescout.operators.profile import quoted
 from tablescout.operators.windows import forward_fill, keep_first
 from tablescout.session import durable
 
@@ -115,9 +116,12 @@ def standardise_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns({k: strip(F.col(k).cast("string")) for k in present}) if present else df
 
 
+QUARTILES = (0.25, 0.75)
+
+
 def outlier_bounds(df: DataFrame, columns: Sequence[str], spread: float = 3.0,
-                   exact_rows: int = HELD_VALUES) -> dict[str, tuple[float, float]]:
-    quartiles = column_quantiles(df, columns, [0.25, 0.75], exact_rows)
+                   exact_rows: int = HELD_VALUES, start: Mapping | None = None) -> dict[str, tuple[float, float]]:
+    quartiles = column_quantiles(df, columns, QUARTILES, exact_rows, start=start)
     return {c: (q[0] - spread * (q[1] - q[0]), q[1] + spread * (q[1] - q[0])) for c, q in quartiles.items() if q}
 
 
@@ -144,7 +148,7 @@ def case_counts(columns: Sequence[str]) -> list[Column]:
     """Values written all in upper or all in lower case; values without letters count as neither."""
     out = []
     for c in columns:
-        text = strip(F.col(c))
+        text = strip(F.col(quoted(c)))
         letters = F.upper(text) != F.lower(text)
         out += [F.count_if(letters & (text == F.upper(text))).alias(f"{c}__upper"),
                 F.count_if(letters & (text == F.lower(text))).alias(f"{c}__lower")]
@@ -155,20 +159,28 @@ def standardise_case(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
     """Bring a dimension to the case that outnumbers the other more than two to one."""
     if not columns:
         return df, {}
-    row = df.agg(*case_counts(columns)).first()
-    decided = {}
+    decided = decided_cases(columns, df.agg(*case_counts(columns)).first())
+    return in_case(df, decided), decided
+
+
+def decided_cases(columns: Sequence[str], counts: Mapping) -> dict[str, str]:
+    out = {}
     for c in columns:
-        upper, lower = row[f"{c}__upper"], row[f"{c}__lower"]
+        upper, lower = counts[f"{c}__upper"], counts[f"{c}__lower"]
         if upper > 2 * lower:
-            decided[c] = "upper"
+            out[c] = "upper"
         elif lower > 2 * upper:
-            decided[c] = "lower"
-    changes = {c: (F.upper if case == "upper" else F.lower)(F.col(c)) for c, case in decided.items()}
-    return (df.withColumns(changes) if changes else df), decided
+            out[c] = "lower"
+    return out
 
 
-def quality_checks(df: DataFrame, semantics: Semantics) -> DataFrame:
-    """Missing keys and negative values where a measure cannot be negative: one row per check."""
+def in_case(df: DataFrame, cases: Mapping[str, str]) -> DataFrame:
+    changes = {c: (F.upper if case == "upper" else F.lower)(F.col(quoted(c))) for c, case in cases.items()}
+    return df.withColumns(changes) if changes else df
+
+
+def check_counts(df: DataFrame, semantics: Semantics) -> list[tuple[str, str, str, Column]]:
+    """Severity, column, problem and the aggregate that counts it, for every check of a table."""
     numeric = set(numeric_columns(df))
     checks = []
     for c in df.columns:
@@ -176,10 +188,16 @@ def quality_checks(df: DataFrame, semantics: Semantics) -> DataFrame:
         if meaning is None:
             continue
         if meaning.is_primary_key or meaning.is_foreign_key:
-            checks.append(("issue", c, "missing key", F.count_if(F.col(c).isNull())))
+            checks.append(("issue", c, "missing key", F.count_if(F.col(quoted(c)).isNull())))
         words = meaning.business_meaning.lower()
         if meaning.semantic_type == "measure" and c in numeric and any(w in words for w in NON_NEGATIVE):
-            checks.append(("warning", c, "negative value", F.count_if(F.col(c) < 0)))
+            checks.append(("warning", c, "negative value", F.count_if(F.col(quoted(c)) < 0)))
+    return checks
+
+
+def quality_checks(df: DataFrame, semantics: Semantics) -> DataFrame:
+    """Missing keys and negative values where a measure cannot be negative: one row per check."""
+    checks = check_counts(df, semantics)
     if not checks:
         return df.sparkSession.createDataFrame([], "severity string, column string, problem string, n long")
     wide = df.agg(*[n.alias(f"n{i}") for i, (_, _, _, n) in enumerate(checks)])
@@ -210,7 +228,9 @@ def clean_table(df: DataFrame, semantics: Semantics, edges: Sequence[Mapping] =
                 order: Sequence[str] | None = None, pk_only: bool = False) -> tuple[DataFrame, CleaningReport]:
     """All steps in order: types, missing values, duplicates, keys, outliers, text, checks.
 
-    The table is materialised once, after the duplicates are gone; the later steps read that copy.
+    The table is read once for its missing values and written once, after the duplicates are gone.  What the later steps must
+    know (rows left, case of texts, ranges, check counts, sketches of the measures) is observed by that one write; only
+    the exact quartiles look at the measures once more.
     """
     report = CleaningReport()
     keys = key_columns(edges, dataset)
@@ -233,21 +253,30 @@ def clean_table(df: DataFrame, semantics: Semantics, edges: Sequence[Mapping] =
         kept = forward_fill(kept, dates, [], list(order))
 
     unique = dedup_keys(kept, semantics, pk_only)
-    deduped = durable(remove_duplicates(kept, unique, order))
-    n = deduped.count()
-    report.add("remove_duplicates", "rows_removed", stats["_rows"] - n, ", ".join(unique) or "all columns")
-
-    out = standardise_keys(deduped, keys)
+    single = remove_duplicates(kept, unique, order)
+    measures = [c for c in _typed(single, semantics, "measure") if c in numeric_columns(single) and c not in keys]
+    dimensions = [c for c in _typed(single, semantics, "dimension") if c in string_columns(single) or c in keys]
+    counted = check_counts(standardise_keys(single, keys), semantics)
+    seen = Observation()
+    ranges = [f for c in measures for f in (F.min(F.col(quoted(c)).cast("double")).alias(f"low_{c}"), F.max(F.col(quoted(c)).cast("double")).alias(f"high_{c}"))]
+    deduped = durable(standardise_keys(single, keys).observe(
+        seen, F.count(F.lit(1)).alias("_rows"), *case_counts(dimensions), *ranges, *quantile_start(measures, QUARTILES),
+        *[n.alias(f"check_{i}") for i, (_, _, _, n) in enumerate(counted)]))
+    known = seen.get
+    report.add("remove_duplicates", "rows_removed", stats["_rows"] - known["_rows"], ", ".join(unique) or "all columns")
+
+    out = deduped
     report.add("standardise_keys", "columns_standardised", len([k for k in keys if k in out.columns]), ", ".join(keys))
-    measures = [c for c in _typed(out, semantics, "measure") if c in numeric_columns(out)]
-    out, flagged = flag_outliers(out, measures) if measures else (out, [])
+    bounds = outlier_bounds(out, measures, start=known) if measures else {}
+    bounds = {c: (low, high) for c, (low, high) in bounds.items() if known[f"low_{c}"] < low or known[f"high_{c}"] > high}
+    out, flagged = flag_outliers(out, measures, bounds, always=True) if bounds else (out, [])
     report.add("handle_outliers", "columns_flagged", len(flagged), ", ".join(flagged))
     out = trim_text(out)
-    dimensions = [c for c in _typed(out, semantics, "dimension") if c in string_columns(out)]
-    out, cases = standardise_case(out, dimensions)
+    cases = decided_cases(dimensions, known)
+    out = in_case(out, cases)
     report.add("standardise_formats", "columns_standardised", len(cases),
                ", ".join(f"{c}:{case}" for c, case in sorted(cases.items())))
-    checks = [r.asDict() for r in quality_checks(out, semantics).collect()]
+    checks = [{"severity": s, "column": c, "problem": p, "n": known[f"check_{i}"]} for i, (s, c, p, _) in enumerate(counted)]
     for r in checks:
         if r["n"]:
             report.add("data_validation", f"{r['severity']}: {r['problem']}", r["n"], r["column"])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescout.functions import column_quantiles
-from tablescout.operators import correlate, profile
+from tablescout.operators import clean, correlate, profile
 
 
 def jobs_of(spark, action):
@@ -119,3 +119,27 @@ def test_profiles_of_columns_with_dots(spark):
     assert profile.boolean_stats(df).first().true_count == 5
     assert {r.column: r.most_common for r in profile.categorical_summary(df).collect()} == {"t.x": "a"}
     assert profile.skewed_columns(df).count() == 2 and profile.constant_columns(df).count() == 0 and profile.frequency(df, "t.x").first().freq == 5
+
+
+def test_cleaning_reads_the_table_twice(spark):
+    n = 3000
+    df = spark.range(n).select(
+        (F.col("id") % 2900).cast("string").alias("order_id"), F.when(F.col("id") % 7 > 0, F.col("id") * 1.5).alias("total price"),
+        F.when(F.col("id") % 3 > 0, "NORTH").otherwise("south").alias("region"), F.when(F.col("id") == 2500, 1e9).otherwise(F.col("id") % 10 * 1.0).alias("odd"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    meaning = {"order_id": clean.ColumnMeaning("key", True), "total price": clean.ColumnMeaning("measure", business_meaning="total price"),
+               "region": clean.ColumnMeaning("dimension"), "odd": clean.ColumnMeaning("measure")}
+    out, report = clean.clean_table(df.mapInArrow(counted, df.schema), meaning)
+    assert read.value == 2 * n
+    steps = {(s, m): (k, detail) for s, m, k, detail in report.steps}
+    assert steps["remove_duplicates", "rows_removed"] == (100, "order_id")
+    assert steps["handle_outliers", "columns_flagged"] == (1, "odd") and steps["standardise_formats", "columns_standardised"] == (1, "region:upper")
+    rows = out.collect()
+    assert len(rows) == 2900 and {r.region for r in rows} == {"NORTH", "SOUTH"} and sum(r.odd_is_outlier for r in rows) == 1
+    assert {r._data_quality_flag for r in rows} == {"clean"}
