@@ -114,6 +114,50 @@ def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+# The share of an item's 5-word shingles that occur in a document, for every pair that shares one; 80 % or more counts.
+# Items of fewer words are found as they stand.  Rows of one id are searched, and searched for, each by itself.
+def _rows(table_name: str, key: str) -> str:
+    return rf"""SELECT row_number() OVER () AS row_no, {key}, w FROM (SELECT DISTINCT {key}, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table_name} WHERE {key} IS NOT NULL)"""
+
+
+_SHINGLES = "unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))"
+ORACLES["op4_benchmark_decontamination"] = f"""
+WITH d AS ({_rows("documents", "doc_id")}), b AS ({_rows("benchmark", "item_id")}),
+i AS (SELECT DISTINCT row_no AS item_row, item_id, {_SHINGLES} AS s FROM b WHERE len(w) >= 5),
+n AS (SELECT item_row, count(*) AS item_shingles FROM i GROUP BY item_row),
+g AS (SELECT DISTINCT row_no AS doc_row, doc_id, {_SHINGLES} AS s FROM d WHERE len(w) >= 5),
+hits AS (SELECT doc_id, item_id, count(*) AS shared, item_shingles FROM g JOIN i USING (s) JOIN n USING (item_row)
+         GROUP BY doc_row, doc_id, item_row, item_id, item_shingles HAVING count(*) * 100 >= item_shingles * 80
+         UNION ALL SELECT doc_id, item_id, 1, 1 FROM d JOIN b ON len(b.w) BETWEEN 1 AND 4
+         AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' '))
+SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment FROM hits
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / item_shingles DESC, shared DESC, item_shingles DESC) = 1
+"""
+
+_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    # The labels of this corpus are numbered like its pages; a page of low quality is a bad outcome.
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    judged = url_filter.judge(table(spark, folder, "pages"), outcomes, URL_RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("reputation", "bound")})
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    talks = table(spark, folder, "conversations")
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(talks)), talks)
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 # The share of an item's 5-word shingles that occur in a document, for every pair that shares one; 80 % or more counts.
 ORACLES["op4_benchmark_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
