@@ -11,7 +11,7 @@ are ranked.  Shards of at most ``EXHAUSTIVE`` nodes are scored whole.
 
 Edge cases: vectors that are null, empty, all zero or hold null or non-finite components take no part; vectors
 are compared with those of the same length only; rows without a ``vec_id`` are left out; rows that repeat a
-``vec_id`` are one (the smallest vector counts); ties go to the smaller ``vec_id``: each node keeps its ``k + 1``
+``vec_id`` are one (the smallest of its vectors that take part counts); ties go to the smaller ``vec_id``: each node keeps its ``k + 1``
 smallest ids, more of them can never be in a result of k.
 """
 
@@ -236,7 +236,7 @@ def search(vectors: DataFrame, queries: DataFrame, index: DataFrame, k: int, set
 
 def nearest(table: DataFrame, every: int, k: int = 20, settings: Settings = Settings()) -> DataFrame:
     """The k nearest of the rows whose id is divisible by ``every``, among all rows."""
-    rows = one_row_per_id(only(table, "vec_id", "embedding"), "embedding")
-    vectors = durable(rows.where(usable(F.col("embedding")))
+    rows = only(table, "vec_id", "embedding").where(usable(F.col("embedding")))
+    vectors = durable(one_row_per_id(rows, "embedding")
                       .select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")))
     return search(vectors, vectors.where(F.col("vec_id") % every == 0), build_index(vectors, k, settings), k, settings)
