@@ -14,7 +14,7 @@ probabilities go to the language that comes first in the alphabet.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +132,8 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     texts = only(docs, "doc_id", "text")
     if model is None:
         return texts.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # As plain arrays: broadcasts are not pickled by value, and executors have no copy of this package.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
 
     def one(m: LanguageModel, text: str | None) -> tuple[str, float]:
         if not letters(text):
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return m.languages[best], float(p[best])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = LanguageModel(*shared.value)
         for batch in batches:
             out = [one(m, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -16,10 +16,11 @@ rows are scored each; equal similarities are taken in the order of the labelled
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,25 +99,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, rank: int
     return QualityModel(idf.astype(np.float32), basis, unit(x @ basis), np.array([r["vote"] for r in sample], np.float32), bits, neighbours)
 
 
+def nearest(like: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest values of each row in rising order; of equal values at the border the first ones."""
+    least = -np.partition(-like, k - 1, axis=1)[:, k - 1:k]
+    more, equal = like > least, like == least
+    room = k - more.sum(axis=1, keepdims=True)
+    chosen = more | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room)
+    return np.nonzero(chosen)[1].reshape(len(like), k)
+
+
 def vote(model: QualityModel, counts: np.ndarray) -> np.ndarray:
     """Scores of a block of documents."""
     like = unit(weights(counts, model.idf) @ model.basis) @ model.vectors.T
-    k = min(model.neighbours, like.shape[1])
-    near = np.argsort(-like, axis=1, kind="stable")[:, :k] if like.shape[1] <= 64 else np.argpartition(-like, k - 1, axis=1)[:, :k]
+    near = nearest(like, min(model.neighbours, like.shape[1]))
     w = np.maximum(np.take_along_axis(like, near, 1), 0)
     total = w.sum(axis=1)
     return np.divide((w * model.votes[near]).sum(axis=1), total, out=np.zeros(len(w), np.float32), where=total > 0).astype(np.float64)
 
 
+def shared_model(docs: DataFrame, model: QualityModel) -> Broadcast:
+    """The model as plain arrays: broadcasts are not pickled by value, and executors have no copy of this package."""
+    return docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
+
+
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """``doc_id, score`` of every document, from its text alone."""
     texts = only(docs, "doc_id", "text")
     if model is None:
         return texts.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_model(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = QualityModel(*shared.value)
         shapes = Shapes(m.bits)
         for batch in batches:
             texts = batch.column(1)
@@ -137,11 +151,11 @@ def accepted(docs: DataFrame, model: QualityModel | None, least: float = 0.5) ->
     if model is None:
         return docs
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_model(docs, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = QualityModel(*shared.value)
         shapes = Shapes(m.bits)
         for batch in batches:
             for i in range(0, batch.num_rows, BLOCK):
