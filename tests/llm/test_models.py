@@ -1,6 +1,9 @@
 """Language model, classifiers, packing, nearest vectors, token counts and license notices."""
 
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -226,11 +229,53 @@ def test_votes_equal_brute_force():
         assert math.isclose(got, sum(s * v for s, v in like) / sum(s for s, _ in like), rel_tol=1e-4)
 
 
+def test_equal_votes_are_taken_in_the_order_of_the_sample():
+    rng = np.random.default_rng(5)
+    for columns in (10, 64, 65, 300):
+        like = rng.integers(0, 4, (40, columns)).astype(np.float32) / 4
+        for k in (1, 7, columns):
+            expected = np.sort(np.argsort(-like, axis=1, kind="stable")[:, :k], axis=1)
+            assert np.array_equal(quality.nearest(like, k), expected)
+
+
+def test_models_reach_workers_that_have_no_copy_of_the_package(documents, tmp_path):
+    """Another driver, started elsewhere, whose workers cannot import the package."""
+    script = tmp_path / "elsewhere.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))!r})
+from tablescout.llm import language_id, quality
+from tablescout.session import build_session
+spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": {str(tmp_path / 'checkpoint')!r}}})
+docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+assert quality.score(docs, quality.fit(docs, labels)).count() == 60 == quality.accepted(docs, quality.fit(docs, labels), 0.0).count()
+assert language_id.predict(docs, language_id.fit(docs)).where("lang_pred <> 'und'").count() > 50
+def missing(batches):
+    try:
+        import tablescout
+    except ModuleNotFoundError:
+        yield from batches
+assert docs.select("doc_id").mapInArrow(missing, "doc_id long").count() == 60, "the worker found the package"
+""")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_ids_with_usable_and_unusable_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1, "a"), (1, [0.0, 0.0], 1, "a"), (1, [1.0, 0.5], 1, "a"), (2, [float("-inf"), 1.0], 1, "a"), (2, [0.3, 0.3], 1, "a"),
+            (3, [0.9, 0.0], 1, "a"), (3, [0.1, 0.0], 1, "a")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score string")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(table, 20, 20).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.3), (0, 3, 3, 0.1)]
+
+
 @pytest.fixture(scope="module")
 def unigram():
     pieces = token_counts.vocabulary(PIECES)
     tok = Tokenizer(models.Unigram(pieces, 0, True))
-    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     return pieces, tok
 
 
@@ -249,13 +294,38 @@ def test_ties_and_unknown_characters(whole_bytes):
     pieces = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -3.0), ("ba", -2.0), ("aa", -2.0)]
     pieces += [(f"<0x{b:02X}>", -9.0) for b in range(256)] * whole_bytes
     tok = Tokenizer(models.Unigram(pieces, 0, whole_bytes))
-    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     counter, rng = token_counts.UnigramCounter(pieces), np.random.default_rng(8)
     for _ in range(2000):
         text = "".join(rng.choice(list("ab zyé漢"), int(rng.integers(0, 12))))
         assert counter.text(text)[0] == len(tok.encode(text).ids), text
 
 
+def test_runs_of_blanks_and_spelled_control_pieces(spark, unigram):
+    _, tok = unigram
+    texts = ["a    b", "    return x", "a" + " " * 40 + "b", " ", "  ", "\t  x  ", "tab\t    x", "end  "]
+    rows = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(tok.encode(t).ids) for i, t in enumerate(texts)}
+    counter = token_counts.UnigramCounter(token_counts.vocabulary(PIECES), special=token_counts.special_pieces(PIECES))
+    assert len(token_counts.special_pieces(PIECES)) == 259
+    for spelled in ("</s>", "<s>", "<unk>", "<0x0A>"):
+        assert counter.text(spelled)[0] > 2  # no single token, as the piece of that name would be
+
+
+@pytest.mark.parametrize("pieces", [
+    [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("▁▁", -2.5), ("▁▁▁", -3.0), ("▁a", -2.2)],  # runs of marks
+    [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("a▁", -1.5), ("b▁▁a", -1.2), ("▁a", -2.2)],  # pieces that reach over a mark
+    [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -1.5)],  # a vocabulary without the mark
+])
+def test_marks_inside_pieces(pieces):
+    tok = Tokenizer(models.Unigram(pieces, 0, False))
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    counter, rng = token_counts.UnigramCounter(pieces, special=frozenset(["<unk>"])), np.random.default_rng(9)
+    for _ in range(1000):
+        text = "".join(rng.choice(list("ab  z"), int(rng.integers(0, 14))))
+        assert counter.text(text)[0] == len(tok.encode(text).ids), text
+
+
 def test_license_notices(spark, odd, nothing):
     apache, mit = license_scan.TEMPLATES["apache-2.0"], license_scan.TEMPLATES["mit-text"]
     changed = mit.replace("merge, publish,", "merge, adapt, publish,").replace("free of charge", "FREE of cost").replace("persons", "people")

@@ -225,7 +225,11 @@ def test_shingles_of_short_texts():
 
 def brute_contained(docs: dict, items: dict, percent: int = 80) -> set:
     d, b = brute_sets(docs), brute_sets(items)
-    return {(x, y, len(b[y] & d[x]), len(b[y])) for x in d for y in b if b[y] and 100 * len(b[y] & d[x]) >= percent * len(b[y])}
+    out = {(x, y, len(b[y] & d[x]), len(b[y])) for x in d for y in b if b[y] and 100 * len(b[y] & d[x]) >= percent * len(b[y])}
+    line = lambda t: b" " + b" ".join((t or "").encode().lower().split()) + b" "
+    lines = {x: line(t) for x, t in docs.items()}
+    short = {y: line(t) for y, t in items.items() if 0 < len((t or "").split()) < 5}
+    return out | {(x, y, 1, 1) for x, t in lines.items() for y, s in short.items() if s in t}
 
 
 def test_containment_equals_brute_force(spark, odd, nothing):
@@ -245,3 +249,79 @@ def test_containment_equals_brute_force(spark, odd, nothing):
     assert run(table(docs, "doc_id"), table(items, "item_id")) == brute_contained(docs, items)
     assert run(odd, table(items, "item_id")) == brute_contained(by_id(odd), items)
     assert run(nothing, table(items, "item_id")) == run(odd, table(items, "item_id").where("1 = 0")) == set()
+
+
+def dense_components(sets: dict, percent: int = 80) -> dict:
+    """As ``brute_components``, by a product of matrices: for many sets that share most of what they share."""
+    ids, often = sorted(sets), Counter(g for s in sets.values() for g in s)
+    place = {g: i for i, g in enumerate(g for g, n in often.items() if n > 1)}
+    member = np.zeros((len(ids), len(place)), np.float32)
+    for row, d in enumerate(ids):
+        member[row, [place[g] for g in sets[d] if g in place]] = 1
+    size = np.array([len(sets[d]) for d in ids])
+    root = np.arange(len(ids))
+    common = member @ member.T
+    linked = 100 * common >= percent * (size[:, None] + size - common)
+    while True:
+        low = np.where(linked, root, len(ids)).min(axis=1)
+        low = np.minimum(root, low)[np.minimum(root, low)]
+        if (low == root).all():
+            return {d: (int(size[i]), ids[root[i]]) for i, d in enumerate(ids)}
+        root = low
+
+
+def edited(rng, words: list, edits: int) -> list:
+    words = list(words)
+    for _ in range(edits):
+        at = int(rng.integers(len(words)))
+        kind = rng.integers(3)
+        words[at:at + (kind != 0)] = [] if kind == 2 else [f"e{rng.integers(10**9)}"]
+    return words
+
+
+def test_large_groups_of_partly_similar_copies(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    one = [f"t{i}" for i in range(150)]
+    two = [w if i % 10 < 7 else f"u{i}" for i, w in enumerate(one)]  # another text that shares most words, few shingles
+    near_one = one[:110] + [f"v{i}" for i in range(40)]  # a text whose copies share three quarters with those of the first
+    texts = [edited(rng, one, int(rng.integers(0, 9))) for _ in range(1500)]
+    texts += [edited(rng, near_one, int(rng.integers(0, 7))) for _ in range(500)] + [edited(rng, two, int(rng.integers(0, 6))) for _ in range(200)]
+    for i in range(300):  # a passage that texts of all sizes quote
+        own = [f"p{i}x{j}" for j in range(int(rng.integers(20, 160)))]
+        texts.append(own[:10] + one[20:20 + int(rng.integers(40, 100))] + own[10:])
+    ids = rng.permutation(len(texts)).tolist()
+    docs = {d: " ".join(t) for d, t in zip(ids, texts)}
+    formed = []
+    plausible = jaccard_join.plausible
+    monkeypatch.setattr(jaccard_join, "plausible", lambda pairs, *a: formed.append(pairs.count()) or plausible(pairs, *a))
+    got = near(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5))
+    expected = dense_components(brute_sets(docs))
+    assert got == expected
+    parts = Counter(c for _, c in expected.values())
+    assert max(parts.values()) > 500 and sum(n == 1 for n in parts.values()) > 400  # one large component, many texts apart
+    assert sum(formed) < 40 * len(docs)  # all pairs would be half a thousand times as many as texts
+
+
+def test_many_equal_frequent_parts_in_several_tasks(spark):
+    """Every text of a group is apart from all others although they share a frequent passage of most of their length."""
+    rng = np.random.default_rng(22)
+    passage = [f"q{i}" for i in range(90)]
+    docs = {i: " ".join(passage + [f"o{i}x{j}" for j in range(int(rng.integers(24, 60)))]) for i in range(400)}
+    docs |= {1000 + i: " ".join(docs[i].split()[:-2]) for i in range(40)}
+    got = near(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7))
+    assert got == dense_components(brute_sets(docs))
+    assert all(got[1000 + i][1] == i for i in range(40))
+
+
+def test_short_items_and_rows_that_share_an_id(spark):
+    docs = [(1, "so it is said that The answer is Seven indeed and that is all there is to it"), (2, "seven"), (3, "the answer\tis\nseven"), (4, "the answer is seventy"),
+            (5, "clean words only here and nothing else to be found"), (5, "but this row of five says the answer is seven"), (6, None), (None, "seven")]
+    long = "one two three four five six seven eight nine ten"
+    docs += [(7, "x " + long + " y"), (7, "unrelated text of the same id which holds no item at all")]
+    items = [(10, "the answer is seven"), (11, "seven"), (12, "is"), (13, long), (13, "another text of this item that nobody holds at all"), (14, ""), (15, "answer is seven indeed and")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.shared, r.item_shingles, r.containment) for r in decontaminate.contained(d, i).collect()}
+    short = (1, 1, 1.0)
+    assert got == {**{(x, 10): short for x in (1, 3, 5)}, **{(x, 11): short for x in (1, 2, 3, 5, 7)}, **{(x, 12): short for x in (1, 3, 4, 5)},
+                   (7, 13): (6, 6, 1.0), (1, 15): short}
