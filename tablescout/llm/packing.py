@@ -7,7 +7,7 @@ before, of which there is one number each), and the stream is cut every ``length
 end is cut into powers of two, which need no padding, so nothing is padded at all, and neighbours on the curve
 share sequences.
 
-Tokens are stored once, compressed; only ids, keys and lengths are sorted.
+Tokens are stored once; only row numbers, keys and lengths are sorted.
 
 Edge cases: a null or empty text is the end token alone; rows that repeat a ``doc_id`` are packed each; rows
 without one are left out; equal keys are ordered by ``doc_id``; a text longer than a sequence is cut over
@@ -20,7 +20,7 @@ import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,27 @@ END = 2
 DIMENSIONS, BITS, HASHED = 4, 12, 512
 
 
+class Pieces(dict):
+    """The ids of each distinct piece of text; forgets all when it holds ``limit`` of them."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.encode(piece)
+        if len(piece) < 64:
+            self[piece] = value
+        return value
+
+    def joined(self, pieces: list[str]) -> bytes:
+        if len(self) > self.limit:
+            self.clear()
+        return b"".join(map(self.__getitem__, pieces))
+
+
 class Tokens:
-    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``, as numbers of type ``kind``.
 
     A text of plain Latin characters is cut by the tokenizer's own pattern and each distinct piece is encoded
     once per task; any other text, or one that holds a special token, goes through the tokenizer whole.
@@ -46,10 +65,11 @@ class Tokens:
     #: Code points for which lower-casing and the classes of the pattern are the same in all libraries.
     PLAIN = [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x17F)]
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000, kind: str = "<u4") -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.limit, self.cache, self.cuts = Tokenizer.from_file(path), limit, {}, None
+        self.whole, self.kind, self.cuts = Tokenizer.from_file(path), kind, None
+        self.pieces = Pieces(self._piece, limit)
         spec = json.loads(self.whole.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
         plain = [chr(c) for c in self.PLAIN]
@@ -66,19 +86,13 @@ class Tokens:
             self.bytes = {ord(c): step.pre_tokenize_str(c)[0][0] for c in plain if not c.isspace()}
 
     def _piece(self, piece: str) -> bytes:
-        out = np.array([t.id for t in self.whole.model.tokenize(piece.translate(self.bytes))], "<u4").tobytes()
-        if len(piece) < 64:
-            self.cache[piece] = out
-        return out
+        return np.array([t.id for t in self.whole.model.tokenize(piece.translate(self.bytes))], self.kind).tobytes()
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
+        """The ids, one after another."""
         if self.cuts is None or self.odd.search(text) or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        get = self.cache.get
-        return b"".join([get(p) or self._piece(p) for p in self.cuts.findall(text.lower())])
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.pieces.joined(self.cuts.findall(text.lower()))
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -113,9 +127,14 @@ def directions() -> np.ndarray:
     return np.random.default_rng(5).standard_normal((HASHED, DIMENSIONS))
 
 
-def place(ids: np.ndarray) -> np.ndarray:
+def slots(size: int) -> np.ndarray:
+    """The hashed feature of every id."""
+    return (mix(np.arange(size, dtype=np.uint64)) >> np.uint64(40)).astype(np.int64) % HASHED
+
+
+def place(ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Hashed token counts of a document, of length one."""
-    v = np.log1p(np.bincount((mix(ids.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % HASHED, minlength=HASHED))
+    v = np.log1p(np.bincount(slot[ids], minlength=HASHED))
     return v / max(np.linalg.norm(v), 1e-12)
 
 
@@ -127,29 +146,34 @@ def keys(vectors: np.ndarray, basis: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """``row, doc_id, key, n, ids``: curve key, number of ids with the end token, and the ids, compressed."""
+    """``row, doc_id, key, n, ids``: curve key, number of ids with the end token, and the ids."""
+    size = vocabulary_size(path, end)
+    kind = id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, basis = Tokens(path), directions()
-        last = np.array([end], "<u4").tobytes()
+        tokens, basis, slot = Tokens(path, kind=kind), directions(), slots(size)
+        last = np.array([end], kind).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 ids = [tokens.ids(t or "") + last for t in part.column(1).to_pylist()]
-                vectors = np.array([place(np.frombuffer(b, "<u4")) for b in ids])
+                vectors = np.array([place(np.frombuffer(b, kind), slot) for b in ids])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys(vectors, basis)), pa.array([len(b) // 4 for b in ids], pa.int64()),
-                     pa.array([zlib.compress(np.frombuffer(b, "<u4").astype("<u2").tobytes() if max_id < 65536 else b, 1) for b in ids], pa.binary())],
+                    [part.column(0), pa.array(keys(vectors, basis)), pa.array([len(b) // len(last) for b in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "key", "n", "ids"])
 
-    max_id = vocabulary_size(path, end)
     return docs.mapInArrow(run, "doc_id long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def vocabulary_size(path: str, end: int) -> int:
     from tokenizers import Tokenizer
 
-    return max(Tokenizer.from_file(path).get_vocab_size(), end + 1)
+    return max(*Tokenizer.from_file(path).get_vocab().values(), end) + 1
+
+
+def id_type(size: int) -> str:
+    """The smallest number type that holds all ids below ``size``."""
+    return "<u2" if size <= 65536 else "<u4"
 
 
 def positions(stored: DataFrame, partitions: int) -> tuple[DataFrame, int]:
@@ -211,13 +235,13 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_
     spark = docs.sparkSession
     stored = durable(tokenised(only(docs, "doc_id", "text"), path, end))
     at, total = positions(stored, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    small = vocabulary_size(path, end) < 65536
+    kind = id_type(vocabulary_size(path, end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for doc, n, begin, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(zlib.decompress(blob), "<u2" if small else "<u4").astype("<u4")
+                ids = np.frombuffer(blob, kind).astype("<u4")
                 edges = borders(begin, n, total, length)
                 for a, b in zip(edges, edges[1:]):
                     piece = ids[a - begin:b - begin]
