@@ -413,30 +413,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hits = durable(shared.where("leader is not null").join(m1, "doc").join(m2, "leader").where("u != v").select("sig", "u", "v", "nu", "nv"))
     vectors = classes.select("class_id", "v")
     fits = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
-    met = hits.where(fits).groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("common"))
-    pairs = durable(plausible(met, vectors, percent))
+    pairs = durable(plausible(hits.where(fits).select("u", "v", "nu", "nv").distinct(), vectors, percent))
     # Texts of the classes that share a signature with others; every comparison reads them from here.
     nodes = hits.select("u").union(hits.select("v")).distinct().withColumnRenamed("u", "doc_id")
     texts = durable(docs.join(nodes, "doc_id"))
 
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("common"), "v"))
-    first = durable(pairs.withColumn("rank", rank).where("rank = 1").select("u", "v"))
-    links = durable(verified(first, texts, words, percent))
+    links = durable(verified(pairs.select("u", "v"), texts, words, percent))
     labels = durable(components(links))
 
-    def apart(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidate pairs whose ends are in different components, with the components."""
-        cu = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        cv = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        out = candidates.join(cu, "u", "left").join(cv, "v", "left")
-        return out.select(*candidates.columns, F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu != cv")
-
-    rest = durable(apart(pairs.select("u", "v"), labels).join(first, ["u", "v"], "left_anti").select("u", "v"))
-    second = durable(verified(rest, texts, words, percent))
-    links = links.unionByName(second)
-    if not second.isEmpty():
-        labels = durable(components(links))
-
     # Members of one signature that are still apart, beyond the leader that each has met.
     around = hits.select("sig", "u", F.col("nu").alias("n")).union(hits.select("sig", "v", "nv")).distinct()
     spare = (shared.where("spare is not null").join(m1.select("doc", "u"), "doc").groupBy("u").agg(F.max("spare").alias("spare")))
@@ -445,13 +429,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # The component with the most members of a signature needs no pairs inside; only the others look for partners.
     groups = (around.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
               .groupBy("sig").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")))
-    groups = durable(groups.where(f"parts > 1 or size > {HEAVY}"))
-    heavy = groups.where(f"size > {HEAVY}").select("sig")
-    dense = (around.join(heavy, "sig").groupBy("u").agg(F.count(F.lit(1)).alias("k")).join(spare, "u", "left")
-             .where("spare is null or k > spare").select("u", F.lit(True).alias("dense")))
-    around = (around.join(groups.where("parts > 1"), "sig").join(durable(dense), "u", "left")
-              .where(f"size <= {HEAVY} or dense").select("sig", "u", "n", "c", "main", "size"))
-    around = durable(around)
+    around = around.join(groups.where(f"parts > 1 or size > {HEAVY}"), "sig")
+    # As many frequent signatures as a set has to spare prove nothing new: the most frequent ones are left out.
+    often = F.row_number().over(Window.partitionBy("u").orderBy((F.col("size") > HEAVY).desc(), F.desc("size"), "sig"))
+    around = around.withColumn("often", often).join(spare, "u", "left")
+    around = durable(around.where(f"parts > 1 and (size <= {HEAVY} or often > coalesce(spare, 0))").select("sig", "u", "n", "c", "main", "size"))
     few = around.where(f"size <= {HEAVY}")
     a = few.where("c != main").select("sig", "u", F.col("n").alias("nu"), F.col("c").alias("cu"))
     b = few.select("sig", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
@@ -499,7 +481,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not left.isEmpty():
         more = durable(verified(left.select("u", "v"), texts, words, percent))
         labels = durable(components(links.unionByName(more)))
-    discard(shared, hits, pairs, first, rest, around, groups, left)
+    discard(shared, hits, pairs, around, left)
     found = member.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component"))
     return known.join(found, "doc_id", "left").select(
