@@ -25,6 +25,8 @@ CONFIDENCE = 0.8
 NAME_WEIGHT, OVERLAP_WEIGHT, CARDINALITY_BONUS = 0.2, 0.4, 0.05
 EMBEDDING_GATE = 0.85
 _BITS = 62
+#: Blocks of columns in which all others are compared with them.
+_BLOCKS = 32
 
 PAIR = ("from_dataset", "from_column", "to_dataset", "to_column")
 #: Takes column pairs, gives the distinct values of both sides and in common.
@@ -53,20 +55,23 @@ def candidate_pairs(catalog: DataFrame, new: Sequence[str] | None = None) -> Dat
     kinds of values differ, or a measure is involved with a key or another measure.  With ``new``
     only pairs that touch one of those tables remain, and since stored tables hold keys as text, a key of
     theirs may also meet a number.  This runs over catalog rows, never data; the catalog is materialised so that profiling
-    happens once.
+    happens once.  All keys are compared with all keys, so columns are dealt into blocks, each of which
+    meets the catalog in a task of its own.
     """
     left, right = _sides(durable(catalog))
+    left = left.withColumn("_block", F.pmod(F.xxhash64("from_dataset", "from_column"), F.lit(_BLOCKS)))
+    right = right.withColumn("_block", F.explode(F.array(*[F.lit(b).cast("long") for b in range(_BLOCKS)])))
     both = F.col("from_is_numeric") == F.col("to_is_numeric")
     if new is not None:
         stored = ~F.col("from_dataset").isin(*new) | ~F.col("to_dataset").isin(*new)
         both = both | stored & (F.col("from_semantic_type") == "key") & (F.col("to_semantic_type") == "key")
-    pairs = left.join(right, both & (F.col("from_dataset") < F.col("to_dataset")))
+    touched = F.lit(True) if new is None else F.col("from_dataset").isin(*new) | F.col("to_dataset").isin(*new)
+    same_block = left["_block"] == right["_block"]
+    pairs = left.join(right, same_block & both & touched & (F.col("from_dataset") < F.col("to_dataset"))).drop("_block")
     pairs = pairs.where((F.col("from_null_pct") <= 90) & (F.col("to_null_pct") <= 90))
     a, b = F.col("from_semantic_type"), F.col("to_semantic_type")
     measures = (a == "measure") & b.isin("measure", "key") | (a == "key") & (b == "measure")
     pairs = pairs.where(~measures)
-    if new is not None:
-        pairs = pairs.where(F.col("from_dataset").isin(*new) | F.col("to_dataset").isin(*new))
     keys = (a == "key") & (b == "key")
     # Names of very different length cannot be similar; the others are scored once per pair of names.
     likely = keys

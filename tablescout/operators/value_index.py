@@ -61,6 +61,7 @@ class ValueIndex:
         """The bucketed table at a path; the session learns of it if it did not write it itself."""
         name = "values_" + hashlib.md5(path.encode()).hexdigest()
         if not self.spark.catalog.tableExists(name):
+            # Registered by its path, so any session can read it.
             fields = ", ".join(["a BIGINT", "b BIGINT", *[f"bits{w} BIGINT" for w in range(words)]])
             self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (a, b) SORTED BY (a, b) INTO {buckets} BUCKETS LOCATION '{path}'")
         else:

@@ -53,6 +53,7 @@ def run_etl(spark: SparkSession, folder: str, root: str, owner: str, domain: str
         stored = kpi.with_kpi_columns(cleaned, rows) if rows else cleaned
         out.paths[name] = sources.replace_table(stored, root, sources.table_name(owner, "clean", name))
         out.tables[name] = spark.read.parquet(out.paths[name])
+        lifecycle.remember(ValueIndex(spark, store), name, out.tables[name])
         if figures:
             metadata.save(kpi.kpi_report(out.tables[name], figures).withColumn("dataset", F.lit(name)), store, "kpis")
     metadata.save(columns, store, "columns")
@@ -88,12 +89,13 @@ def process_upload(new: DataFrame, stored: Mapping[str, DataFrame], root: str, n
     folder, and its path, counts, columns, values and edges there follow.
     """
     spark = new.sparkSession
-    row = lifecycle.classify_upload(new, stored).first()
+    known = {r["dataset"]: r for r in metadata.read(spark, catalog_folder(root), "datasets").collect()}  # a row per dataset
+    row = lifecycle.classify_upload(new, stored, ValueIndex(spark, catalog_folder(root)) if known else None).first()
     decision, target = action or row["decision"], row["dataset"] or name
     if decision == "DUPLICATE":
         return decision, stored[target]
     target = name if decision == "NEW" else target
-    about = metadata.read(spark, catalog_folder(root), "datasets").where(F.col("dataset") == target).first()
+    about = known.get(target)
     place = about.path.rstrip("/").rsplit("/", 2)[1] if about is not None else target
     plain = decision == "APPEND" and not row["deduplicate"]
     if decision == "APPEND":
@@ -120,6 +122,7 @@ def _follow(spark: SparkSession, store: str, about: dict, path: str, table: Data
     else:
         columns = durable(metadata.conform(semantics.column_catalog({name: table}), "columns"))
         index.put(name, table, indexable(columns).get(name, []))
+    lifecycle.remember(index, name, table, added)
     rows = columns.agg(F.max("rows")).first()[0]
     others = metadata.read(spark, store, "columns").where(F.col("dataset") != name)
     catalog = others.unionByName(metadata.conform(columns, "columns")).join(index.columns().select("dataset", "column"), ["dataset", "column"], "left_semi")

@@ -14,6 +14,8 @@ from tablescout.operators import drivers as D
 from tablescout.operators import forecast as T
 from tablescout.operators import insight as I
 from tablescout.plans.queries.base import Registry, rounded, table
+from tablescout.plans.queries.forecasting import RHYTHM
+from tablescout.plans.queries.text import _analyses
 
 R = Registry()
 
@@ -98,4 +100,54 @@ def s12_sample_contract(spark, d):
     return stray.select(F.lit(fits).alias("near_cap"), (F.col("n") == 0).alias("subset"))
 
 
+_SERIES = [("orders", "o_orderdate", "o_orderkey"), ("orders", "o_orderdate", "o_custkey"), ("orders", "o_orderdate", "o_totalprice"),
+           ("events", "ts", "event_id"), ("events", "ts", "user_id"), ("events", "ts", "value")]
+
+
+@R.add("WITH s AS (" + " UNION ".join(f"SELECT DISTINCT '{t}.{d}.{m}' AS k, CAST({d} AS DATE) AS day FROM {t} WHERE {m} IS NOT NULL" for t, d, m in _SERIES) + ")" + RHYTHM
+       + """, e AS (SELECT k, max(day) AS last, count(*) AS n FROM s GROUP BY k)
+       SELECT split_part(k, '.', 1) AS dataset, split_part(k, '.', 2) AS date_column, split_part(k, '.', 3) AS metric, CAST(i AS INTEGER) AS step,
+       CAST(CAST(CASE frequency WHEN 'D' THEN last + to_days(CAST(i AS INTEGER)) WHEN 'W' THEN last + to_days(CAST(7 * i AS INTEGER)) WHEN 'M' THEN last + to_months(CAST(i AS INTEGER))
+            WHEN 'Q' THEN last + to_months(CAST(3 * i AS INTEGER)) ELSE last + to_years(CAST(i AS INTEGER)) END AS DATE) AS VARCHAR) AS day,
+       CASE WHEN n >= 24 THEN 'additive' ELSE 'arima' END AS model FROM e JOIN f USING (k), range(1, 8) r(i) WHERE n > 10""")
+def m29_forecast_contract(spark, d):
+    """Every metric by every date column has its next seven dates, in the rhythm of the series, and the model its length asks for."""
+    out = T.forecast_all({t: table(spark, d, t) for t in ("orders", "events")}, 7)
+    return out.select("dataset", "date_column", "metric", "step", F.col("day").cast("string").alias("day"), "model")
+
+
+def _spread(t: str, c: str) -> str:
+    g1 = f"(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)))"
+    jb = f"(count({c}) / 6.0 * (power({g1}, 2) + power(kurtosis_pop({c}), 2) / 4))"
+    return f"""(SELECT CASE WHEN n >= 5000 OR (n >= 20 AND p > 0.05) THEN count(*) FILTER (abs(x - m) / sd > 3) ELSE
+        count(*) FILTER (x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) END FROM (SELECT {c} AS x FROM {t}), (SELECT count({c}) AS n, exp(-{jb} / 2) AS p, avg({c}) AS m,
+        stddev_samp({c}) AS sd, quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {t}) GROUP BY n, p)"""
+
+
+def _between(t: str, c: str, by: str) -> str:
+    """The share of the variance of a column that lies between the levels of another."""
+    return f"""(SELECT sum(n * power(m - (SELECT avg({c}) FROM {t} WHERE {by} IS NOT NULL), 2)) / (sum(n * power(m - (SELECT avg({c}) FROM {t} WHERE {by} IS NOT NULL), 2)) + sum(n * v))
+        FROM (SELECT count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v FROM {t} WHERE {by} IS NOT NULL GROUP BY {by}))"""
+
+
+@R.add(f"""SELECT 'anomalies' AS analysis, CAST({_spread("orders", "o_totalprice")} > 0 AS BIGINT) + CAST({_spread("events", "value")} > 0 AS BIGINT) AS n UNION ALL
+           SELECT 'forecasts', 7 * ((SELECT count(*) FROM (SELECT 1 FROM orders HAVING count(DISTINCT CAST(o_orderdate AS DATE)) > 10 AND count(o_totalprice) > 20))
+                                  + (SELECT count(*) FROM (SELECT 1 FROM events HAVING count(DISTINCT CAST(ts AS DATE)) > 10 AND count(value) > 20))) UNION ALL
+           SELECT 'drivers', CAST({_between("orders", "o_totalprice", "o_orderstatus")} > 0.2 AS BIGINT) + CAST({_between("events", "value", "event_type")} > 0.2 AS BIGINT)""")
+def a28_summary_contract(spark, d):
+    """What the summary counts, but for the causes, whose p-values have no SQL counterpart."""
+    return I.analytics_summary(*_analyses(spark, d)).where("analysis <> 'relationships'")
+
+
+@R.add(f"""SELECT 'anomaly' AS analysis, 'orders' AS dataset, 'o_totalprice' AS metric, CAST({_spread("orders", "o_totalprice")} AS DOUBLE) AS figure UNION ALL
+           SELECT 'anomaly', 'events', 'value', {_spread("events", "value")} UNION ALL
+           SELECT 'driver', 'orders', 'o_totalprice', round({_between("orders", "o_totalprice", "o_orderstatus")}, 6) UNION ALL
+           SELECT 'driver', 'events', 'value', round({_between("events", "value", "event_type")}, 6)""")
+def i8_roll_up_contract(spark, d):
+    anomalies, _, _, factors = _analyses(spark, d)
+    out = I.roll_up(anomaly=anomalies.select("dataset", F.col("column").alias("metric"), F.col("num_anomalies").cast("double").alias("figure")),
+                    driver=factors.select("dataset", "metric", F.col("variance_explained").alias("figure")))
+    return rounded(out)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -9,6 +9,12 @@ from tablescout.plans.queries.base import Registry, rounded, table, tables
 
 R = Registry()
 
+# The most usual gap between neighbouring days of a series ``s(k, day)``, of equally usual ones the shorter, and its letter.
+RHYTHM = """, g AS (SELECT k, date_diff('day', lag(day) OVER (PARTITION BY k ORDER BY day), day) AS gap FROM s),
+    u AS (SELECT k, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY k, gap QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, gap) = 1),
+    f AS (SELECT k, CASE WHEN gap = 1 THEN 'D' WHEN gap = 7 THEN 'W' WHEN gap BETWEEN 28 AND 31 THEN 'M' WHEN gap BETWEEN 90 AND 92 THEN 'Q'
+                         WHEN gap BETWEEN 365 AND 366 THEN 'Y' ELSE 'M' END AS frequency FROM u)"""
+
 _OUT = ("step", "day", "prediction", "lower", "upper", "model", "frequency")
 
 
@@ -53,8 +59,8 @@ def m26_growth_rate(spark, d):
     return rounded(ends.select("k", "current_value", T.growth_rate(F.col("current_value"), F.col("f")).alias("growth_rate")))
 
 
-@R.add("""SELECT k, frequency FROM (SELECT DISTINCT o_orderpriority AS k, 'M' AS frequency FROM orders UNION ALL
-          SELECT DISTINCT concat('day-', event_type), 'D' FROM events)""")
+@R.add("""WITH s AS (SELECT DISTINCT o_orderpriority AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS day FROM orders UNION
+          SELECT DISTINCT concat('day-', event_type), CAST(ts AS DATE) FROM events)""" + RHYTHM + " SELECT k, frequency FROM f")
 def m27_frequency(spark, d):
     months = T.forecast(monthly_panel(spark, d), ["k"], 1).select("k", "frequency")
     events = table(spark, d, "events")

@@ -138,7 +138,12 @@ def t7_best_lag(spark, d):
     return rounded(U.best_lag(lags))
 
 
-@R.add("""SELECT 'l_extendedprice, l_discount, l_tax' AS features, 100.0 AS total_pct FROM lineitem HAVING count(*) > 30""")
+@R.add("""WITH v AS (SELECT l_extendedprice * (1 - l_discount) * (1 + l_tax) AS y, l_extendedprice AS x1, l_discount AS x2, l_tax AS x3 FROM lineitem),
+          c AS (SELECT corr(x1, x2) AS a, corr(x1, x3) AS b, corr(x2, x3) AS c, corr(y, x1) AS p, corr(y, x2) AS q, corr(y, x3) AS r FROM v),
+          k AS (SELECT p * (1 - c * c) + q * (b * c - a) + r * (a * c - b) AS k1, p * (b * c - a) + q * (1 - b * b) + r * (a * b - c) AS k2,
+                p * (a * c - b) + q * (a * b - c) + r * (1 - a * a) AS k3 FROM c),
+          o AS (SELECT unnest(['l_extendedprice', 'l_discount', 'l_tax']) AS x, unnest([k1 * k1, k2 * k2, k3 * k3]) AS s FROM k)
+          SELECT string_agg(x, ', ' ORDER BY s DESC) AS features, round(sum(s * 100 / (SELECT sum(s) FROM o)), 6) AS total_pct FROM o""")
 def t8_top_drivers(spark, d):
     price, discount, tax = (F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax"))
     df = table(spark, d, "lineitem").select("l_extendedprice", "l_discount", "l_tax", (price * (1 - discount) * (1 + tax)).alias("charge"))

@@ -197,3 +197,30 @@ def test_the_catalog_follows_append_and_replace(spark, tmp_path):
                                      out.tables, root, "stores", action="REPLACE")
     assert table.count() == 1 and sizes()["stores"][0] == 1
     assert stored_edges(spark, root) == {e for e in EDGES if "stores" not in e}
+
+
+@pytest.mark.parametrize("kept", [["day", "user_id", "v"], ["user_id", "v"], ["v", "paid"]])
+def test_uploads_are_classified_without_reading_stored_rows(spark, index, tmp_path, kept):
+    from tablescout.operators import lifecycle
+
+    whole = spark.range(400).select(F.expr("date'2024-01-01' + CAST(id % 50 AS INT)").alias("day"), (F.col("id") % 97).alias("user_id"), (F.col("id") * 1.5).alias("v"),
+                                    (F.col("id") % 3).alias("paid"))
+    path = str(tmp_path / "stored")
+    whole.where("v < 300").select(*kept).write.parquet(path)
+    stored = {"t": spark.read.parquet(path)}
+    lifecycle.remember(index, "t", stored["t"])
+    for upload in (whole.where("v < 300"), whole.where("v >= 250"), whole.where("v >= 400").selectExpr("day + 100 AS day", "user_id + 1000 AS user_id", "v", "paid")):
+        new = upload.select(*kept)
+        by_index = lifecycle.classify_upload(new, stored, index)
+        assert by_index.collect() == lifecycle.classify_upload(new, stored).collect()
+        assert not [f for f in by_index.inputFiles() if "/stored/" in f]
+    lifecycle.remember(index, "t", whole.select(*kept), added=whole.where("v >= 300").select(*kept))
+    assert lifecycle.classify_upload(whole.select(*kept), stored, index).first().decision == "DUPLICATE"
+
+
+def test_names_that_only_hold_the_letters_of_id(spark):
+    from tablescout.operators import lifecycle
+
+    assert lifecycle.identity_columns(spark.createDataFrame([(1, 2, 3, 4, 5)], "paid int, width int, user_id int, orderId int, identity int")) == ["user_id", "orderId"]
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "paid int, note string")
+    assert lifecycle.append_dedup(rows.limit(0), rows).count() == 2

@@ -143,3 +143,36 @@ def test_cleaning_reads_the_table_twice(spark):
     rows = out.collect()
     assert len(rows) == 2900 and {r.region for r in rows} == {"NORTH", "SOUTH"} and sum(r.odd_is_outlier for r in rows) == 1
     assert {r._data_quality_flag for r in rows} == {"clean"}
+
+
+@pytest.mark.parametrize("new", [None, ["t3", "t7"]])
+def test_candidate_columns_equal_all_pairs(spark, new):
+    from tablescout.functions.names import score_names
+    from tablescout.operators import relate
+
+    rng = np.random.default_rng(9)
+    parts = ["customer", "order", "product", "store", "region", "amount", "date", "id", "key", "code", "name"]
+    rows = []
+    for t in range(25):
+        for c in range(16):
+            name = "_".join(rng.choice(parts, int(rng.integers(1, 4)))) + (str(c) if c % 3 == 0 else "")
+            kind = str(rng.choice(["numeric", "categorical", "datetime"]))
+            semantic = {"numeric": str(rng.choice(["key", "measure"])), "categorical": str(rng.choice(["key", "dimension", "text"])), "datetime": "date"}[kind]
+            rows.append((f"t{t}", f"{name}{c}", semantic, float(rng.choice([0, 50, 95])), 100, 0, 100, kind))
+    catalog = spark.createDataFrame(rows, "dataset string, column string, semantic_type string, null_pct double, rows long, nulls long, distinct long, kind string")
+    pairs = relate.candidate_pairs(catalog, new)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    expected = {}
+    for a in rows:
+        for b in rows:
+            kinds, keys = (a[2], b[2]), a[2] == b[2] == "key"
+            stored = new is not None and (a[0] not in new or b[0] not in new)
+            if a[0] < b[0] and max(a[3], b[3]) <= 90 and ((a[7] == "numeric") == (b[7] == "numeric") or stored and keys):
+                if kinds in (("measure", "measure"), ("measure", "key"), ("key", "measure")) or new is not None and a[0] not in new and b[0] not in new:
+                    continue
+                score = score_names(a[1], b[1])
+                if keys or score >= relate.NAME_GATE:
+                    expected[a[0], a[1], b[0], b[1]] = score
+    got = {tuple(r[c] for c in relate.PAIR): r.name_similarity for r in pairs.collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
