@@ -45,8 +45,10 @@ from tablescout.session import discard, durable
 
 RATIO = 1.45
 SPREAD = 128
-FLUSH = 1_000_000
+FLUSH = 500_000
 BUCKET = 1_000_000
+#: Words and sets that a task remembers; two workers share an executor with its heap.
+WORDS, SEEN = 150_000, 150_000
 HEAVY = 8
 
 
@@ -193,7 +195,7 @@ def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets:
                     [*SET, *BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen = WordHashes(WORDS), set()
         sig, doc, size, spare = [], [], 0, {}
         for batch in batches:
             sets = [shingle_set(text.lower().split(), hashes, words) for text in raw(batch.column(1))]
@@ -205,7 +207,7 @@ def entries(docs: DataFrame, plans: dict[int, Plan], edges: np.ndarray, buckets:
                     continue
                 if key in seen:  # an equal set of this task stands for it
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < SEEN:
                     seen.add(key)
                 band = int(np.searchsorted(edges, len(s), "right")) - 1
                 while band >= 0 and 100 * (edges[band + 1] - 1) >= percent * len(s):
@@ -292,7 +294,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """The pairs ``u, v`` that are similar, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, recent = WordHashes(), {}
+        hashes, recent = WordHashes(WORDS), {}
 
         def items(doc: int, text: bytes) -> np.ndarray:
             if doc not in recent:
@@ -338,7 +340,7 @@ def off_hub(members: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(long(np.concatenate([*found, np.empty(0, np.uint64)]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, recent = WordHashes(), {}
+        hashes, recent = WordHashes(WORDS), {}
         for batch in batches:
             own, lost, sizes = [], [], []
             for hub, u, h in zip(batch.column(0).to_pylist(), raw(batch.column(3)), raw(batch.column(4))):
