@@ -65,7 +65,7 @@ class Tokens:
     #: Code points for which lower-casing and the classes of the pattern are the same in all libraries.
     PLAIN = [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x17F)]
 
-    def __init__(self, path: str, limit: int = 400_000, kind: str = "<u4") -> None:
+    def __init__(self, path: str, limit: int = 1_000_000, kind: str = "<u4") -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.kind, self.cuts = Tokenizer.from_file(path), kind, None
