@@ -404,9 +404,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, sum(size * k for size, k in likely.items()) // (2 * BUCKET))
     stored = durable(entries(docs, plans, edges, buckets, words, percent))
-    known = stored.where("doc_id is not null").select(*SET)
+    known = durable(stored.where("doc_id is not null").select(*SET))
     classes = durable(known.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("v").alias("v")))
     shared = durable(shared_signatures(stored.where("bucket is not null").select(*BLOCK), partitions))
+    discard(stored)
 
     # From documents to classes of equal sets; n travels along for the size test.
     member = durable(known.where("n > 0").join(classes.select("s1", "s2", "class_id"), ["s1", "s2"]).select("doc_id", "class_id", "n"))
@@ -454,6 +455,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     weight = many.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
     hubs = many.join(weight, "u").groupBy("sig").agg(F.max_by("u", F.struct("k", F.xxhash64("u"))).alias("hub"))
     beside = durable(many.join(hubs, "sig").where("u != hub").select("hub", "u", "n").distinct())
+    spent = [shared, hits, pairs, around, texts, classes, beside]
     if not beside.isEmpty():
         offs = durable(off_hub(beside, texts, words, percent))
         links = durable(links.unionByName(offs.where("linked").select("u", F.col("hub").alias("v"))))
@@ -463,6 +465,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         placed = offs.join(own, "u", "left").join(theirs, "hub", "left").withColumns({"cu": F.coalesce("cu", "u"), "ch": F.coalesce("ch", "hub")})
         placed = durable(placed.withColumn("apart", ~F.col("linked") & (F.col("cu") != F.col("ch"))))
         rare = durable(prefixes(placed.join(placed.where("apart").select("hub").distinct(), "hub", "left_semi"), percent))
+        spent += [offs, placed, rare]
 
         def side(rows: DataFrame, prefix: str, name: str) -> DataFrame:
             kept = rows.select("hub", F.explode(prefix).alias("p"), F.col("u").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "d", "cu")])
@@ -483,7 +486,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not left.isEmpty():
         more = durable(verified(left.select("u", "v"), texts, words, percent))
         labels = durable(components(links.unionByName(more)))
-    discard(shared, hits, pairs, around, left)
+    discard(*spent, left)
     found = member.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component"))
     return known.join(found, "doc_id", "left").select(
