@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,10 @@ from pyspark.sql import types as T
 from tablescout.session import durable
 
 BLOCK_FLOATS = 4_000_000
+#: Tasks that pairs of blocks are dealt to at most.
+MAX_TASKS = 10_000
+#: Rows and columns of the products that a task looks through at a time.
+STRIP, TILE = 256, 2048
 MAX_PIVOTS = 256
 
 
@@ -63,12 +69,53 @@ def similar_insights(insights: DataFrame, vector, domain: str | None = None, lim
     return most_similar(out, vector, "insight_embedding", "insight_id", limit, threshold)
 
 
-def _unit_rows(vectors: Sequence) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype="float64") for v in vectors]) if len(vectors) else np.zeros((0, 1))
+def _unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, 1))
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(lengths) != 1:
+        raise ValueError("vectors must have the same length")
+    m = pc.cast(vectors.flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(len(vectors), lengths[0])
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of row ``i`` of x with row ``j`` of y; equal vectors give equal products, wherever they stand."""
+    step = max(1, BLOCK_FLOATS // max(x.shape[1], 1))
+    return np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", x[i[s:s + step]], y[j[s:s + step]]) for s in range(0, len(i), step)]])
+
+
+def _margin(width: int) -> float:
+    """More than single precision can be off in a product of two unit vectors."""
+    return (width + 8) * 2.0 ** -23
+
+
+def _close(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and products of all rows of x and y at or above the threshold, by strips of x.
+
+    Single precision picks the candidates from products that fit the cache, double precision decides.
+    """
+    a, b, least = x.astype("float32"), y.astype("float32"), threshold - _margin(x.shape[1])
+    for s in range(0, len(x), STRIP):
+        rows, places = [], []
+        for t in range(0, len(y), TILE):
+            near = a[s:s + STRIP] @ b[t:t + TILE].T
+            i, j = np.divmod(np.flatnonzero(near >= least), near.shape[1])
+            rows.append(s + i)
+            places.append(t + j)
+        i, j = np.concatenate(rows), np.concatenate(places)
+        value = _products(x, i, y, j)
+        keep = value >= threshold
+        yield i[keep], j[keep], value[keep]
+
+
+def _ranks(ids: pa.ChunkedArray) -> np.ndarray:
+    return pc.rank(ids.combine_chunks(), tiebreaker="dense").to_numpy()
+
+
 def _blocks(rows: DataFrame, key: str, embedding: str, width: int, name: str) -> tuple[DataFrame, int]:
     """Rows packed into blocks of at most about ``BLOCK_FLOATS`` numbers, and how many blocks there are."""
     rows = rows.select(F.col(key).alias("id"), F.col(embedding).alias("vec")).where("vec is not null")
@@ -93,8 +140,8 @@ def top_matches(queries: DataFrame, corpus: DataFrame, key: str, embedding: str,
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q_rows, c_rows in zip(batch["q_rows"], batch["c_rows"]):
-                ids, q = np.array([r["id"] for r in q_rows]), _unit_rows([r["vec"] for r in q_rows])
-                keys, x = np.array([r["id"] for r in c_rows]), _unit_rows([r["vec"] for r in c_rows])
+                ids, q = np.array([r["id"] for r in q_rows]), _unit_rows(pa.array([r["vec"] for r in q_rows]))
+                keys, x = np.array([r["id"] for r in c_rows]), _unit_rows(pa.array([r["vec"] for r in c_rows]))
                 step = max(1, BLOCK_FLOATS // len(keys))
                 for start in range(0, len(ids), step):
                     score = np.clip(x @ q[start:start + step].T, 0.0, 1.0)
@@ -111,36 +158,40 @@ def top_matches(queries: DataFrame, corpus: DataFrame, key: str, embedding: str,
 
 
 def similar_pairs(df: DataFrame, key: str, embedding: str, threshold: float, pivots: int | None = None,
-                  block_rows: int | None = None) -> DataFrame:
+                  block_rows: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """All pairs with cosine similarity at or above the threshold, exactly, each once.
 
+    Columns named by ``carry`` come along as ``left_...`` and ``right_...``, so the pairs, which may be far more than the
+    rows, need not be joined with anything.
+
     Vectors go to the cell of their nearest pivot, and also to a neighbouring cell with a smaller
     number when the hyperplane between the two pivots is close enough for a match beyond it (the
-    published cluster-join bound).  Cells are cut into blocks of bounded size and block pairs are
-    compared by matrix product, so a cell with a third of all vectors becomes many tasks and only
-    matches leave a task.
+    published cluster-join bound).  Cells are cut into blocks of bounded size and every pair of blocks is
+    compared by matrix product in a partition of its own, so a cell with a third of all vectors becomes many
+    tasks and only matches leave a task.  Rows without a key are left out.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    rows = df.select(F.col(key).alias("id"), F.col(embedding).alias("vec")).where("vec is not null")
+    rows = df.select(F.col(key).alias("id"), F.col(embedding).alias("vec"), *[F.col(c).alias(f"_{c}") for c in carry])
+    rows = rows.where("vec is not null and id is not null")
     n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
     width = max(width, 1)
     block_rows = block_rows or max(256, min(20_000, BLOCK_FLOATS // width))
     # A vector goes to at most half of the cells, and to the blocks of its cell: few pivots bound both the copies
     # and what a task holds of the pivots; below this threshold hyperplanes cut nothing off, and one cell is best.
     pivots = pivots or (1 if threshold < 0.5 else int(max(1, min(MAX_PIVOTS, (2 * n / block_rows) ** 0.5))))
-    kind = rows.schema["id"].dataType
-    centres = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
-    shared = df.sparkSession.sparkContext.broadcast(_unit_rows(centres["vec"]))
+    centres = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(_unit_rows(centres.column("vec")))
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-6
+    placed_schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("is_home", T.BooleanType()), *rows.schema.fields])
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * p @ p.T))
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x = _unit_rows(batch["vec"])
+            x = _unit_rows(batch.column("vec"))
             squared = np.maximum(0.0, 2.0 - 2.0 * x @ p.T)
             home = squared.argmin(axis=1)
             nearest = squared[np.arange(len(x)), home]
@@ -148,19 +199,17 @@ def similar_pairs(df: DataFrame, key: str, embedding: str, threshold: float, piv
             reach = (squared - nearest[:, None]) <= 2.0 * apart * radius
             reach &= np.arange(len(p))[None, :] < home[:, None]
             row, cell = np.nonzero(reach)
-            which = np.concatenate([np.arange(len(x)), row])
-            yield pd.DataFrame({
-                "cell": np.concatenate([home, cell]).astype("int32"),
-                "is_home": np.concatenate([np.ones(len(x), bool), np.zeros(len(row), bool)]),
-                "id": batch["id"].to_numpy()[which], "vec": list(x[which])})
-
-    placed_schema = T.StructType([
-        T.StructField("cell", T.IntegerType()), T.StructField("is_home", T.BooleanType()), T.StructField("id", kind),
-        T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    placed = durable(rows.mapInPandas(to_cells, placed_schema))
+            copies = batch.take(pa.array(np.concatenate([np.arange(len(x)), row])))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([home, cell]).astype("int32")),
+                pa.array(np.concatenate([np.ones(len(x), bool), np.zeros(len(row), bool)])), *copies.columns], placed_schema.names)
+
+    placed = durable(rows.mapInArrow(to_cells, placed_schema))
     sizes = placed.groupBy("cell").agg(
         F.ceil(F.count_if("is_home") / block_rows).alias("homes"), F.ceil(F.count_if(~F.col("is_home")) / block_rows).alias("outers"))
-    sized = placed.join(sizes, "cell").where("homes > 0")
+    groups = sizes.agg(F.sum(F.expr("homes * (homes + 1) / 2 + homes * outers"))).first()[0]
+    # One row per cell, so the broadcast is bounded and vectors are not dealt by cell.
+    sized = placed.join(F.broadcast(sizes), "cell").where("homes > 0")
     count = F.when(F.col("is_home"), F.col("homes")).otherwise(F.col("outers"))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(count, F.lit(1))))
     mine = F.col("block")
@@ -175,32 +224,31 @@ def similar_pairs(df: DataFrame, key: str, embedding: str, threshold: float, piv
     from_outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1), lambda j: task("outer", j, mine))
     empty = F.filter(with_homes, lambda t: F.lit(False))
     tasks = F.when(F.col("is_home"), F.concat(with_homes, F.coalesce(with_outers, empty))).otherwise(from_outer)
-    spread = sized.select("cell", "is_home", "block", "id", "vec", F.explode(tasks).alias("task")).select(
-        "cell", "task.kind", "task.a", "task.b", "is_home", "block", "id", "vec")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        if group["kind"].iloc[0] == "outer":
-            left, right = group[group["is_home"]], group[~group["is_home"]]
-        else:
-            left, right = group[group["block"] == group["a"]], group[group["block"] == group["b"]]
-        same = group["kind"].iloc[0] == "home" and group["a"].iloc[0] == group["b"].iloc[0]
-        found = []
-        if len(left) and len(right):
-            y, right_ids = np.stack(right["vec"].to_numpy()), right["id"].to_numpy()
-            for start in range(0, len(left), 1024):
-                part = left.iloc[start:start + 1024]
-                score = np.stack(part["vec"].to_numpy()) @ y.T
-                i, j = np.nonzero(score >= threshold)
-                a, b = part["id"].to_numpy()[i], right_ids[j]
-                keep = a < b if same else a != b
-                a, b, value = a[keep], b[keep], np.minimum(1.0, score[i, j][keep])
-                swap = a > b
-                found.append(pd.DataFrame({"left_id": np.where(swap, b, a), "right_id": np.where(swap, a, b), "similarity": value}))
-        if not found:
-            return pd.DataFrame({"left_id": pd.Series(dtype=object), "right_id": pd.Series(dtype=object),
-                                 "similarity": pd.Series(dtype="float64")})
-        return pd.concat(found, ignore_index=True)
-
-    out_schema = T.StructType([T.StructField("left_id", kind), T.StructField("right_id", kind),
-                               T.StructField("similarity", T.DoubleType())])
-    return spread.groupBy("cell", "kind", "a", "b").applyInPandas(compare, out_schema)
+    kept = [c for c in rows.columns if c != "vec"]
+    spread = sized.select("cell", "is_home", "block", *rows.columns, F.explode(tasks).alias("task")).select(
+        "cell", "task.kind", "task.a", "task.b", "is_home", "block", *rows.columns)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        kind, a, b = (group.column(c)[0].as_py() for c in ("kind", "a", "b"))
+        is_home, blocks = group.column("is_home").to_numpy(), group.column("block").to_numpy()
+        left, right = (np.flatnonzero(m) for m in ((is_home, ~is_home) if kind == "outer" else (blocks == a, blocks == b)))
+        same = kind == "home" and a == b
+        x, rank = _unit_rows(group.column("vec")), _ranks(group.column("id"))
+        columns = [group.column(c).combine_chunks() for c in kept]
+        for i, j, value in _close(x[left], x[right], threshold):
+            i, j = left[i], right[j]
+            keep = rank[i] < rank[j] if same else rank[i] != rank[j]
+            i, j, value = i[keep], j[keep], np.minimum(1.0, value[keep])
+            swap = rank[i] > rank[j]
+            first, second = pa.array(np.where(swap, j, i)), pa.array(np.where(swap, i, j))
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(first) for c in columns], *[c.take(second) for c in columns], pa.array(value)], out_schema.names)
+
+    out_schema = T.StructType([
+        *[T.StructField(f"{side}_{name}", rows.schema[c].dataType) for side in ("left", "right") for name, c in zip(("id", *carry), kept)],
+        T.StructField("similarity", T.DoubleType())])
+    out = spread.repartition(int(max(1, min(groups or 1, MAX_TASKS))), "cell", "kind", "a", "b").groupBy("cell", "kind", "a", "b")
+    # In the order of before: both keys, the similarity, then what came along.
+    return out.applyInArrow(compare, out_schema).select(
+        "left_id", "right_id", "similarity", *[f"{side}_{c}" for side in ("left", "right") for c in carry])

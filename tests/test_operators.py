@@ -127,6 +127,20 @@ def test_top_matches_in_blocks(spark, monkeypatch):
             assert expected == {(r.query_id, r.rank): r.match_id for r in similarity.top_matches(queries, df, "id", "v", 3, threshold).collect()}
 
 
+def test_every_pair_of_blocks_has_a_partition(spark):
+    """Tasks grow in number with the vectors, whatever the number of shuffle partitions; rows without a key have no pairs."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [1.0] * 8), (900, None), (901, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    out = similarity.similar_pairs(df, "id", "v", 0.3, block_rows=80)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    expected = {(i, j) for i in range(400) for j in range(i + 1, 400) if (unit @ unit.T)[i, j] >= 0.3}
+    got = out.withColumn("p", F.spark_partition_id()).collect()
+    assert {(r.left_id, r.right_id) for r in got} == expected and len(got) == len(expected)
+    assert len({r.p for r in got}) > 4
+
+
 @pytest.mark.parametrize("max_rows", [10, 5_000_000])
 def test_windows_over_text_order_and_no_group(spark, max_rows):
     rng = np.random.default_rng(2)
