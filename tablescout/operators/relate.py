@@ -278,22 +278,21 @@ def embedding_candidates(columns: DataFrame, threshold: float = EMBEDDING_GATE)
     from tablescout.operators.similarity import similar_pairs
 
     keyed = columns.withColumn("_id", F.concat_ws(".", "dataset", "column"))
-    pairs = similar_pairs(keyed, "_id", "embedding", threshold)
+    # The columns meet what is known of them before they are paired: there are far fewer of them than of pairs.
     about = keyed.select("_id", "dataset", "column", "semantic_type")
-    a = about.select(*[F.col(c).alias(f"a_{c}") for c in about.columns])
-    b = about.select(*[F.col(c).alias(f"b_{c}") for c in about.columns])
-    out = pairs.join(a, F.col("left_id") == F.col("a__id")).join(b, F.col("right_id") == F.col("b__id"))
-    out = out.where("a_dataset <> b_dataset")
-    key = (F.col("a_semantic_type") == "key") | (F.col("b_semantic_type") == "key")
+    known = keyed.select("_id", "embedding").where("embedding is not null").join(about, "_id")
+    out = similar_pairs(known, "_id", "embedding", threshold, carry=("dataset", "column", "semantic_type"))
+    out = out.where("left_dataset <> right_dataset")
+    key = (F.col("left_semantic_type") == "key") | (F.col("right_semantic_type") == "key")
     score = F.least(F.lit(1.0), F.col("similarity") + F.when(key, 0.05).otherwise(0.0))
-    first = F.col("a_dataset") < F.col("b_dataset")
+    first = F.col("left_dataset") < F.col("right_dataset")
 
     def pick(name: str, yes: str, no: str) -> Column:
         return F.when(first, F.col(yes)).otherwise(F.col(no)).alias(name)
 
     return out.select(
-        pick("from_dataset", "a_dataset", "b_dataset"), pick("from_column", "a_column", "b_column"),
-        pick("to_dataset", "b_dataset", "a_dataset"), pick("to_column", "b_column", "a_column"),
+        pick("from_dataset", "left_dataset", "right_dataset"), pick("from_column", "left_column", "right_column"),
+        pick("to_dataset", "right_dataset", "left_dataset"), pick("to_column", "right_column", "left_column"),
         score.alias("embedding_similarity"))
 
 

@@ -141,6 +141,17 @@ def test_every_pair_of_blocks_has_a_partition(spark):
     assert len({r.p for r in got}) > 4
 
 
+def test_embedding_candidates_join_columns_not_pairs(spark):
+    """Repeated columns count as often as they did, and nothing is shuffled behind the comparison."""
+    rows = [("a", "x", "key", [1.0, 0.0]), ("a", "x", "measure", [1.0, 0.0]), ("b", "y", "measure", [1.0, 0.1]), ("a", "z", "measure", [1.0, 0.0]),
+            (None, "n", "key", [1.0, 0.0]), ("b", "w", "key", None)]
+    out = relate.embedding_candidates(spark.createDataFrame(rows, "dataset string, column string, semantic_type string, embedding array<double>"))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    value = 1 / np.hypot(1, 0.1)
+    got = sorted((r.from_column, r.to_column, round(r.embedding_similarity, 9)) for r in out.collect())
+    assert got == sorted([("x", "y", 1.0)] * 2 + [("x", "y", round(value, 9))] * 2 + [("z", "y", round(value, 9))])
+
+
 @pytest.mark.parametrize("max_rows", [10, 5_000_000])
 def test_windows_over_text_order_and_no_group(spark, max_rows):
     rng = np.random.default_rng(2)
