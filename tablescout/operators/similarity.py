@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +14,8 @@ from pyspark.sql import types as T
 from tablescout.session import durable
 
 BLOCK_FLOATS = 4_000_000
-#: Tasks that pairs of blocks are dealt to at most.
+#: Rows of a block, and tasks that pairs of blocks are dealt to at most.
+BLOCK_ROWS = 32_768
 MAX_TASKS = 10_000
 #: Rows and columns of the products that a task looks through at a time.
 STRIP, TILE = 256, 2048
@@ -112,47 +112,79 @@ def _close(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.
         yield i[keep], j[keep], value[keep]
 
 
+def _best(x: np.ndarray, y: np.ndarray, own: np.ndarray, rank: np.ndarray, k: int,
+          threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``k`` rows of y above the threshold that are most similar to each row of x, by strips of x.
+
+    ``own`` and ``rank`` number the keys of both in their order.  Only what can still be among the best of its row
+    is kept from one product to the next.
+    """
+    a, b, margin = x.astype("float32"), y.astype("float32"), _margin(x.shape[1])
+    for s in range(0, len(x), STRIP):
+        cut = np.full(min(STRIP, len(x) - s), float(threshold))
+        i, j, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for t in range(0, len(y), TILE):
+            near = a[s:s + STRIP] @ b[t:t + TILE].T
+            # Below zero all similarities are zero.
+            least = np.where((cut > 0) | (threshold >= 0), cut - margin, -np.inf).astype("float32")
+            i2, j2 = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+            j2 += t
+            value2 = np.clip(_products(x, s + i2, y, j2), 0.0, 1.0)
+            keep = (value2 > threshold) & (value2 >= cut[i2]) & (own[s + i2] != rank[j2])
+            if not keep.any():
+                continue
+            i, j, value = np.concatenate([i, i2[keep]]), np.concatenate([j, j2[keep]]), np.concatenate([value, value2[keep]])
+            order = np.lexsort((rank[j], -value, i))
+            i, j, value = i[order], j[order], value[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, value, place = (c[place < k] for c in (i, j, value, place))
+            full = place == k - 1
+            cut[i[full]] = value[full]
+        yield s + i, j, value
+
+
 def _ranks(ids: pa.ChunkedArray) -> np.ndarray:
     return pc.rank(ids.combine_chunks(), tiebreaker="dense").to_numpy()
 
 
+def _block_rows(width: int) -> int:
+    return max(1, min(BLOCK_ROWS, BLOCK_FLOATS // max(width, 1)))
+
+
 def _blocks(rows: DataFrame, key: str, embedding: str, width: int, name: str) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of at most about ``BLOCK_FLOATS`` numbers, and how many blocks there are."""
+    """Rows with the number of their block, of at most about ``BLOCK_FLOATS`` numbers, and how many blocks there are."""
     rows = rows.select(F.col(key).alias("id"), F.col(embedding).alias("vec")).where("vec is not null")
-    count = max(1, -(-rows.count() * max(width, 1) // BLOCK_FLOATS))
-    block = F.pmod(F.xxhash64("id", "vec"), F.lit(count)).cast("int")
-    return rows.groupBy(block.alias(name)).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows")), count
+    count = max(1, -(-rows.count() // _block_rows(width)))
+    return rows.withColumn(name, F.pmod(F.xxhash64("id", "vec"), F.lit(count)).cast("int")), count
 
 
 def top_matches(queries: DataFrame, corpus: DataFrame, key: str, embedding: str, k: int = 3, threshold: float = 0.75) -> DataFrame:
     """The ``k`` most similar rows of the corpus for each query, itself excluded.
 
-    Queries and corpus are packed into blocks of bounded size and every block of queries meets every block of
-    the corpus in a matrix product that keeps the best ``k`` per query; nothing else is shuffled.  A query and a
-    row of the corpus with the same key are the same thing and do not match.
+    Queries and corpus are cut into blocks of bounded size and every block of queries meets every block of
+    the corpus in a task of its own that keeps the best ``k`` per query, so tasks grow in number, not in size.
+    A query and a row of the corpus with the same key are the same thing and do not match.
     """
     width = max(df.agg(F.coalesce(F.max(F.size(embedding)), F.lit(1))).first()[0] for df in (queries, corpus))
-    left, _ = _blocks(queries, key, embedding, width, "q")
-    right, count = _blocks(corpus, key, embedding, width, "c")
+    left, q_count = _blocks(queries.where(F.col(key).isNotNull()), key, embedding, width, "q")
+    right, c_count = _blocks(corpus, key, embedding, width, "c")
     kind = corpus.schema[key].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("match_id", kind), T.StructField("similarity", T.DoubleType())])
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_rows, c_rows in zip(batch["q_rows"], batch["c_rows"]):
-                ids, q = np.array([r["id"] for r in q_rows]), _unit_rows(pa.array([r["vec"] for r in q_rows]))
-                keys, x = np.array([r["id"] for r in c_rows]), _unit_rows(pa.array([r["vec"] for r in c_rows]))
-                step = max(1, BLOCK_FLOATS // len(keys))
-                for start in range(0, len(ids), step):
-                    score = np.clip(x @ q[start:start + step].T, 0.0, 1.0)
-                    row, col = np.nonzero(score > threshold)
-                    found = pd.DataFrame({"query_id": ids[start + col], "match_id": keys[row], "similarity": score[row, col]})
-                    found = found[found["query_id"] != found["match_id"]]
-                    found = found.sort_values(["similarity", "match_id"], ascending=[False, True])
-                    yield found.groupby("query_id", sort=False).head(k)
-
-    sent = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    matches = sent.join(right, "c").select("q_rows", "c_rows").mapInPandas(best, schema)
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        ids, rank, x = group.column("id").combine_chunks(), _ranks(group.column("id")), _unit_rows(group.column("vec"))
+        is_query = group.column("is_query").to_numpy()
+        q, c = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        for i, j, value in _best(x[q], x[c], rank[q], rank[c], k, threshold):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[i])), ids.take(pa.array(c[j])), pa.array(value)], schema.names)
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    met = left.select("q", every(c_count).alias("c"), F.lit(True).alias("is_query"), F.col("id").cast(kind).alias("id"), "vec").unionByName(
+        right.select(every(q_count).alias("q"), "c", F.lit(False).alias("is_query"), "id", "vec"))
+    matches = met.repartition(min(q_count * c_count, MAX_TASKS), "q", "c").groupBy("q", "c").applyInArrow(best, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
     return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -141,6 +141,28 @@ def test_every_pair_of_blocks_has_a_partition(spark):
     assert len({r.p for r in got}) > 4
 
 
+def test_blocks_of_queries_and_corpus_meet_in_partitions_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20, raising=False)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(100, 8)))], "id long, v array<double>")
+    plan = similarity.top_matches(df, df, "id", "v", 3, 0.2)._jdf.queryExecution().executedPlan().toString()
+    assert ", 25), REPARTITION_BY_NUM" in plan
+
+
+def test_equal_vectors_match_the_smallest_key(spark, monkeypatch):
+    """Copies have exactly equal similarities, wherever they stand in a product, and zero is above a threshold below it."""
+    monkeypatch.setattr(similarity, "STRIP", 3, raising=False)
+    monkeypatch.setattr(similarity, "TILE", 7, raising=False)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 33))
+    df = spark.createDataFrame([(i, [float(v) for v in base[i % 6]]) for i in range(60)], "id long, v array<double>").repartition(5)
+    got = similarity.top_matches(df, df, "id", "v", 3, 0.5).collect()
+    assert {(r.query_id, r.rank): r.match_id for r in got} == {
+        (i, r): m for i in range(60) for r, m in enumerate([j for j in range(i % 6, 60, 6) if j != i][:3], 1)}
+    below = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [-1.0, 0.1])], "id long, v array<double>")
+    assert {r.match_id for r in similarity.top_matches(below, below, "id", "v", 2, -0.5).where("query_id = 1").collect()} == {2, 3}
+
+
 def test_embedding_candidates_join_columns_not_pairs(spark):
     """Repeated columns count as often as they did, and nothing is shuffled behind the comparison."""
     rows = [("a", "x", "key", [1.0, 0.0]), ("a", "x", "measure", [1.0, 0.0]), ("b", "y", "measure", [1.0, 0.1]), ("a", "z", "measure", [1.0, 0.0]),
