@@ -14,6 +14,8 @@ from tablescout.operators.causal import EFFECT_WORDS
 from tablescout.operators.profile import quoted
 
 MAX_LEVELS = 20
+#: What the rows of one task may take while a forest is grown; a partition above it is dealt anew.
+TASK_BYTES = 256 << 20
 
 
 def linear_drivers(df: DataFrame, features: Sequence[str], target: str, missing_as_zero: bool = False) -> DataFrame:
@@ -55,13 +57,20 @@ def linear_drivers(df: DataFrame, features: Sequence[str], target: str, missing_
 
 
 def forest_drivers(df: DataFrame, features: Sequence[str], target: str, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Importance shares of a random forest over all rows; the sign is that of the correlation."""
+    """Importance shares of a random forest over all rows; the sign is that of the correlation.
+
+    While it grows, Spark holds for every row how often each tree draws it, which is many times what the row takes in
+    its file, so one part of a file can be too much for a task: rows are then spread evenly over more tasks.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     features = list(features)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, target]]).dropna()
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(x)
+    most = max(1, TASK_BYTES // (100 + 4 * (trees + len(features))))
+    largest, n = x.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    spread = x.repartition(-(-n // most)) if (largest or 0) > most else x
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(spread)
     model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
     importance = model.featureImportances.toArray()
     total = float(importance.sum()) or 1.0
