@@ -283,6 +283,24 @@ def test_drivers_rank_features(spark):
     assert not forest["b"].is_positive
 
 
+def test_forest_spreads_large_partitions(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    sizes, fit = [], RandomForestRegressor.fit
+
+    def seen(self, rows):
+        sizes.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, rows)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", seen)
+    df = spark.range(2000, numPartitions=1).select((F.col("id") % 50).alias("a"), (F.col("id") % 7).alias("b"), (F.col("id") % 50 * 3).alias("y"))
+    whole = drivers.forest_drivers(df, ["a", "b"], "y", trees=5).collect()
+    monkeypatch.setattr(drivers, "TASK_BYTES", 300 * (100 + 4 * 7), raising=False)
+    spread = drivers.forest_drivers(df, ["a", "b"], "y", trees=5).collect()
+    assert sizes[0] == [2000] and max(sizes[1]) <= 300 and sum(sizes[1]) == 2000
+    assert [r.feature for r in spread] == [r.feature for r in whole] and spread[0].contribution > 0.9 and whole[0].contribution > 0.9
+
+
 def test_forecasts_follow_trend_and_season(spark):
     rng = np.random.default_rng(9)
     days = pd.date_range("2022-01-01", periods=1100)
