@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.words import WordHashes, long, mix, one_row_per_id, only, raw
+from tablescout.llm.words import TextHashes, long, mix, one_row_per_id, only
 from tablescout.session import durable
 
 CUT = 5
@@ -83,27 +83,50 @@ def unigram_model(counts: dict[int, int], total: int, types: int, documents: int
     return Unigrams(total, types, documents, factors, shrink, freed if freed > 1e-12 else 1 / (total + 1))
 
 
-def token_hashes(text: bytes, hashes: WordHashes) -> np.ndarray:
-    return np.append(hashes.of(text.lower().split()), np.uint64(END))
+def token_hashes(texts: pa.Array, hashes: TextHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts one after another, and how many each text has."""
+    words, lengths = hashes.of(texts)
+    lengths = lengths + 1
+    out = np.full(len(words) + len(lengths), END, np.uint64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    out[inside] = words
+    return out, lengths
+
+
+def before(values: np.ndarray, lengths: np.ndarray, mark) -> np.ndarray:
+    """What stands before each token of a text; ``mark`` before its first."""
+    out = np.roll(values, 1)
+    out[np.cumsum(lengths) - lengths] = mark
+    return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; of 64-bit values a sort finds them sooner than the hash table of ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def plain(column: pa.Array, kind) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(kind)
 
 
 def unigram_counts(docs: DataFrame) -> DataFrame:
     """``h, c``: how often each token occurs in the training documents; tasks send each word once per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, size = WordHashes(), [], 0
+        hashes, parts, size = TextHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(parts), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(long(h)), pa.array(c)], ["h", "c"])
 
         for batch in batches:
-            for text in raw(batch.column(1)):
-                parts.append(token_hashes(text, hashes))
-                size += len(parts[-1])
-                if size >= FLUSH:
-                    yield flush()
-                    parts, size = [], 0
+            parts.append(token_hashes(batch.column(1), hashes)[0])
+            size += len(parts[-1])
+            if size >= FLUSH:
+                yield flush()
+                parts, size = [], 0
         if parts:
             yield flush()
 
@@ -117,7 +140,7 @@ def pack_block(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, train: np.ndarra
     docs, local = np.unique(doc, return_inverse=True)
     known = np.zeros(len(docs), np.uint8)
     known[local] = train
-    order = np.lexsort((local, second, first))
+    order = np.lexsort((local, first * len(words) + second))
     columns = [(np.diff(first[order], prepend=0)), second[order], local[order]]
     body = b"".join(c.astype(np.uint32).tobytes() if m > 65535 else c.astype(np.uint16).tobytes()
                     for c, m in zip(columns, (len(words), len(words), len(docs))))
@@ -127,7 +150,9 @@ def pack_block(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, train: np.ndarra
     return head + words.tobytes() + zlib.compress(known.tobytes() + planes + body, 1)
 
 
-def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_block(block: bytes) -> tuple[np.ndarray, ...]:
+    """The block's words, its occurrences as places of both words among them, its documents with whether each is for
+    training, and the place of each occurrence's document."""
     words, docs, n = (int(x) for x in np.frombuffer(block, np.int64, 3))
     h = np.frombuffer(block, np.uint64, words, 24)
     body = zlib.decompress(block[24 + 8 * words:])
@@ -135,9 +160,9 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     ids = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * docs, docs).reshape(8, docs).T).view(np.int64).ravel()
     for m in (words, words, docs):
         kind = np.uint32 if m > 65535 else np.uint16
-        out.append(np.frombuffer(body, kind, n, at).astype(np.int64))
+        out.append(np.frombuffer(body, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    return h[np.cumsum(out[0])], h[out[1]], ids[out[2]], known[out[2]]
+    return h, np.cumsum(out[0], dtype=np.int64), out[1], ids, known, out[2]
 
 
 @dataclass
@@ -167,26 +192,26 @@ def frequent_pairs(docs: DataFrame, names: np.ndarray) -> DataFrame:
     """``a, b, n, c``: all and training occurrences of the bigrams of two frequent words; tasks send each once per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows, size = WordHashes(), [], 0
+        hashes, rows, size = TextHashes(), [], 0
+        mark = int(np.searchsorted(names, np.uint64(START)))
 
         def flush() -> pa.RecordBatch:
-            words = np.concatenate([np.concatenate([[np.uint64(START)], t]) for t, _ in rows])
-            train = np.repeat([bool(k) for _, k in rows], [len(t) + 1 for t, _ in rows])
-            at = np.minimum(np.searchsorted(names, words), len(names) - 1)
-            hit = names[at] == words
-            both = hit[:-1] & hit[1:] & (words[1:] != np.uint64(START))
-            code, which = np.unique(at[:-1][both] * len(names) + at[1:][both], return_inverse=True)
-            n, c = np.bincount(which, minlength=len(code)), np.bincount(which, train[1:][both], len(code)).astype(np.int64)
+            words, lengths, train = (np.concatenate(x) for x in zip(*rows))
+            second = np.minimum(np.searchsorted(names, words), len(names) - 1)
+            second = np.where(names[second] == words, second, -1)
+            first = before(second, lengths, mark)
+            both = (first >= 0) & (second >= 0)
+            code, which = np.unique(first[both] * len(names) + second[both], return_inverse=True)
+            n, c = np.bincount(which, minlength=len(code)), np.bincount(which, np.repeat(train, lengths)[both], len(code)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(long(names[code // len(names)])), pa.array(long(names[code % len(names)])), pa.array(n), pa.array(c)],
                                               ["a", "b", "n", "c"])
 
         for batch in batches:
-            for text, k in zip(raw(batch.column(0)), batch.column(1).to_pylist()):
-                rows.append((token_hashes(text, hashes), k))
-                size += len(rows[-1][0])
-                if size >= FLUSH:
-                    yield flush()
-                    rows, size = [], 0
+            rows.append((*token_hashes(batch.column(0), hashes), plain(batch.column(1), bool)))
+            size += len(rows[-1][0])
+            if size >= FLUSH:
+                yield flush()
+                rows, size = [], 0
         if rows:
             yield flush()
 
@@ -210,15 +235,14 @@ def bigram_blocks(docs: DataFrame, buckets: int, frequent: dict[int, int], hot:
         return bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows, size = WordHashes(), [], 0
+        hashes, rows, size = TextHashes(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            w1 = np.concatenate([np.concatenate([[np.uint64(START)], t[:-1]]) for _, t, _ in rows])
-            w2 = np.concatenate([t for _, t, _ in rows])
-            lengths = [len(t) for _, t, _ in rows]
-            doc, train = np.repeat([d for d, _, _ in rows], lengths), np.repeat([bool(k) for _, _, k in rows], lengths)
+            w2, lengths, doc, train = (np.concatenate(x) for x in zip(*rows))
+            w1, doc, train = before(w2, lengths, START), np.repeat(doc, lengths), np.repeat(train, lengths)
             bucket = bucket_of(w1, w2, doc)
-            order = np.argsort(bucket, kind="stable")
+            # Small numbers are sorted digit by digit.
+            order = np.argsort(bucket.astype(np.uint16) if buckets + more <= 65536 else bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets + more))
             for a, b in zip(edges, edges[1:]):
                 o = order[a:b]
@@ -226,12 +250,11 @@ def bigram_blocks(docs: DataFrame, buckets: int, frequent: dict[int, int], hot:
                     [pa.array([int(bucket[o[0]])], pa.int32()), pa.array([pack_block(w1[o], w2[o], doc[o], train[o])], pa.binary())], ["bucket", "block"])
 
         for batch in batches:
-            for d, text, k in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist()):
-                rows.append((d, token_hashes(text, hashes), k))
-                size += len(rows[-1][1])
-                if size >= FLUSH:
-                    yield from flush()
-                    rows, size = [], 0
+            rows.append((*token_hashes(batch.column(1), hashes), plain(batch.column(0), np.int64), plain(batch.column(2), bool)))
+            size += len(rows[-1][0])
+            if size >= FLUSH:
+                yield from flush()
+                rows, size = [], 0
         if rows:
             yield from flush()
 
@@ -240,28 +263,37 @@ def bigram_blocks(docs: DataFrame, buckets: int, frequent: dict[int, int], hot:
 
 @dataclass
 class Bucket:
-    """The distinct bigrams of a bucket in order of their history, with training counts in the whole corpus and whether they
-    are hot, and every occurrence's bigram."""
+    """The distinct words and bigrams of a bucket, with the bigrams' training counts in the whole corpus and whether they are
+    hot, and every occurrence's bigram and document.  Words are sorted by hash; a bigram is the place of its first word,
+    times the number of words, plus the place of its second."""
 
-    w1: np.ndarray
-    w2: np.ndarray
+    words: np.ndarray
+    keys: np.ndarray
     c: np.ndarray
     hot: np.ndarray
-    doc: np.ndarray
-    at: np.ndarray
+    docs: np.ndarray
+    doc: list[np.ndarray]
+    every: list[np.ndarray]
 
     @classmethod
     def of(cls, blocks: pa.Table, hot: Hot) -> Bucket:
-        w1, w2, doc, train = (np.concatenate(x) for x in zip(*(unpack_block(b) for b in blocks.column("block").to_pylist())))
-        order = np.lexsort((w2, w1))
-        a, b = w1[order], w2[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        number = np.cumsum(new) - 1
-        a, b, c = a[new], b[new], np.bincount(number, train[order], new.sum())
-        at = hot.place(a, b)
+        parts = [unpack_block(b) for b in blocks.column("block").to_pylist()]
+        words, docs = (distinct(np.concatenate([p[i] for p in parts])) for i in (0, 3))
+        every, doc, marked = [], [], []
+        for h, first, second, ids, known, local in parts:
+            at = np.searchsorted(words, h)
+            every.append(at[first] * len(words) + at[second])
+            doc.append(np.searchsorted(docs, ids)[local])
+            marked.append(every[-1] * 2 + known[local])
+        marked = np.sort(np.concatenate(marked))
+        new = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
+        keys, c = marked[new] >> 1, np.add.reduceat(marked & 1, new).astype(float)
+        place = np.full(len(keys), -1)
         if len(hot.keys):
-            c = np.where(at >= 0, hot.c[at], c)
-        return cls(a, b, c, at >= 0, doc[order], number)
+            first, second = np.divmod(keys, len(words))
+            place = hot.place(words[first], words[second])
+            c = np.where(place >= 0, hot.c[place], c)
+        return cls(words, keys, c, place >= 0, docs, doc, every)
 
 
 SIDE = "bucket int, kind int, h long, a double"
@@ -273,7 +305,7 @@ def requests(blocks: DataFrame, hot: Hot) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         own = Bucket.of(table, hot)
-        words = np.unique(np.concatenate([own.w1, own.w2]))
+        words = own.words
         r, n = np.unique(own.c[(own.c > 0) & (own.c <= CUT + 1)].astype(np.int64), return_counts=True)
         size = len(words) + len(r)
         return pa.table({"bucket": pa.array(np.full(size, bucket, np.int32)), "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(words), len(r)])),
@@ -284,26 +316,22 @@ def requests(blocks: DataFrame, hot: Hot) -> DataFrame:
 
 def solve(blocks: pa.Table, side: pa.Table, unigrams: Unigrams, hot: Hot):
     """Per distinct bigram its discounted probability (0 if unseen) and the unigram count of its second word; per
-    history its place in ``w1`` and its two sums over seen successors, without the hot ones."""
+    history its place in ``names`` and its two sums over seen successors, without the hot ones."""
     own = Bucket.of(blocks, hot)
     kind, h, a = (side.column(c).to_numpy() for c in ("kind", "h", "a"))
     known = kind == 0
-    order = np.argsort(h[known].view(np.uint64))
-    words, counts = h[known].view(np.uint64)[order], a[known][order]
-
-    def count(x: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(words, x), max(len(words) - 1, 0))
-        return np.where(words[at] == x, counts[at], 0.0) if len(words) else np.zeros(len(x))
-
+    counts = np.zeros(len(own.words))
+    counts[np.searchsorted(own.words, h[known].view(np.uint64))] = a[known]
     factors = discounts({int(r): int(n) for r, n in zip(h[kind == 1], a[kind == 1])})
-    c1, c2 = count(own.w1), count(own.w2)
+    first, second = np.divmod(own.keys, len(own.words))
+    c1, c2 = counts[first], counts[second]
     p = factors[np.minimum(own.c, CUT + 1).astype(np.int64)] * own.c / np.maximum(c1, 1)
-    low = unigrams.probability(c2)
-    new = np.concatenate([[True], own.w1[1:] != own.w1[:-1]])
+    low = unigrams.probability(counts)[second]
+    new = np.diff(first, prepend=-1) > 0
     history = np.cumsum(new) - 1
     seen = (own.c > 0) & ~own.hot
     high_sum, low_sum = np.bincount(history, p * seen, new.sum()), np.bincount(history, low * seen, new.sum())
-    names = own.w1[new]
+    names = own.words[first[new]]
     if "low" in side.column_names:  # sums of spread histories over all their buckets
         high, whole = (side.column(c).to_numpy() for c in ("high", "low"))
         at = np.flatnonzero(~np.isnan(high))
@@ -328,8 +356,8 @@ def document_sums(own: Bucket, p, c1, c2, low, history, high_sum, low_sum, unigr
     weight = np.where(c > 0, (1 - high_sum * shrink) / np.maximum(1 - low_sum, 1e-300), 1.0)
     model = np.where(own.c > 0, p * shrink[history], weight[history] * low)
     base = (c2 + 1) / (unigrams.total + unigrams.types + 1)
-    docs, local = np.unique(own.doc, return_inverse=True)
-    total = lambda x: np.bincount(local, x[own.at], len(docs))
+    docs, local, at = own.docs, np.concatenate(own.doc), np.concatenate([np.searchsorted(own.keys, e) for e in own.every])
+    total = lambda x: np.bincount(local, x[at], len(docs))
     exact = lambda x: np.rint(total(np.log10(x)) * 2.0 ** SCALE)
     columns = [docs, np.bincount(local, minlength=len(docs)), total((c2 > 0).astype(float)), exact(base), exact(model)]
     part = (mix(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)

@@ -41,6 +41,59 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class TextHashes:
+    """64-bit hashes of all words of a column of texts, A-Z lower-cased, without a Python object per word.
+
+    A word is a polynomial over scrambled bytes: the difference of two running sums, shifted to the word's start.  Sums run
+    over slices of ``SLICE`` bytes, so memory beyond the texts is a few bytes a byte; long words are hashed one by one.
+    """
+
+    SLICE = 1 << 16
+    LONG = 64
+
+    def __init__(self) -> None:
+        codes = np.arange(256, dtype=np.uint64)
+        codes[65:91] += np.uint64(32)
+        self.letters = mix((codes + np.uint64(1)) * np.uint64(GOLDEN))
+        self.blank = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+        self.up, self.down = np.full(self.SLICE, MIX_B, np.uint64), np.full(self.SLICE, pow(MIX_B, -1, 1 << 64), np.uint64)
+        for powers in (self.up, self.down):
+            powers[0] = 1
+            np.multiply.accumulate(powers, out=powers)
+
+    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of an Arrow string column, and how many of them each text has; a null has none."""
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[edges[0]:edges[-1]]
+        edges = edges - edges[0]
+        inside = ~self.blank[data]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        some = edges[:-1] < edges[1:]
+        first[edges[:-1][some]] = inside[edges[:-1][some]]
+        last[edges[1:][some] - 1] = inside[edges[1:][some] - 1]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            base = start[i]
+            j = int(np.searchsorted(end, base + self.SLICE, "right"))
+            if j > i:
+                size = end[j - 1] - base
+                sums = np.zeros(size + 1, np.uint64)
+                np.cumsum(self.letters[data[base:base + size]] * self.up[:size], out=sums[1:])
+                a, b = start[i:j] - base, end[i:j] - base
+                out[i:j] = mix((sums[b] - sums[a]) * self.down[a])
+            i = max(j, i + 1)
+        for i in np.flatnonzero(end - start >= self.LONG):
+            out[i] = xxhash.xxh3_64_intdigest(data[start[i]:end[i]].tobytes().lower())
+        return out, np.diff(np.searchsorted(start, edges))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)

@@ -4,17 +4,19 @@ import math
 import os
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tablescout.llm import ann, katz, language_id, license_scan, packing, quality, token_counts
-from tablescout.llm.words import fold
+from tablescout.llm.words import WordHashes, fold, raw
 
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -100,6 +102,44 @@ def test_katz_without_training(spark, nothing):
     assert katz.score(nothing, F.lit(True)).collect() == []
 
 
+def test_text_hashes_tell_words_apart(monkeypatch):
+    """Equal words, A-Z as a-z, have equal hashes and no others have, across slices, sliced columns and long words; it costs less than word by word."""
+    rng = np.random.default_rng(3)
+    odd = [None, "", " ", "a", "A a\x0bB\x0c", "\x1c odd \x85", "漢字 Ä ä", "x" * 63 + " " + "X" * 64 + " " + "x" * 65 + " x", "y" * 500 + " Y y " + "Y" * 500, None, "ab", "ba",
+           "\n".join(f"W{i % 90} w{i}" for i in range(3000)), ""]
+    words = [b for t in odd for b in (t or "").encode().lower().split()]
+    column = pa.array(["left out", *odd, "left out"]).slice(1, len(odd))
+    for size in (katz.TextHashes.SLICE, 200):
+        monkeypatch.setattr(katz.TextHashes, "SLICE", size)
+        for texts in (column, column.cast(pa.large_string())):
+            got, lengths = katz.TextHashes().of(texts)
+            assert list(lengths) == [len((t or "").encode().split()) for t in odd]
+            assert len(set(zip(words, got.tolist()))) == len(set(words)) == len(set(got.tolist()))
+    tokens, lengths = katz.token_hashes(column, katz.TextHashes())
+    assert len(tokens) == len(words) + len(odd) == lengths.sum() and (tokens[np.cumsum(lengths) - 1] == katz.END).all()
+    for none in (pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        assert [len(x) for x in katz.TextHashes().of(none)] == [0, len(none)]
+    monkeypatch.undo()
+    many = pa.array([" ".join(f"word{i}" for i in rng.integers(0, 50_000, 300)) for _ in range(1000)])
+    new, old = katz.TextHashes(), WordHashes()
+
+    def cost(f) -> float:
+        begun = time.process_time()
+        f()
+        return time.process_time() - begun
+
+    one_by_one = lambda: [old.of(t.lower().split()) for t in raw(many)]
+    assert min(cost(lambda: new.of(many)) for _ in range(5)) < min(cost(one_by_one) for _ in range(5))
+
+
+def test_bigram_blocks_come_back_whole():
+    rng = np.random.default_rng(5)
+    w1, w2 = rng.integers(0, 40, (2, 5000)).astype(np.uint64) * np.uint64(katz.START)
+    doc = rng.integers(-30, 30, 5000)
+    words, first, second, docs, known, local = katz.unpack_block(katz.pack_block(w1, w2, doc, doc % 3 > 0))
+    assert sorted(zip(words[first], words[second], docs[local], known[local])) == sorted(zip(w1, w2, doc, doc % 3 > 0))
+
+
 def check_packing(df, rows: list) -> None:
     tok = Tokenizer.from_file(WORD_BPE)
     ids = {d: tok.encode(t or "", add_special_tokens=False).ids + [2] for d, t in rows}
